@@ -216,9 +216,9 @@ def _(t):
     return out(sampling.sample_full(membership, t.points()), *TILE, "point_id", "intensity", "classification", "x", "y", "z")
 
 
-@query("sample_full", sql(TP, "SELECT * FROM tp WHERE xb = 1", f"{T.replace(',', '')} point_id", "x"))
+@query("sample_full", sql(TP, "SELECT * FROM tp", f"{T.replace(',', '')} point_id", "x"))
 def _(t):
-    m = tiled(t).filter("xb = 1").select(*TILE, "point_id")
+    m = tiled(t).select(*TILE, "point_id")
     return out(sampling.sample_full(m, t.points()), *TILE, "point_id", "x")
 
 
