@@ -165,8 +165,7 @@ def hash_sql(seed, *keys):
     for k in keys:
         h = f"(({h} * 31 + CAST({k} AS BIGINT) % {PRIME}) * {MULT} + 11) % {PRIME}"
     h = f"({h})"
-    sq = f"({h} * {h} % {PRIME})"
-    return f"({sq} * {sq} % {PRIME} * {h} % {PRIME})"
+    return f"({h} * ({h} + 7) % {PRIME})"
 
 
 def uniform_sql(seed, *keys):
@@ -174,7 +173,7 @@ def uniform_sql(seed, *keys):
 
 
 def gaussian_sql(seed, *keys):
-    u1, u2 = uniform_sql(seed, *keys), uniform_sql(seed + 7919, *keys)
+    u1, u2 = uniform_sql(seed, *keys, "1"), uniform_sql(seed, *keys, "2")
     return f"(sqrt(-2e0 * ln(1e0 - {u1})) * cos({2 * math.pi!r} * {u2}))"
 
 

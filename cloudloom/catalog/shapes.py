@@ -42,9 +42,11 @@ query(
 )(lambda t: out(normalize.normalize_unit_sphere(tiled(t)), *ID, "x", "y", "z"))
 
 
-def norm(name, fn, exprs, plain="", src=TP, table="tp", cols=("x", "y", "z"), prepare=tiled):
+def norm(name, fn, exprs, src=TP, table="tp", prepare=tiled, whole=False):
+    """`whole`: the columns hold whole numbers."""
     select = ", ".join(f"{e} AS {c}" for c, e in exprs.items())
-    query(name, per_tile(select, " ".join(exprs), plain, src, table))(lambda t: out(fn(prepare(t)), *ID, *exprs))
+    names = " ".join(exprs)
+    query(name, per_tile(select, "" if whole else names, names if whole else "", src, table))(lambda t: out(fn(prepare(t)), *ID, *exprs))
 
 
 def z(c):
@@ -116,10 +118,10 @@ def draw(op):
     return DrawSql(op, SEED, EPOCH)
 
 
-def aug(name, op, fn, build, prepare=tiled, src=TP, table="tp", plain=""):
+def aug(name, op, fn, build, prepare=tiled, src=TP, table="tp", whole=False):
     """`build` gets the SQL draws and returns column -> expression."""
     d = draw(op)
-    norm(name, lambda df: fn(df, **KW), build(d), src=src, table=table, prepare=prepare)
+    norm(name, lambda df: fn(df, **KW), build(d), src=src, table=table, prepare=prepare, whole=whole)
 
 
 def when(d, p, value, old):
@@ -163,8 +165,8 @@ def unit_aug(name, op, fn, build):
 unit_aug("aug_intensity_scale", "intensity_scale", augment.aug_intensity_scale, lambda d: {I: when(d, 0.95, clip_sql(f"intensity * {d.value('f', 0.8, 1.2)}", "0e0", "1e0"), I)})
 # the raw 16-bit regime: shift by a share of the maximum, whole numbers
 aug("aug_intensity_shift", "intensity_shift", augment.aug_intensity_shift,
-    lambda d: {I: when(d, 0.95, f"floor({clip_sql('intensity + ' + d.value('s', -0.1, 0.1) + ' * 65535e0', '0e0', '65535e0')})", I)},
-    prepare=lambda t: tiled(t))
+    lambda d: {I: when(d, 0.95, f"CAST(floor({clip_sql('intensity + ' + d.value('s', -0.1, 0.1) + ' * 65535e0', '0e0', '65535e0')}) AS BIGINT)", I)},
+    whole=True)
 unit_aug("aug_intensity_noise", "intensity_noise", augment.aug_intensity_noise, lambda d: {I: when(d, 0.5, clip_sql(f"intensity + {d.noise('n')} * 0.01e0", "0e0", "1e0"), I)})
 unit_aug("aug_intensity_drop", "intensity_drop", lambda df, **k: augment.aug_intensity_drop(df, 0.1, 0.6, **k),
          lambda d: {I: f"CASE WHEN {d.on(0.6)} AND {d.point_uniform('drop')} < 0.1 THEN 0e0 ELSE intensity END"})

@@ -20,6 +20,7 @@ from cloudloom.functions.seeded import gaussian, hash_int, uniform
 from cloudloom.functions.vectors import clip
 from cloudloom.operators.ordering import rank_by_id, with_group_stats
 from cloudloom.schemas import TILE
+from cloudloom.session import cut_lineage
 
 COORD = ("x", "y", "z")
 NORMAL = ("normal_x", "normal_y", "normal_z")
@@ -240,38 +241,51 @@ def aug_color_jitter(df, brightness=0.0, contrast=0.0, saturation=0.0, hue=0.0,
     names = list(steps)
     orders = F.array(*[F.array(*[F.lit(i) for i in o]) for o in permutations(range(4))])
     mine = F.element_at(orders, (d.pick("order", 24) + 1).cast("int"))
-    df = _double(df, RGB).withColumn("_order", mine)
+    # the draws of a tile become columns, so that the long chain of steps refers to them by name
+    params = {"_order": mine}
+    for name in names:
+        if steps[name] is not None:
+            params |= {f"_f_{name}": d.value(name, *steps[name]), f"_on_{name}": d.on(p, f"on_{name}")}
+    df = _double(df, RGB).withColumns(params)
     df = df.withColumn("_turn", F.array_position("_order", F.lit(names.index("contrast"))) - 1)
 
     def mix(new, old, f):
         return clip(f * old + (F.lit(1.0) - f) * new, 0.0, 255.0)
 
     def changed(name, rgb):
-        f = d.value(name, *steps[name])
-        if name == "hue":
-            h, s, v = colour.rgb_to_hsv(*[c / 255.0 for c in rgb])
-            return [c * 255.0 for c in colour.hsv_to_rgb(colour.wrap_unit(h + f), s, v)]
+        f = F.col(f"_f_{name}")
         base = {"brightness": F.lit(0.0), "contrast": F.col("_gray"), "saturation": colour.gray(*rgb)}[name]
         return [mix(base, c, f) for c in rgb]
 
+    def turn_hue(df):
+        """Hue step in three projections: components, turned hue, channels."""
+        h, s, v = colour.rgb_to_hsv(*[F.col(c) / 255.0 for c in RGB])
+        df = df.withColumns({"_h": h, "_s": s, "_v": v})
+        df = df.withColumn("_h", colour.wrap_unit(F.col("_h") + F.col("_f_hue")))
+        back = colour.hsv_to_rgb(F.col("_h"), F.col("_s"), F.col("_v"))
+        return df.withColumns({f"_hue_{c}": v * 255.0 for c, v in zip(RGB, back)}).drop("_h", "_s", "_v")
+
     rgb = [F.col(c) for c in RGB]
 
     def run(df, when):
         for place in range(4):
             out = dict(zip(RGB, rgb))
+            if steps["hue"] is not None:
+                df = turn_hue(df)
             for i, name in enumerate(names):
                 if steps[name] is None or name == "contrast":
                     continue
-                use = when(place) & (F.get("_order", F.lit(place)) == i) & d.on(p, f"on_{name}")
-                out = {c: F.when(use, n).otherwise(out[c]) for c, n in zip(RGB, changed(name, rgb))}
-            df = df.withColumns(out)
+                use = when(place) & (F.get("_order", F.lit(place)) == i) & F.col(f"_on_{name}")
+                new = [F.col(f"_hue_{c}") for c in RGB] if name == "hue" else changed(name, rgb)
+                out = {c: F.when(use, n).otherwise(out[c]) for c, n in zip(RGB, new)}
+            df = df.withColumns(out).drop(*[f"_hue_{c}" for c in RGB])
         return df
 
     df = run(df, lambda place: F.lit(place) < F.col("_turn"))
     if steps["contrast"]:
         df = with_group_stats(df, tile, [F.avg(colour.gray(*rgb)).alias("_gray")])
-        df = _apply(df, d.on(p, "on_contrast"), dict(zip(RGB, changed("contrast", rgb)))).drop("_gray")
-    return run(df, lambda place: F.lit(place) > F.col("_turn")).drop("_order", "_turn")
+        df = _apply(df, F.col("_on_contrast"), dict(zip(RGB, changed("contrast", rgb)))).drop("_gray")
+    return run(df, lambda place: F.lit(place) > F.col("_turn")).drop("_turn", *params)
 
 
 def aug_hue_saturation(df, hue_max=0.5, saturation_max=0.2, seed=0, epoch=0, tile=TILE):
@@ -339,25 +353,24 @@ def aug_elastic(df, params=((0.2, 0.4), (0.8, 1.6)), p=0.95, seed=0, epoch=0, ti
         wide = wide.select(*tile, "point_id", *size, *addr, weight.alias("_w"))
         lattice = wide.select(*tile, *size, *nodes).distinct()
 
-        def smooth(axis):
-            def one(o):
-                w, ids = F.lit(1.0), []
-                for i, scale in enumerate((25, 5, 1)):
-                    j = F.col(nodes[i]) + (F.floor(o / F.lit(scale)) % 5).cast("long") - 2
-                    w = w * _box_weight(F.col(nodes[i]), j, F.col(f"_s{i}"))
-                    ids.append(j)
-                return w * d.noise(f"{level}{axis}", *ids)
-
-            return F.aggregate(
-                F.transform(F.sequence(F.lit(0), F.lit(124)), one), F.lit(0.0), lambda a, v: a + v
-            )
-
-        lattice = lattice.select(*tile, *nodes, *[smooth(c).alias(f"_n{c}") for c in COORD])
+        # 5 x 5 x 5 taps per node; they stay in the node's task and are added up before the shuffle
+        taps = lattice.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(124))))
+        reach = {f"_j{i}": F.col(nodes[i]) + F.floor(F.col("_o") / scale) % 5 - 2 for i, scale in enumerate((25, 5, 1))}
+        taps = taps.withColumns(reach)
+        share = F.lit(1.0)
+        for i in range(3):
+            share = share * _box_weight(F.col(nodes[i]), F.col(f"_j{i}"), F.col(f"_s{i}"))
+        taps = taps.withColumn("_share", share).filter(F.col("_share") > 0)
+        lattice = taps.groupBy(*tile, *nodes).agg(
+            *[F.sum(F.col("_share") * d.noise(str(level), "_j0", "_j1", "_j2", F.lit(i))).alias(f"_n{c}") for i, c in enumerate(COORD)]
+        )
         push = wide.join(lattice, [*tile, *nodes]).groupBy(*tile, "point_id")
         push = push.agg(*[F.sum(F.col("_w") * F.col(f"_n{c}")).alias(f"_d{c}") for c in COORD])
         df = df.drop(*at, *size).join(push, [*tile, "point_id"])
         df = _apply(df, d.on(p), {c: F.col(c) + F.col(f"_d{c}") * F.lit(float(magnitude)) for c in COORD})
         df = df.drop(*[f"_d{c}" for c in COORD])
+        if level + 1 < len(params):
+            df = cut_lineage(df)  # a level reads its points four times
     return df
 
 
