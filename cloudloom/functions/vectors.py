@@ -33,34 +33,6 @@ def dot(a, b) -> Column:
     return array_sum(F.zip_with(col(a), col(b), lambda u, v: u.cast("double") * v.cast("double")))
 
 
-def log_sum_exp(logits) -> Column:
-    a = col(logits)
-    top = F.array_max(a)
-    return top + F.log(array_sum(F.transform(a, lambda v: F.exp(v - top))))
-
-
-def log_softmax(logits) -> Column:
-    lse = log_sum_exp(logits)
-    return F.transform(col(logits), lambda v: v - lse)
-
-
-def softmax(logits) -> Column:
-    a = col(logits)
-    top = F.array_max(a)
-    total = array_sum(F.transform(a, lambda v: F.exp(v - top)))
-    return F.transform(a, lambda v: F.exp(v - top) / total)
-
-
 def l2_normalise(a, eps=1e-12) -> Column:
     n = F.greatest(F.sqrt(dot(a, a)), F.lit(eps))
     return F.transform(col(a), lambda v: v.cast("double") / n)
-
-
-def squared_distance(a, b) -> Column:
-    d = F.zip_with(col(a), col(b), lambda u, v: u.cast("double") - v.cast("double"))
-    return array_sum(F.transform(d, lambda v: v * v))
-
-
-def rounded(c, digits=6) -> Column:
-    """Rounded, with minus zero turned into zero."""
-    return F.round(col(c), digits) + F.lit(0.0)

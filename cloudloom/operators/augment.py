@@ -88,7 +88,9 @@ def _turn(axis, a, b, c, cos, sin):
 
 def _rotate(df, angle, on, axis, center, tile):
     """`angle` in units of pi, around the given centre or the middle of the tile's box."""
-    cos, sin = F.cos(angle * F.lit(math.pi)), F.sin(angle * F.lit(math.pi))
+    turn = angle * F.lit(math.pi)
+    df = df.withColumns({"_cos": F.cos(turn), "_sin": F.sin(turn), "_on": on})
+    cos, sin, on = F.col("_cos"), F.col("_sin"), F.col("_on")
     if center is None:
         df = with_group_stats(df, tile, [((F.min(c) + F.max(c)) / 2).alias(f"_o{c}") for c in COORD])
         origin = [F.col(f"_o{c}") for c in COORD]
@@ -98,7 +100,7 @@ def _rotate(df, angle, on, axis, center, tile):
     cols = {c: m + o for c, m, o in zip(COORD, moved, origin)}
     if set(NORMAL) <= set(df.columns):
         cols.update(zip(NORMAL, _turn(axis, *[F.col(c) for c in NORMAL], cos, sin)))
-    return _apply(df, on, cols).drop(*[f"_o{c}" for c in COORD])
+    return _apply(df, on, cols).drop("_cos", "_sin", "_on", *[f"_o{c}" for c in COORD])
 
 
 def aug_rotate(df, angle=(-1, 1), center=None, axis="z", p=0.5, seed=0, epoch=0, tile=TILE):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.functions.vectors import array_sum, dot, l2_normalise, log_softmax, softmax, squared_distance
+from cloudloom.functions.vectors import dot, l2_normalise
 from cloudloom.operators.neighbors import gather_neighbours
 from cloudloom.operators.ordering import GROUP_ROWS, ordered_prefix, with_group_stats
 from cloudloom.operators.project import drop_ignored
@@ -15,39 +15,64 @@ def _weights(weight, num_classes):
     w = [1.0] * num_classes if weight is None else [float(v) for v in weight]
     if len(w) != num_classes:
         raise ValueError(f"{len(w)} weights for {num_classes} classes")
-    return F.array(*[F.lit(v) for v in w])
+    return [F.lit(v) for v in w]
 
 
-def _at(array, index):
-    return F.element_at(array, index.cast("int") + 1)
+def _at(cols, index):
+    return F.element_at(F.array(*cols), index.cast("int") + 1)
+
+
+def class_scores(pred: DataFrame, num_classes, keep, logits="logits") -> DataFrame:
+    """Per class the probability `p{c}` and its logarithm `q{c}`, beside the `keep` columns.
+
+    Written out per class in three projections, so that the exponentials are computed once and in
+    generated code; array functions with lambdas are interpreted.
+    """
+    classes = range(num_classes)
+    df = pred.select(*keep, *[F.get(F.col(logits), F.lit(c)).cast("double").alias(f"_l{c}") for c in classes])
+    top = F.greatest(*[F.col(f"_l{c}") for c in classes]) if num_classes > 1 else F.col("_l0")
+    df = df.withColumn("_top", top)
+    df = df.withColumns({f"_e{c}": F.exp(F.col(f"_l{c}") - F.col("_top")) for c in classes})
+    df = df.withColumn("_sum", sum((F.col(f"_e{c}") for c in classes), F.lit(0.0)))
+    df = df.withColumn("_log", F.col("_top") + F.log("_sum"))
+    return df.select(
+        *keep,
+        *[(F.col(f"_e{c}") / F.col("_sum")).alias(f"p{c}") for c in classes],
+        *[(F.col(f"_l{c}") - F.col("_log")).alias(f"q{c}") for c in classes],
+    )
+
+
+def _valid(pred, num_classes, ignore_index, target, keys=()):
+    df = drop_ignored(pred, target, ignore_index).withColumnRenamed(target, "_t")
+    return class_scores(df, num_classes, [*keys, "_t"])
 
 
 def eval_cross_entropy(pred: DataFrame, num_classes, weight=None, ignore_index=-1, label_smoothing=0.0, target="target"):
     """sum(w_t * nll) / sum(w_t), blended with the uniform term by the smoothing factor."""
-    df = drop_ignored(pred, target, ignore_index).select(
-        log_softmax("logits").alias("lp"), F.col(target).alias("t")
-    )
+    df = _valid(pred, num_classes, ignore_index, target)
+    q = [F.col(f"q{c}") for c in range(num_classes)]
     w = _weights(weight, num_classes)
     eps = F.lit(float(label_smoothing))
-    spread = array_sum(F.zip_with(w, F.col("lp"), lambda a, b: -a * b)) / F.lit(float(num_classes))
-    df = df.select(_at(w, F.col("t")).alias("wt"), (-_at(F.col("lp"), F.col("t"))).alias("nll"), spread.alias("sp"))
+    spread = sum((-q[c] * w[c] for c in range(num_classes)), F.lit(0.0)) / F.lit(float(num_classes))
+    df = df.select(_at(w, F.col("_t")).alias("wt"), (-_at(q, F.col("_t"))).alias("nll"), spread.alias("sp"))
     mean = ((F.lit(1.0) - eps) * F.sum(F.col("wt") * F.col("nll")) + eps * F.sum("sp")) / F.sum("wt")
     return df.agg(mean.alias("cross_entropy"))
 
 
 def eval_focal(pred: DataFrame, num_classes, alpha=None, gamma=2.0, ignore_index=-1, reduction="mean", target="target"):
-    df = drop_ignored(pred, target, ignore_index).select(log_softmax("logits").alias("lp"), F.col(target).alias("t"))
-    lp = _at(F.col("lp"), F.col("t"))
-    value = F.pow(F.lit(1.0) - F.exp(lp), F.lit(float(gamma))) * -lp * _at(_weights(alpha, num_classes), F.col("t"))
+    df = _valid(pred, num_classes, ignore_index, target)
+    lp = _at([F.col(f"q{c}") for c in range(num_classes)], F.col("_t"))
+    df = df.select(lp.alias("lp"), _at(_weights(alpha, num_classes), F.col("_t")).alias("wt"))
+    value = F.pow(F.lit(1.0) - F.exp("lp"), F.lit(float(gamma))) * -F.col("lp") * F.col("wt")
     return df.agg((F.avg(value) if reduction == "mean" else F.sum(value)).alias("focal"))
 
 
 def class_dice(pred: DataFrame, num_classes, smooth=1.0, ignore_index=-1, square=False, weight=None, target="target"):
-    """Loss per class from 2*num_classes sums gathered in one aggregate."""
-    df = drop_ignored(pred, target, ignore_index).select(softmax("logits").alias("p"), F.col(target).alias("t"))
+    """Loss per class from 3 * num_classes sums gathered in one aggregate."""
+    df = _valid(pred, num_classes, ignore_index, target)
     aggs = []
     for c in range(num_classes):
-        p, hit = F.get(F.col("p"), F.lit(c)), F.col("t") == c
+        p, hit = F.col(f"p{c}"), F.col("_t") == c
         aggs += [
             F.sum(F.when(hit, p).otherwise(0.0)).alias(f"i{c}"),
             F.sum(p * p if square else p).alias(f"p{c}"),
@@ -122,13 +147,13 @@ def lovasz_gradient(errors: DataFrame, keys: list[str], err="err", fg="fg", grou
 
 def class_errors(pred: DataFrame, num_classes, ignore_index=-1, target="target", keys=()) -> DataFrame:
     """|1[target = c] - p_c| for every class that occurs in the group's targets."""
-    df = drop_ignored(pred, target, ignore_index)
-    df = df.select(*keys, softmax("logits").alias("p"), F.col(target).alias("t"))
-    seen = df.select(*keys, F.col("t").alias("class")).distinct()
-    long = df.select(*keys, "t", F.posexplode("p").alias("class", "pc"))
-    fg = (F.col("t") == F.col("class")).cast("int")
-    long = long.select(*keys, F.col("class"), fg.alias("fg"), F.abs(fg - F.col("pc")).alias("err"))
-    return long.join(seen, [*keys, "class"], "left_semi")
+    df = _valid(pred, num_classes, ignore_index, target, keys)
+    seen = df.select(*keys, F.col("_t").alias("class")).distinct()
+    rows = []
+    for c in range(num_classes):
+        fg = (F.col("_t") == c).cast("int")
+        rows.append(F.struct(F.lit(c).alias("class"), fg.alias("fg"), F.abs(fg - F.col(f"p{c}")).alias("err")))
+    return df.select(*keys, F.inline(F.array(*rows))).join(seen, [*keys, "class"], "left_semi")
 
 
 def eval_lovasz_softmax(pred, num_classes, ignore_index=-1, class_seen=None, per_image=None, target="target", group_rows: int = GROUP_ROWS):
@@ -162,12 +187,15 @@ def _labelled_edges(edges, points, batch, feature, label, id_col):
     return gather_neighbours(edges, named, batch, ["f_dst", "l_dst"], id_col=id_col).join(src, [*batch, "src"])
 
 
-def eval_label_consistency(edges, points, batch, ignore_index=-1, logits="logits", label="label", id_col="point_id", loss_weight=1.0):
+def eval_label_consistency(edges, points, batch, num_classes, ignore_index=-1, logits="logits", label="label", id_col="point_id", loss_weight=1.0):
     """Mean squared distance of class probabilities over neighbour pairs of equal, valid label."""
-    prob = points.withColumn(logits, softmax(logits))
+    classes = range(num_classes)
+    prob = class_scores(points, num_classes, [*batch, id_col, label], logits)
+    prob = prob.select(*batch, id_col, label, F.array(*[F.col(f"p{c}") for c in classes]).alias(logits))
     e = _labelled_edges(edges, prob, batch, logits, label, id_col)
     e = e.filter((F.col("l_src") == F.col("l_dst")) & (F.col("l_src") != ignore_index))
-    total = F.coalesce(F.sum(squared_distance("f_src", "f_dst")), F.lit(0.0))
+    gap = [F.get("f_src", F.lit(c)) - F.get("f_dst", F.lit(c)) for c in classes]
+    total = F.coalesce(F.sum(sum((g * g for g in gap), F.lit(0.0))), F.lit(0.0))
     mean = F.lit(float(loss_weight)) * total / F.greatest(F.count(F.lit(1)), F.lit(1))
     return e.agg(mean.alias("label_consistency"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from cloudloom.session import cut_lineage
 
 DEPTH = 20  # a cell at full depth is 2^-20 of the batch's extent
-BLOCK_REFS = 2048  # reference rows a settled query cell may need
+BLOCK_REFS = 6000  # reference rows a settled query cell may need; above the usual tile limit of 5000
 BLOCK_QUERIES = 4096
 CELLS = ("_c0", "_c1", "_c2")
 
@@ -98,15 +98,18 @@ def _nearest_in_block(k, dims, with_self):
         qx = q[[f"_x{i}" for i in range(dims)]].to_numpy(dtype=float)
         want = k - 1 if with_self else k
         found = []
-        rows = max(1, 2_000_000 // max(1, len(rid)))
+        rows = max(1, 1_000_000 // max(1, len(rid)))
         for start in range(0, len(qid), rows):
             ids = qid[start : start + rows]
             d2 = np.zeros((len(ids), len(rid)))
             for i in range(dims):
-                diff = qx[start : start + rows, i][:, None] - rx[:, i][None, :]
-                d2 += diff * diff
+                diff = np.subtract.outer(qx[start : start + rows, i], rx[:, i])
+                diff *= diff
+                d2 += diff
             if with_self:
-                d2[ids[:, None] == rid[None, :]] = np.inf
+                at = np.minimum(np.searchsorted(rid, ids), len(rid) - 1)
+                here = np.nonzero(rid[at] == ids)[0]
+                d2[here, at[here]] = np.inf
                 found.append((ids, np.ones(len(ids), int), ids, np.zeros(len(ids))))
             if want and len(rid):
                 kth = (
@@ -114,7 +117,7 @@ def _nearest_in_block(k, dims, with_self):
                     if len(rid) > want
                     else np.full(len(ids), np.finfo(float).max)
                 )
-                at_q, at_r = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+                at_q, at_r = np.nonzero(d2 <= np.minimum(kth, np.finfo(float).max)[:, None])
                 order = np.lexsort((at_r, d2[at_q, at_r], at_q))
                 at_q, at_r = at_q[order], at_r[order]
                 first = np.searchsorted(at_q, np.arange(len(ids)))
@@ -169,10 +172,12 @@ def knn_join(
     while True:
         pairs = cut_lineage(_prune(pairs, batch, dims, k))
         fits = (F.col("_need") <= block_refs) if depth < DEPTH else F.lit(True)
-        settled.append((depth, pairs.filter(fits)))
-        todo = pairs.filter(~fits).select(*batch, *qa, *ra)
-        if depth == DEPTH or todo.isEmpty():
+        some, more = pairs.agg(F.count_if(fits), F.count_if(~fits)).first()
+        if some or not settled and not more:
+            settled.append((depth, pairs.filter(fits)))
+        if not more:
             break
+        todo = pairs.filter(~fits).select(*batch, *qa, *ra)
         depth += 1
         qk = _children(_cells(q, batch, coords, depth, "q"), todo, batch, dims, "q", depth)
         rk = _children(_cells(r, batch, coords, depth, "r"), todo, batch, dims, "r", depth)
@@ -190,8 +195,6 @@ def knn_join(
     block = [*batch, "_depth", *blk, "_part"]
     q_side, r_side = [], []
     for d, pairs in settled:
-        if len(settled) > 1 and pairs.isEmpty():
-            continue
         up = [F.shiftright(F.col(f"q{i}"), 1 if d else 0).alias(f"_b{i}") for i in range(dims)]
         pairs = pairs.withColumn("_depth", F.lit(d)).select("*", *up)
         cell = [*batch, *qa]
@@ -219,6 +222,10 @@ def knn_join(
     fields = [T.StructField("_src", q.schema["_id"].dataType), T.StructField("_rank", T.IntegerType())]
     fields += [T.StructField("_dst", r.schema["_id"].dataType), T.StructField("_d2", T.DoubleType())]
     fields += [q_blocks.schema[b] for b in block]
+    # a fixed number of partitions: adaptive execution would merge them by bytes, but a block costs
+    # far more time than its bytes suggest
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_blocks, r_blocks = q_blocks.repartition(n, *block), r_blocks.repartition(n, *r_block)
     edges = (
         q_blocks.groupBy(*block)
         .cogroup(r_blocks.groupBy(*r_block))
