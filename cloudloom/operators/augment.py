@@ -269,8 +269,8 @@ def aug_color_jitter(df, brightness=0.0, contrast=0.0, saturation=0.0, hue=0.0,
 
     rgb = [F.col(c) for c in RGB]
 
-    def run(df, when):
-        for place in range(4):
+    def run(df, places, when):
+        for place in places:
             out = dict(zip(RGB, rgb))
             if steps["hue"] is not None:
                 df = turn_hue(df)
@@ -283,11 +283,11 @@ def aug_color_jitter(df, brightness=0.0, contrast=0.0, saturation=0.0, hue=0.0,
             df = df.withColumns(out).drop(*[f"_hue_{c}" for c in RGB])
         return df
 
-    df = run(df, lambda place: F.lit(place) < F.col("_turn"))
+    df = run(df, range(3), lambda place: F.lit(place) < F.col("_turn"))
     if steps["contrast"]:
         df = with_group_stats(df, tile, [F.avg(colour.gray(*rgb)).alias("_gray")])
         df = _apply(df, F.col("_on_contrast"), dict(zip(RGB, changed("contrast", rgb)))).drop("_gray")
-    return run(df, lambda place: F.lit(place) > F.col("_turn")).drop("_turn", *params)
+    return run(df, range(1, 4), lambda place: F.lit(place) > F.col("_turn")).drop("_turn", *params)
 
 
 def aug_hue_saturation(df, hue_max=0.5, saturation_max=0.2, seed=0, epoch=0, tile=TILE):

@@ -16,7 +16,9 @@ How the search is spread over the cluster:
 
 Copies of one position cannot be split by depth, so reference rows are first cut to the k with the
 smallest ids per position; ties are broken by id, which makes the rest unreachable as neighbours.
-Query rows of a crowded cell are spread over several blocks.
+Query rows of a crowded cell are spread over several blocks. A cell that needs too many reference
+rows even at full depth (very many rows at nearly one distance) gets them in several chunks, whose
+answers are merged.
 """
 
 from __future__ import annotations
@@ -107,9 +109,10 @@ def _nearest_in_block(k, dims, with_self):
                 diff *= diff
                 d2 += diff
             if with_self:
-                at = np.minimum(np.searchsorted(rid, ids), len(rid) - 1)
-                here = np.nonzero(rid[at] == ids)[0]
-                d2[here, at[here]] = np.inf
+                if len(rid):
+                    at = np.minimum(np.searchsorted(rid, ids), len(rid) - 1)
+                    here = np.nonzero(rid[at] == ids)[0]
+                    d2[here, at[here]] = np.inf
                 found.append((ids, np.ones(len(ids), int), ids, np.zeros(len(ids))))
             if want and len(rid):
                 kth = (
@@ -172,10 +175,11 @@ def knn_join(
     while True:
         pairs = cut_lineage(_prune(pairs, batch, dims, k))
         fits = (F.col("_need") <= block_refs) if depth < DEPTH else F.lit(True)
-        some, more = pairs.agg(F.count_if(fits), F.count_if(~fits)).first()
+        some, more, most = pairs.agg(F.count_if(fits), F.count_if(~fits), F.max("_need")).first()
         if some or not settled and not more:
             settled.append((depth, pairs.filter(fits)))
         if not more:
+            crowded = depth == DEPTH and (most or 0) > block_refs
             break
         todo = pairs.filter(~fits).select(*batch, *qa, *ra)
         depth += 1
@@ -192,7 +196,7 @@ def knn_join(
 
     # A block is the parent of settled cells: siblings share most of the reference rows they need.
     blk = [f"_b{i}" for i in range(dims)]
-    block = [*batch, "_depth", *blk, "_part"]
+    block = [*batch, "_depth", *blk, "_part", "_chunk"]
     q_side, r_side = [], []
     for d, pairs in settled:
         up = [F.shiftright(F.col(f"q{i}"), 1 if d else 0).alias(f"_b{i}") for i in range(dims)]
@@ -202,16 +206,24 @@ def knn_join(
         parts = load.groupBy(*batch, "_depth", *blk).agg(
             F.ceil(F.sum("qn") / F.lit(block_queries)).cast("int").alias("_parts")
         )
+        need = pairs.select(*batch, "_depth", *blk, *ra, "rn").distinct()
+        if crowded and d == DEPTH:
+            chunks = F.ceil(F.sum("rn") / F.lit(block_refs)).cast("int").alias("_chunks")
+            parts = parts.join(need.groupBy(*batch, "_depth", *blk).agg(chunks), [*batch, "_depth", *blk])
+        else:
+            parts = parts.withColumn("_chunks", F.lit(1))
         load = load.drop("qn").join(parts, [*batch, "_depth", *blk])
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"q{i}") for i in range(dims)]
         mine = q.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
         mine = mine.join(load, cell).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+        mine = mine.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
         q_side.append(mine.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
-        need = pairs.select(*batch, "_depth", *blk, *ra).distinct().join(parts, [*batch, "_depth", *blk])
+        need = need.drop("rn").join(parts, [*batch, "_depth", *blk])
         need = need.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"r{i}") for i in range(dims)]
         theirs = r.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
         theirs = theirs.join(need, [*batch, *ra])
+        theirs = theirs.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
         r_side.append(theirs.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     run, names = _nearest_in_block(k, dims, with_self)
@@ -231,6 +243,10 @@ def knn_join(
         .cogroup(r_blocks.groupBy(*r_block))
         .applyInPandas(run, T.StructType(fields))
     )
+    if crowded:
+        best = Window.partitionBy(*batch, "_src").orderBy((F.col("_src") != F.col("_dst")) if with_self else F.lit(0), "_d2", "_dst")
+        edges = edges.select(*batch, "_src", "_dst", "_d2").distinct()
+        edges = edges.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
     return edges.select(
         *batch,
         F.col("_src").alias("src"),

@@ -47,3 +47,13 @@ def test_fewer_rows_than_k(spark):
     assert got == [(0, 1, 1, 1, 0.0), (0, 1, 2, 2, 25.0), (0, 2, 1, 2, 0.0), (0, 2, 2, 1, 25.0), (1, 3, 1, 3, 0.0)]
     empty = spark.createDataFrame(pdf).filter("b > 5")
     assert knn_join(spark.createDataFrame(pdf), empty, 2, ["b"]).count() == 0
+
+
+@pytest.mark.parametrize("with_self", [True, False])
+def test_cells_that_stay_crowded_at_full_depth(spark, crowded, with_self, monkeypatch):
+    from cloudloom.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "DEPTH", 2)
+    df = spark.createDataFrame(crowded)
+    got = knn_join(df, df, 5, ["b"], with_self=with_self, block_refs=40, block_queries=30).collect()
+    assert sorted(map(tuple, got)) == brute(crowded, crowded, 5, with_self, "xyz")
