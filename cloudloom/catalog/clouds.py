@@ -118,7 +118,7 @@ query("take_rows", sql(PTS, "SELECT * FROM pts WHERE classification = 3", "file_
 
 
 @query(
-    "pipeline",
+    "compose_transforms",
     sql(
         cte(TP, f"a AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy FROM tp WINDOW w AS (PARTITION BY {T}))"),
         f"SELECT {T}, point_id, cx * 2 AS cx, cy * 2 AS cy, intensity / 65535e0 AS intensity FROM a WHERE classification <> 0",

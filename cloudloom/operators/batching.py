@@ -182,8 +182,7 @@ def batch_count_estimate(samples: DataFrame, size: str, max_points: int) -> Data
 
 def cap_batches(packed: DataFrame, estimate: DataFrame) -> DataFrame:
     """Drops the batches from the estimated count on, as an epoch of estimated length does."""
-    one = estimate.select(F.col("batches").alias("_cap"), F.lit(1).alias("_one"))
-    return packed.withColumn("_one", F.lit(1)).join(one, "_one").filter("batch_id < _cap").drop("_one", "_cap")
+    return packed.filter(F.col("batch_id") < F.lit(estimate.first()["batches"]))
 
 
 def fixed_batches(samples: DataFrame, order: str, batch_size: int, drop_last=False, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -134,11 +134,7 @@ def lovasz_gradient(errors: DataFrame, keys: list[str], err="err", fg="fg", grou
         F.sum(F.col(fg).cast("long")).alias("_f"), F.sum(1 - F.col(fg).cast("long")).alias("_b")
     )
     g = ordered_prefix(g, keys, [F.col(err).desc()], sums={"_fb": "_f", "_bb": "_b"}, group_rows=group_rows)
-    gts = F.sum("_f").alias("_gts")
-    if keys:
-        g = with_group_stats(g, keys, [gts])
-    else:
-        g = with_group_stats(g.withColumn("_one", F.lit(1)), ["_one"], [gts]).drop("_one")
+    g = with_group_stats(g, keys, [F.sum("_f").alias("_gts")])
     first = (F.col("_fb") + F.col("_bb")) == 0
     before = F.when(first, F.lit(0.0)).otherwise(_jaccard(F.col("_gts"), F.col("_fb"), F.col("_bb"), F.lit(0), F.lit(0)))
     after = _jaccard(F.col("_gts"), F.col("_fb"), F.col("_bb"), F.col("_f"), F.col("_b"))

@@ -171,11 +171,12 @@ def knn_join(
 
     qa, ra = [f"q{i}" for i in range(dims)], [f"r{i}" for i in range(dims)]
     pairs = _cells(q, batch, coords, 0, "q").join(_cells(r, batch, coords, 0, "r"), batch)
-    settled, depth = [], 0
+    settled, depth, settled_pairs = [], 0, 0
     while True:
         pairs = cut_lineage(_prune(pairs, batch, dims, k))
         fits = (F.col("_need") <= block_refs) if depth < DEPTH else F.lit(True)
         some, more, most = pairs.agg(F.count_if(fits), F.count_if(~fits), F.max("_need")).first()
+        settled_pairs += some
         if some or not settled and not more:
             settled.append((depth, pairs.filter(fits)))
         if not more:
@@ -236,7 +237,7 @@ def knn_join(
     fields += [q_blocks.schema[b] for b in block]
     # a fixed number of partitions: adaptive execution would merge them by bytes, but a block costs
     # far more time than its bytes suggest
-    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), settled_pairs))
     q_blocks, r_blocks = q_blocks.repartition(n, *block), r_blocks.repartition(n, *r_block)
     edges = (
         q_blocks.groupBy(*block)

@@ -138,5 +138,10 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: list[Column]) -> Dat
     Aggregate-then-join instead of a window: the aggregate combines before its shuffle, the join
     is a broadcast when the statistics are measured to be small, and otherwise a shuffle join that
     adaptive execution splits on a hot key. A window would send each hot group to one task.
+    Without keys the statistics are one row, which becomes literals of the plan.
     """
+    if not keys:
+        one = df.agg(*stats)
+        row = one.first()
+        return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema})
     return df.join(df.groupBy(*keys).agg(*stats), keys)

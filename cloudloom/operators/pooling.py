@@ -33,8 +33,6 @@ def grid_pool(points: DataFrame, grid: float, batch: list[str], features: list[s
 def segment_max_pool(points: DataFrame, batch: list[str], features: list[str]) -> DataFrame:
     """Maximum of each feature over the batch element, on every member. No batch: over all rows."""
     aggs = [F.max(f).alias(f"{f}_max") for f in features]
-    if not batch:
-        return points.withColumn("_one", F.lit(1)).transform(lambda d: with_group_stats(d, ["_one"], aggs)).drop("_one")
     return with_group_stats(points, batch, aggs)
 
 

@@ -67,3 +67,18 @@ def test_precision_means_differ_by_class_filter(spark):
     per = metrics.per_class_metrics(metrics.tp_fp_fn(cm, 3), 3)
     assert abs(metrics.macro_precision(per).first()[0] - 2 / 3) < 1e-6
     assert abs(metrics.segmentation_report(per).first()["mean_precision"] - 1.0) < 1e-6
+
+
+def test_statistics_without_keys(spark):
+    from cloudloom.operators.pooling import segment_max_pool
+
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0)], "id int, v double")
+    assert [r.v_max for r in segment_max_pool(df, [], ["v"]).collect()] == [5.0, 5.0]
+    flat = spark.createDataFrame([(1.0, 1), (-2.0, 0), (0.5, 0)], "logit double, label int")
+    x, t = np.array([1.0, -2.0, 0.5]), np.array([1, 0, 0])
+    err = 1 - x * (2 * t - 1)
+    order = np.argsort(-err)
+    g = t[order]
+    jac = 1 - (g.sum() - g.cumsum()) / (g.sum() + (1 - g).cumsum())
+    want = float((np.maximum(err[order], 0) * np.diff(jac, prepend=0)).sum())
+    assert abs(losses.eval_lovasz_hinge(flat).first()[0] - want) < 1e-9

@@ -24,7 +24,7 @@ def crowded():
     """A third of the rows at one position, a third in a dense cluster, the rest spread out."""
     rng = np.random.default_rng(1)
     n = 600
-    xyz = np.concatenate([np.full((200, 3), 9.0), 5 + rng.random((200, 3)) * 0.01, rng.random((200, 3)) * 100])
+    xyz = np.concatenate([np.full((200, 3), 9.0), 5 + rng.random((200, 3)) * 0.3, rng.random((200, 3)) * 100])
     cols = dict(zip("xyz", xyz.T))
     return pd.DataFrame({"b": np.arange(n) % 3 // 2, "point_id": rng.permutation(n), **cols})
 
