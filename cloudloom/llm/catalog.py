@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.exact_dedup import exact_groups
+from cloudloom.llm.ngram_join import ngram_jaccard_groups
 from cloudloom.llm.substring_dedup import substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
+from cloudloom.llm.url_filter import filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +50,48 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN k USING (doc_id)"""
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op1_exact_dedup",
+    f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {LOWER_SQL} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+)
+def op1_exact_dedup(spark, sf_dir):
+    """Groups of documents whose texts are equal but for the case of A-Z; the largest doc_id stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_groups(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op4_ngram_jaccard_join",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE e.y > r.root)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL""",
+)
+def op4_ngram_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by a Jaccard similarity of at least 0.8 of their five-word shingles."""
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+#: Verdict, host and path; the longest fitting rule wins.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@query("op9_url_filter")
+def op9_url_filter(spark, sf_dir):
+    """Every page judged by the rules, or by the path templates of its host where no rule fits."""
+    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "labelled", F.round("blocked_share", 6).alias("blocked_share"))
+
+
 def _without_repeats(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
 
