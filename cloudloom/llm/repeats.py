@@ -27,8 +27,10 @@ from cloudloom.llm.tables import bucket_count, joined, pack, row_key, runs, unpa
 from cloudloom.llm.words import Words, mix, slices, split_words, window_codes, window_starts
 
 ANCHOR_BYTES = 5  # of an anchor's hash that travel; the bucket adds the rest, and step 3 is exact anyway
+WINDOW_BYTES = 8
 FLUSH = 1 << 21  # entries that a task gathers before it sends them
 ENTRY = "route int, kind int, key binary, code binary"
+_ENTRY = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("code", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,25 @@ class Anchors:
         raise NotImplementedError
 
 
+def _blobs(route, kind, key, code, code_bytes):
+    """Entries as rows of bytes, one row per route."""
+    order = np.argsort(route, kind="stable")
+    begin, count = runs(route[order])
+    out = {"route": [], "kind": [], "key": [], "code": []}
+    for b, n in zip(begin, count):
+        at = order[b : b + n]
+        out["route"].append(int(route[at[0]]))
+        out["kind"].append(kind)
+        out["key"].append(b"" if key is None else key[at].tobytes())
+        out["code"].append(pack(code[at], code_bytes))
+    return pa.RecordBatch.from_pydict(out, schema=_ENTRY)
+
+
+def _home(keys, n_buckets):
+    """The group of texts that a row key, read as unsigned, belongs to."""
+    return (keys.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+
+
 def _meet(keys, codes, route_of, n_buckets, code_bytes):
     """Rows for the buckets: one entry per code that this task saw once (kind 0, key: where) or more often
     (kind 1), and for the latter also what the texts get back (kind 2, spread over all buckets)."""
@@ -50,39 +71,25 @@ def _meet(keys, codes, route_of, n_buckets, code_bytes):
     keys, codes = keys[order], codes[order]
     start, length = runs(codes)
     single = length == 1
-    parts = [
-        (0, keys[start[single]], codes[start[single]], route_of(codes[start[single]])),
-        (1, None, codes[start[~single]], route_of(codes[start[~single]])),
-    ]
+    once, often = start[single], start[~single]
+    yield _blobs(route_of(codes[once]), 0, keys[once], codes[once], code_bytes)
+    yield _blobs(route_of(codes[often]), 1, None, codes[often], code_bytes)
     local = np.repeat(~single, length)
-    parts.append((2, keys[local], codes[local], (mix(keys[local].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)))
-    for kind, k, c, route in parts:
-        order = np.argsort(route, kind="stable")
-        begin, count = runs(route[order])
-        out = {"route": [], "kind": [], "key": [], "code": []}
-        for b, n in zip(begin, count):
-            at = order[b : b + n]
-            out["route"].append(int(route[at[0]]))
-            out["kind"].append(kind)
-            out["key"].append(b"" if k is None else k[at].tobytes())
-            out["code"].append(pack(c[at], code_bytes if kind < 2 else 8))
-        if out["route"]:
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("code", pa.binary())]))
-
-
-def _found(code_bytes):
-    """In a bucket: the entries whose code comes more than once, by key."""
+    yield _blobs(_home(keys[local], n_buckets), 2, keys[local], codes[local], code_bytes)
+
+
+def _found(n_buckets, code_bytes):
+    """In a bucket: the entries whose code comes more than once, for the groups of texts they belong to."""
 
     def fn(table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_pylist()
         cols = {k: [] for k in ("key", "code", "many")}
         back_k, back_c = [], []
-        for kind, k, c in zip(kinds, table["key"].to_pylist(), table["code"].to_pylist()):
+        for kind, k, c in zip(*(table[x].to_pylist() for x in ("kind", "key", "code"))):
+            c = unpack(c, code_bytes)
             if kind == 2:
                 back_k.append(np.frombuffer(k, np.int64))
-                back_c.append(unpack(c, 8))
+                back_c.append(c)
                 continue
-            c = unpack(c, code_bytes)
             cols["code"].append(c)
             cols["key"].append(np.frombuffer(k, np.int64) if kind == 0 else np.zeros(len(c), np.int64))
             cols["many"].append(np.full(len(c), kind == 1))
@@ -91,18 +98,9 @@ def _found(code_bytes):
         code, key, many = code[order], key[order], many[order]
         start, length = runs(code)
         shared = np.repeat(length > 1, length) & ~many
-        # what is sent back names an entry by the bytes that travelled, or whole when it never left the task
         keys = np.concatenate([key[shared], joined(back_k, np.int64)])
-        codes = np.concatenate([code[shared], joined(back_c, np.uint64) & _mask(code_bytes)])
-        order = np.argsort(keys, kind="stable")
-        keys, codes = keys[order], codes[order]
-        start, length = runs(keys)
-        return pa.table(
-            {
-                "_key": pa.array(keys[start], pa.int64()),
-                "_codes": pa.array([pack(codes[s : s + n], code_bytes) for s, n in zip(start, length)], pa.binary()),
-            }
-        )
+        codes = np.concatenate([code[shared], joined(back_c, np.uint64)])
+        return pa.Table.from_batches([_blobs(_home(keys, n_buckets), 0, keys, codes, code_bytes)])
 
     return fn
 
@@ -134,12 +132,6 @@ def _sender(n_buckets: int, code_bytes: int, entries):
     return fn
 
 
-def _shared(entries: DataFrame, code_bytes: int, name: str) -> DataFrame:
-    """Per text the codes that also occur elsewhere. A text gets a list of at most its own length."""
-    found = entries.groupBy("route").applyInArrow(_found(code_bytes), "_key long, _codes binary")
-    return found.groupBy("_key").agg(F.collect_list("_codes").alias(name))
-
-
 def _anchor_codes(words: Words, anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
     """Where anchors start, and their hashes."""
     at = anchors.pick(words)
@@ -147,9 +139,18 @@ def _anchor_codes(words: Words, anchors: Anchors) -> tuple[np.ndarray, np.ndarra
     return at, codes[at] if len(at) else np.zeros(0, np.uint64)
 
 
-def _own(column: pa.Array, row: int, width: int) -> np.ndarray | None:
-    values = column[row].as_py()
-    return np.unique(unpack(b"".join(values), width)) if values else None
+class _Own:
+    """Codes that came back to a group of texts, by row key."""
+
+    def __init__(self, table: pa.Table, code_bytes: int):
+        key = joined([np.frombuffer(k, np.int64) for k in table["key"].to_pylist()], np.int64)
+        code = joined([unpack(c, code_bytes) for c in table["code"].to_pylist()], np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.code = key[order], code[order]
+
+    def of(self, key: int) -> np.ndarray | None:
+        a, b = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
+        return np.unique(self.code[a:b]) if b > a else None
 
 
 def drop_repeats(docs: DataFrame, anchors: Anchors, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +160,11 @@ def drop_repeats(docs: DataFrame, anchors: Anchors, window: int, id_col: str = "
     """
     n_buckets = bucket_count(docs, text_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_key"))
-    parts = max(n_buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = base.repartition(parts, "_key")  # one exchange of the texts, which both joins below use
+    # groups of texts of about a bucket each; both steps below use this one exchange of the texts
+    signed = F.pmod(F.col("_key"), F.lit(n_buckets))
+    wrap = F.pmod(F.lit((1 << 64) % n_buckets), F.lit(n_buckets))
+    home = F.when(F.col("_key") >= 0, signed).otherwise(F.pmod(signed + wrap, F.lit(n_buckets)))  # of the key read as unsigned
+    dealt = base.withColumn("_home", home.cast("int"))
 
     def anchor_entries(batch):
         keys = batch.column("_key").to_numpy(zero_copy_only=False)
@@ -169,25 +173,23 @@ def drop_repeats(docs: DataFrame, anchors: Anchors, window: int, id_col: str = "
             at, codes = _anchor_codes(words, anchors)
             yield keys[row + np.searchsorted(words.first, at, side="right") - 1], codes
 
-    sent = base.select("_key", "_text").mapInArrow(_sender(n_buckets, ANCHOR_BYTES, anchor_entries), ENTRY)
-    active = _shared(sent, ANCHOR_BYTES, "_active")
+    def met(entries: DataFrame, code_bytes: int) -> DataFrame:
+        return entries.groupBy("route").applyInArrow(_found(n_buckets, code_bytes), ENTRY)
 
-    def window_entries(batch):
+    def window_entries(texts: pa.Table, own: _Own):
         """Codes of all windows around the shared anchors of each text."""
-        keys = batch.column("_key").to_numpy(zero_copy_only=False)
-        active = batch.column("_active")
-        for row, data, offsets in slices(batch.column("_text")):
+        keys = texts["_key"].to_numpy()
+        for row, data, offsets in slices(texts["_text"]):
             words = split_words(data, offsets)
             at, codes = _anchor_codes(words, anchors)
-            n = len(words.code)
-            edge = np.zeros(n + 1, np.int64)
+            edge = np.zeros(len(words.code) + 1, np.int64)
             bounds = np.searchsorted(at, words.first)
             for i in range(len(offsets) - 1):
-                own = _own(active, row + i, ANCHOR_BYTES)
-                if own is None:
+                shared = own.of(keys[row + i])
+                if shared is None:
                     continue
                 lo, hi = bounds[i], bounds[i + 1]
-                hit = at[lo:hi][np.isin(codes[lo:hi] & _mask(ANCHOR_BYTES), own)]
+                hit = at[lo:hi][np.isin(codes[lo:hi] & _mask(ANCHOR_BYTES), shared)]
                 np.add.at(edge, np.maximum(hit - anchors.reach, words.first[i]), 1)
                 np.add.at(edge, hit + 1, -1)
             near = np.cumsum(edge[:-1]) > 0
@@ -196,42 +198,43 @@ def drop_repeats(docs: DataFrame, anchors: Anchors, window: int, id_col: str = "
             if len(starts):
                 yield keys[row + np.searchsorted(words.first, starts, side="right") - 1], window_codes(words.code, window)[starts]
 
-    found = dealt.join(active, "_key").select("_id", "_text", "_key", "_active")
-    sent = found.mapInArrow(_sender(n_buckets, 8, window_entries), ENTRY)
-    twice = _shared(sent, 8, "_twice")
-
-    def finish(batches):
-        for batch in batches:
-            twice = batch.column("_twice")
-            n_words, n_removed, kept = [], [], []
-            for row, data, offsets in slices(batch.column("_text")):
-                raw = data.tobytes()
-                rows = range(len(offsets) - 1)
-                own = [_own(twice, row + i, 8) for i in rows]
-                words = codes = None
-                if any(o is not None for o in own):
-                    words = split_words(data, offsets)
-                    codes = window_codes(words.code, window)
-                for i in rows:
-                    parts = raw[offsets[i] : offsets[i + 1]].split()
-                    stay = parts
-                    if own[i] is not None:
-                        a, b = words.first[i], words.first[i + 1]
-                        gone = np.zeros(b - a + 1, np.int64)
-                        start = np.flatnonzero(np.isin(codes[a : b - window + 1], own[i]))
-                        gone[start] += 1
-                        np.add.at(gone, start + window, -1)
-                        mask = np.cumsum(gone[:-1]) == 0
-                        stay = [w for w, keep in zip(parts, mask.tolist()) if keep]
-                    n_words.append(len(parts))
-                    n_removed.append(len(parts) - len(stay))
-                    kept.append(b" ".join(stay))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                schema=pa.schema([("_id", batch.schema.field("_id").type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]),
-            )
+    def extend(texts: pa.Table, back: pa.Table) -> pa.Table:
+        own = _Own(back, ANCHOR_BYTES)
+        entries = lambda _: window_entries(texts, own)
+        found = _sender(n_buckets, WINDOW_BYTES, entries)([None]) if len(own.key) and len(texts) else []
+        return pa.Table.from_batches(list(found), schema=_ENTRY)
+
+    def finish(texts: pa.Table, back: pa.Table) -> pa.Table:
+        own = _Own(back, WINDOW_BYTES)
+        keys = texts["_key"].to_numpy() if len(texts) else []
+        n_words, n_removed, kept = [], [], []
+        for row, data, offsets in slices(texts["_text"]) if len(texts) else ():
+            raw = data.tobytes()
+            twice = [own.of(keys[row + i]) for i in range(len(offsets) - 1)]
+            if any(o is not None for o in twice):
+                words = split_words(data, offsets)
+                codes = window_codes(words.code, window)
+            for i, shared in enumerate(twice):
+                stay = parts = raw[offsets[i] : offsets[i + 1]].split()
+                if shared is not None:
+                    a, b = words.first[i], words.first[i + 1]
+                    gone = np.zeros(b - a + 1, np.int64)
+                    start = np.flatnonzero(np.isin(codes[a : b - window + 1], shared))
+                    gone[start] += 1
+                    np.add.at(gone, start + window, -1)
+                    stay = [w for w, keep in zip(parts, (np.cumsum(gone[:-1]) == 0).tolist()) if keep]
+                n_words.append(len(parts))
+                n_removed.append(len(parts) - len(stay))
+                kept.append(b" ".join(stay))
+        return pa.table(
+            [texts["_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            names=["_id", "n_words", "n_removed", "kept"],
+        )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    done = dealt.join(twice, "_key", "left").select("_id", "_text", "_key", "_twice")
-    out = done.mapInArrow(finish, f"_id {id_type}, n_words long, n_removed long, kept string")
+    sent = base.select("_key", "_text").mapInArrow(_sender(n_buckets, ANCHOR_BYTES, anchor_entries), ENTRY)
+    shared = met(sent, ANCHOR_BYTES).groupBy("route")
+    sent = dealt.groupBy("_home").cogroup(shared).applyInArrow(extend, ENTRY)
+    twice = met(sent, WINDOW_BYTES).groupBy("route")
+    out = dealt.groupBy("_home").cogroup(twice).applyInArrow(finish, f"_id {id_type}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", id_col)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 12 << 20  # text behind one bucket of fingerprints
+BUCKET_BYTES = 4 << 20  # text behind one bucket of fingerprints
 BROADCAST_ROWS = 100_000  # largest table, in rows of a few numbers, that is sent to every task
 
 
