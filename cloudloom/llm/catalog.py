@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.decontaminate import find_leaks
 from cloudloom.llm.exact_dedup import exact_groups
+from cloudloom.llm.language_id import fit_dictionaries, fold, identify
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
+from cloudloom.llm.sentencepiece_codec import encode_decode
 from cloudloom.llm.substring_dedup import substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
 from cloudloom.llm.url_filter import filter_urls
@@ -81,6 +85,23 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    """Language of every document, learnt from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = fit_dictionaries(docs.filter(fold("doc_id", 4) != 2))
+    judged = identify(docs.select("doc_id", "text"), dictionaries)
+    return judged.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    """Every document as ids of a public vocabulary, and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
+
+
 #: Verdict, host and path; the longest fitting rule wins.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -96,6 +117,20 @@ def _without_repeats(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, exactly or with up to a fifth of its words edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.array_join(F.transform("leaks", lambda x: x["item"].cast("string")), ",").alias("item_ids"),
+        F.array_min(F.transform("leaks", lambda x: x["distance"].cast("long"))).alias("least_distance"),
+    )
+
+
 @query("op3_suffix_dedup", _repeats_sql(50))
 def op3_suffix_dedup(spark, sf_dir):
     """Passages of 50 words that occur more than once, taken out of every document."""
