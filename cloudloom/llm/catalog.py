@@ -10,6 +10,7 @@ from cloudloom.llm.decontaminate import find_leaks
 from cloudloom.llm.exact_dedup import exact_groups
 from cloudloom.llm.language_id import fit_dictionaries, fold, identify
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
+from cloudloom.llm.secret_scan import KINDS, scan_secrets, train
 from cloudloom.llm.sentencepiece_codec import encode_decode
 from cloudloom.llm.substring_dedup import substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
@@ -102,6 +103,22 @@ def op6_sentencepiece(spark, sf_dir):
     return done.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 
 
+@query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    """Secrets of every document: those of the fixed patterns, and those that the trained field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, train(docs))
+
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))
+
+
 #: Verdict, host and path; the longest fitting rule wins.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
