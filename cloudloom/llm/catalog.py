@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cloudloom.llm.decontaminate import find_leaks
 from cloudloom.llm.exact_dedup import exact_groups
 from cloudloom.llm.language_id import fit_dictionaries, fold, identify
+from cloudloom.llm.lm_score import score_texts
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
 from cloudloom.llm.secret_scan import KINDS, scan_secrets, train
 from cloudloom.llm.sentencepiece_codec import encode_decode
@@ -119,6 +120,14 @@ def op7_secret_scan(spark, sf_dir):
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))
 
 
+@query("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    """Scores of every document by a word model and a recurrent model, learnt from four of five folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) != 1).alias("learn"))
+    scored = score_texts(docs, "learn")
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Verdict, host and path; the longest fitting rule wins.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
