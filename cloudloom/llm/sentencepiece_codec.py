@@ -38,9 +38,10 @@ class Vocabulary:
         self.silent = {i for i in range(n) if lib.is_control(i)}
         score = [lib.get_score(i) for i in range(n)]
         plain = [i for i in range(n) if i not in special]
-        # runs of marks merge last and from the left, so that they are cut greedily
+        # runs of marks merge last and from the left, so that a long one is cut into the longest from there
         self.marks = {len(self.pieces[i]): i for i in plain if set(self.pieces[i]) == {MARK}}
-        self.longest_run = max(self.marks, default=0)
+        self.longest_run = max(self.marks, default=1)
+        self.rest_of_run = [self._merge_marks(n) for n in range(self.longest_run)]
         self.ids = {self.pieces[i]: i for i in plain if len(self.pieces[i]) == 1 or set(self.pieces[i]) != {MARK}}
         if any(MARK in p[1:] for p in self.ids):
             raise ValueError("a piece holds the space mark after another character")
@@ -66,6 +67,16 @@ class Vocabulary:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
 
+    def _merge_marks(self, n: int) -> list[int]:
+        parts, k = [1] * n, 0
+        while k + 1 < len(parts):
+            if parts[k] + parts[k + 1] in self.marks:
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                k = 0
+            else:
+                k += 1
+        return [self.marks[m] for m in parts]
+
     def _merge(self, text: str) -> tuple[int, int] | None:
         """The two tokens whose merge, the last of all, gives `text`; None if merging ends otherwise."""
         parts = list(text)
@@ -188,9 +199,8 @@ class Codec:
 
     def _run(self, n: int) -> list[int]:
         """Tokens of `n` marks that merge with nothing but each other."""
-        most = self.v.longest_run
-        full, rest = divmod(n, most)
-        return [self.v.marks[most]] * full + ([self.v.marks[rest]] if rest else [])
+        full, rest = divmod(n, self.v.longest_run)
+        return [self.v.marks[self.v.longest_run]] * full + self.v.rest_of_run[rest]
 
 
 class Decoder:
@@ -201,12 +211,14 @@ class Decoder:
         self.text = {str(i): p.replace(MARK, " ") for i, p in enumerate(v.pieces)} | {str(i): "" for i in v.silent}
         # an ASCII byte is a character; others wait, as lone surrogates, for the whole run
         self.text |= {str(i): chr(b) if b < 128 else chr(0xDC00 + b) for b, i in v.bytes.items()}
+        self.byte_tokens = {str(i) for i in v.bytes.values()}
         self.waiting = re.compile("[\udc80-\udcff]+")
 
     def decode(self, ids: str) -> str:
-        text = "".join(map(self.text.__getitem__, ids.split(" ")))
+        tokens = ids.split(" ")
+        text = "".join(map(self.text.__getitem__, tokens))
         text = self.waiting.sub(lambda m: _utf8(bytes(ord(c) - 0xDC00 for c in m[0])), text)
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if text.startswith(" ") and tokens[0] not in self.byte_tokens else text
 
 
 def _utf8(data: bytes) -> str:
