@@ -304,24 +304,24 @@ def _(t):
     return quality.index_coverage(t.points(), m)
 
 
-LOW = cte(MOD, "cut AS (SELECT * FROM draws WHERE loop_idx < 2)", f"dp AS (SELECT {T}, point_id, count(*) AS times FROM cut GROUP BY ALL)", f"pc AS (SELECT {T}, count(*) AS points FROM tp GROUP BY {T})",
-          f"sc AS (SELECT {T}, count(*) AS sampled, CAST(sum(times) AS BIGINT) AS draws, max(times) AS max_repeat FROM dp GROUP BY {T})")
-
-
-def _low(t):
-    return draws(t).filter("loop_idx < 2")
+def _audits(suffix, which, draws_of):
+    """The audits of draws, on complete draws and on draws that lack some loops."""
+    low = cte(MOD, f"cut AS (SELECT * FROM draws WHERE {which})", f"dp AS (SELECT {T}, point_id, count(*) AS times FROM cut GROUP BY ALL)", f"pc AS (SELECT {T}, count(*) AS points FROM tp GROUP BY {T})",
+              f"sc AS (SELECT {T}, count(*) AS sampled, CAST(sum(times) AS BIGINT) AS draws, max(times) AS max_repeat FROM dp GROUP BY {T})")
+    query(f"sampling_coverage{suffix}", sql(low, f"SELECT *, draws / sampled AS mean_repeat, sampled * 100e0 / points AS coverage, sampled = points AS passed FROM pc JOIN sc USING ({T})", f"{TC} points sampled draws max_repeat passed", "mean_repeat coverage"))(
+        lambda t: out(quality.sampling_coverage(tiled(t).select(*TILE, "point_id"), draws_of(t)))
+    )
+    query(f"repeat_histogram{suffix}", sql(low, "SELECT times, count(*) AS points FROM dp GROUP BY times", "times points"))(lambda t: quality.repeat_histogram(draws_of(t)))
+    query(
+        f"strict_tile_coverage{suffix}",
+        sql(cte(low, f"vv AS (SELECT {V}, count(*) FILTER (WHERE dp.point_id IS NULL) AS lost FROM ix LEFT JOIN dp USING ({T}, point_id) GROUP BY {V})"),
+            f"SELECT {T}, CAST(sum(lost) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, count(*) AS voxels, count(*) FILTER (WHERE lost = 0) AS full_voxels, count(*) FILTER (WHERE lost = 0) * 100e0 / count(*) AS full_share FROM vv GROUP BY {T}",
+            f"{TC} missing extra voxels full_voxels", "full_share"),
+    )(lambda t: out(quality.strict_tile_coverage(index(t), draws_of(t))))
 
 
-query("sampling_coverage", sql(LOW, f"SELECT *, draws / sampled AS mean_repeat, sampled * 100e0 / points AS coverage, sampled * 100e0 / points >= 99.99 AS passed FROM pc JOIN sc USING ({T})", f"{TC} points sampled draws max_repeat passed", "mean_repeat coverage"))(
-    lambda t: out(quality.sampling_coverage(tiled(t).select(*TILE, "point_id"), _low(t)))
-)
-query("repeat_histogram", sql(LOW, "SELECT times, count(*) AS points FROM dp GROUP BY times", "times points"))(lambda t: quality.repeat_histogram(_low(t)))
-query(
-    "strict_tile_coverage",
-    sql(cte(LOW, f"vv AS (SELECT {V}, count(*) FILTER (WHERE dp.point_id IS NULL) AS lost FROM ix LEFT JOIN dp USING ({T}, point_id) GROUP BY {V})"),
-        f"SELECT {T}, CAST(sum(lost) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, count(*) AS voxels, count(*) FILTER (WHERE lost = 0) AS full_voxels, count(*) FILTER (WHERE lost = 0) * 100e0 / count(*) AS full_share FROM vv GROUP BY {T}",
-        f"{TC} missing extra voxels full_voxels", "full_share"),
-)(lambda t: out(quality.strict_tile_coverage(index(t), _low(t))))
+_audits("", "true", draws)
+_audits("_damaged", "loop_idx < 2", lambda t: draws(t).filter("loop_idx < 2"))
 
 
 @query("validate_tiles", sql(cte(TILES, f"bad AS (SELECT * FROM tiles WHERE (xb + yb) % 2 = 0)"),

@@ -212,11 +212,11 @@ def _(t):
 
 query("batch_count_exact", sql(PACK, "SELECT count(DISTINCT batch_id) AS batches FROM pk", "batches", recursive=True))(lambda t: batching.batch_count_exact(packed(t)))
 EST = f"greatest(CAST(floor(count(*) / ({PACK_LIMIT}e0 / avg(num_points)) * 0.95e0) AS BIGINT), 1)"
-query("batch_count_estimate", sql(PACK, f"SELECT sample_id, batch_id FROM pk WHERE batch_id < (SELECT {EST} FROM smp)", "sample_id batch_id", recursive=True))(
-    lambda t: batching.cap_batches(packed(t), batching.batch_count_estimate(samples(t), "num_points", PACK_LIMIT)).select("sample_id", "batch_id")
+query("batch_count_estimate", sql(SMP, f"SELECT {EST} AS batches FROM smp", "batches"))(
+    lambda t: batching.batch_count_estimate(samples(t), "num_points", PACK_LIMIT)
 )
-query("fixed_batches", sql(cte(SMP, "fb AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) // 16 AS batch_id FROM smp)"), "SELECT * FROM fb QUALIFY count(*) OVER (PARTITION BY batch_id) = 16", "sample_id batch_id"))(
-    lambda t: batching.fixed_batches(samples(t), "sample_id", 16, drop_last=True).select("sample_id", "batch_id")
+query("fixed_batches", sql(cte(SMP, "fb AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) // 16 AS batch_id FROM smp)"), "SELECT * FROM fb", "sample_id batch_id"))(
+    lambda t: batching.fixed_batches(samples(t), "sample_id", 16).select("sample_id", "batch_id")
 )
 query("collate", sql(PACK, "SELECT o_orderkey AS point_id, sample_id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY sample_id, o_orderkey) - 1 AS pos_in_batch FROM orders JOIN pk ON sample_id = o_custkey", "point_id sample_id batch_id pos_in_batch", recursive=True))(
     lambda t: batching.collate(t.raw("orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("point_id")), packed(t).withColumn("ord", F.col("sample_id")), ["sample_id"], "ord").select("point_id", "sample_id", "batch_id", "pos_in_batch")

@@ -101,8 +101,8 @@ GR = cte(
     f"FROM k3 JOIN gr ON gr.point_id = dst AND gr.file_id = k3.file_id GROUP BY ALL)",
     f"dm AS (SELECT gs.*, coalesce(cell_z, near_z) AS ground_z, near_z FROM gs LEFT JOIN rs USING ({T}, cx, cy) LEFT JOIN iw USING ({T}, point_id))",
 )
-query("dtm_raster", sql(GR, "SELECT *, z - ground_z AS h_norm FROM dm WHERE ground_z IS NOT NULL", f"{TC} point_id", "ground_z h_norm"))(
-    lambda t: out(normalize.dtm_raster(ground_flag(tiled(t)), resolution=RES).filter("ground_z IS NOT NULL"), *ID, "ground_z", "h_norm")
+query("dtm_raster", sql(GR, "SELECT *, z - ground_z AS h_norm FROM dm", f"{TC} point_id", "ground_z h_norm"))(
+    lambda t: out(normalize.dtm_raster(ground_flag(tiled(t)), resolution=RES), *ID, "ground_z", "h_norm")
 )
 query(
     "height_above_ground",

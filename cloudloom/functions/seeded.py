@@ -17,7 +17,8 @@ MULT = 48271
 
 
 def hash_int(seed: int, *keys) -> Column:
-    """Integer in [0, PRIME) from integer key columns.
+    """Integer in [0, PRIME) from key columns. Integers, also as text, count by value; any other key by the
+    CRC-32 of its text; null as -1.
 
     Every step stays below 2^63 so that ANSI arithmetic never overflows. The closing square breaks
     the linear pattern of consecutive ids; it names the chain only twice, which keeps plans small.
@@ -25,7 +26,8 @@ def hash_int(seed: int, *keys) -> Column:
     h = F.lit(int(seed) % PRIME).cast("long")
     for key in keys:
         c = F.col(key) if isinstance(key, str) else key
-        h = ((h * 31 + F.pmod(c.cast("long"), F.lit(PRIME).cast("long"))) * MULT + 11) % PRIME
+        number = F.coalesce(c.try_cast("long"), F.crc32(c.cast("string").cast("binary")), F.lit(-1).cast("long"))
+        h = ((h * 31 + F.pmod(number, F.lit(PRIME).cast("long"))) * MULT + 11) % PRIME
     return (h * (h + 7)) % PRIME
 
 
@@ -34,10 +36,6 @@ def uniform(seed: int, *keys) -> Column:
     return hash_int(seed, *keys).cast("double") / F.lit(float(PRIME))
 
 
-def uniform_between(lo, hi, seed: int, *keys) -> Column:
-    return F.lit(float(lo)) + uniform(seed, *keys) * F.lit(float(hi) - float(lo))
-
-
 def gaussian(seed: int, *keys) -> Column:
     """Standard normal by Box-Muller. The two hashes differ in their last key only, so generated
     code computes the common part once."""

@@ -11,12 +11,13 @@ def col(c) -> Column:
 
 
 def clip(c, lo=None, hi=None) -> Column:
-    c = col(c)
+    """Into [lo, hi]; null stays null."""
+    c = given = col(c)
     if lo is not None:
         c = F.greatest(c, F.lit(lo))
     if hi is not None:
         c = F.least(c, F.lit(hi))
-    return c
+    return F.when(given.isNotNull(), c)
 
 
 def argmax(logits) -> Column:

@@ -422,6 +422,8 @@ def _fill(made, real, tile, d, intensity_range, color_value, class_label, floor_
     for c in ("echo_first", "echo_last"):
         if c in have:
             cols[c] = F.lit(1)
+    if "point_id" in have:  # below zero, so that later steps can tell made points apart from each other and from real ones
+        cols["point_id"] = -1 - F.pmod(F.xxhash64(F.lit(d.op), F.lit(d.seed), F.lit(d.epoch), *tile, "_i"), F.lit(1 << 62))
     if "classification" in have:
         if class_label is None:
             cols["classification"] = F.col("_from_classification")
@@ -435,7 +437,7 @@ def _fill(made, real, tile, d, intensity_range, color_value, class_label, floor_
 
 
 def add_outliers(df, num_outliers=None, ratio=0.01, height_range=(-10.0, 100.0), height_mode="uniform", intensity_range=(0.0, 1.0), color_value=(128, 128, 128), class_label=None, p=0.5, seed=0, epoch=0, tile=TILE):
-    """Appends isolated points over the tile's box; point_id is null, is_synthetic true."""
+    """Appends isolated points over the tile's box; point_id is below zero, is_synthetic true."""
     tile = list(tile)
     d = Draw("outliers", seed, epoch, tile)
     lo, hi = (float(v) for v in height_range)
@@ -461,11 +463,12 @@ def add_outliers(df, num_outliers=None, ratio=0.01, height_range=(-10.0, 100.0),
     return _fill(made, df, tile, d, intensity_range, color_value, class_label, "_loz")
 
 
-def add_noise_clusters(df, num_clusters=3, points_per_cluster=(5, 20), radius=2.0, height_offset=(-5.0, 5.0), intensity_range=(0.0, 1.0), color_value="random", class_label="ignore", p=0.3, seed=0, epoch=0, tile=TILE):
-    """Appends small clusters around random points of tiles with at least ten points."""
+def add_noise_clusters(df, num_clusters=3, points_per_cluster=(5, 20), radius=2.0, height_offset=(-5.0, 5.0), intensity_range=(0.0, 1.0), color_value="random", class_label="ignore", p=0.3, min_points=1, seed=0, epoch=0, tile=TILE):
+    """Appends small clusters around random points of tiles with at least `min_points` points; point_id is below
+    zero, is_synthetic true."""
     tile = list(tile)
     d = Draw("clusters", seed, epoch, tile)
-    t = df.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n"), F.min("z").alias("_loz")).filter((F.col("_n") >= 10) & d.on(p))
+    t = df.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n"), F.min("z").alias("_loz")).filter((F.col("_n") >= min_points) & d.on(p))
     order = Window.partitionBy(*tile).orderBy(hash_int(tag(seed, "clusters.centre"), F.lit(epoch), "point_id"), "point_id")
     centres = df.select(*tile, "point_id", *[F.col(c).alias(f"_c{c}") for c in COORD])
     centres = centres.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= num_clusters)

@@ -180,11 +180,6 @@ def batch_count_estimate(samples: DataFrame, size: str, max_points: int) -> Data
     return samples.agg(F.greatest(raw, F.lit(1)).cast("long").alias("batches"))
 
 
-def cap_batches(packed: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Drops the batches from the estimated count on, as an epoch of estimated length does."""
-    return packed.filter(F.col("batch_id") < F.lit(estimate.first()["batches"]))
-
-
 def fixed_batches(samples: DataFrame, order: str, batch_size: int, drop_last=False, group_rows: int = GROUP_ROWS) -> DataFrame:
     df = ordered_prefix(samples, [], [order], "_i", group_rows=group_rows)
     df = df.withColumn("batch_id", F.floor(F.col("_i") / F.lit(batch_size))).drop("_i")

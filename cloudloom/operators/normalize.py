@@ -11,7 +11,6 @@ from cloudloom.operators.ordering import with_group_stats
 from cloudloom.schemas import TILE
 
 COORD = ("x", "y", "z")
-MAX_DTM_CELLS = 2000  # fixed value: raster cells per side
 
 
 def _stats(df, tile, cols, **aggs):
@@ -170,14 +169,9 @@ def bin_height(df: DataFrame, bins=10, lo=0.0, hi=20.0, col="h_norm") -> DataFra
 
 
 def dtm_cells(df: DataFrame, tile=TILE, resolution=1.0) -> DataFrame:
-    """Raster cell of each point over its tile's box; the resolution widens above the cell limit."""
-    df = _stats(df, tile, ("x", "y"), lo=F.min, hi=F.max)
-    rx, ry = F.col("_hi_x") - F.col("_lo_x"), F.col("_hi_y") - F.col("_lo_y")
-    res = F.lit(float(resolution))
-    most = F.greatest(F.ceil(rx / res) + 1, F.ceil(ry / res) + 1)
-    wide = F.greatest(rx, ry) / F.lit(float(MAX_DTM_CELLS))
-    df = df.withColumn("_res", F.when(most > MAX_DTM_CELLS, wide).otherwise(res))
-    cols = {f"c{c}": F.floor((F.col(c) - F.col(f"_lo_{c}")) / F.col("_res")) for c in "xy"}
+    """Raster cell of each point over its tile's box. Only occupied cells are ever made, so a tile may be of any size."""
+    df = _stats(df, tile, ("x", "y"), lo=F.min)
+    cols = {f"c{c}": F.floor((F.col(c) - F.col(f"_lo_{c}")) / F.lit(float(resolution))) for c in "xy"}
     return _drop(df.withColumns(cols))
 
 
@@ -195,11 +189,20 @@ def dtm_raster(df: DataFrame, tile=TILE, resolution=1.0, **knn) -> DataFrame:
     return _drop(got.withColumn("h_norm", F.col("z") - F.col("ground_z"))).drop("cx", "cy")
 
 
-def height_above_ground(df: DataFrame, tile=TILE, resolution=1.0, **knn) -> DataFrame:
-    """By the number of ground points of the tile: none - above its lowest point; below 10 - above
-    the lowest ground point; below 50 - above the three nearest ground points; else above the raster.
+METHODS = ("lowest", "nearest", "raster")
+
+
+def height_above_ground(df: DataFrame, tile=TILE, resolution=1.0, method="by_count", nearest_from=10, raster_from=50, **knn) -> DataFrame:
+    """Adds h_norm, the height above the ground of the tile, and height_method, the method that gave it.
+
+    `lowest`: above the lowest ground point, or the lowest point of a tile without ground; `nearest`: above the three nearest
+    ground points; `raster`: above the raster of mean ground heights. `by_count`, the default, takes per tile `nearest` from
+    `nearest_from` ground points on, `raster` from `raster_from` on, and `lowest` below. Naming a method takes it for all
+    tiles; one without ground has no neighbours, and stays with `lowest`.
     """
     tile = list(tile)
+    if method != "by_count" and method not in METHODS:
+        raise ValueError(f"unknown method {method}; known: by_count, {', '.join(METHODS)}")
     ground = F.col("is_ground")
     df = with_group_stats(
         df,
@@ -210,10 +213,13 @@ def height_above_ground(df: DataFrame, tile=TILE, resolution=1.0, **knn) -> Data
             F.min(F.when(ground, F.col("z"))).alias("_gzmin"),
         ],
     )
-    plain = df.filter("_g < 10").withColumn("h_norm", F.col("z") - F.coalesce("_gzmin", "_zmin"))
-    few = df.filter("_g >= 10 AND _g < 50")
+    by_count = F.when(F.col("_g") >= raster_from, "raster").when(F.col("_g") >= nearest_from, "nearest").otherwise("lowest")
+    chosen = by_count if method == "by_count" else F.when(F.col("_g") > 0, method).otherwise("lowest")
+    df = df.withColumn("height_method", chosen)
+    plain = df.filter("height_method = 'lowest'").withColumn("h_norm", F.col("z") - F.coalesce("_gzmin", "_zmin"))
+    few = df.filter("height_method = 'nearest'")
     near = knn_idw(few, few.filter(ground), "z", tile, ("x", "y"), 3, out="_gz", **knn)
     few = few.join(near.withColumnRenamed("src", "point_id"), [*tile, "point_id"])
     few = few.withColumn("h_norm", F.col("z") - F.col("_gz"))
-    many = dtm_raster(_drop(df.filter("_g >= 50")), tile, resolution, **knn).drop("ground_z")
+    many = dtm_raster(_drop(df.filter("height_method = 'raster'")), tile, resolution, **knn).drop("ground_z")
     return _drop(plain).unionByName(_drop(few)).unionByName(many)

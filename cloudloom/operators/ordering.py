@@ -132,16 +132,34 @@ def ordered_prefix(
     return out.select(*keep, *[c.alias(n) for n, c in final.items()])
 
 
+SMALL_ROWS = 100_000  # largest table, one row per group, that is sent to every task
+
+
+def attach_groups(df: DataFrame, table: DataFrame, keys: list[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Joins a table with one row per group to the rows; a null key matches a null key, and every row stays.
+
+    The table is counted first, and sent to every task only up to `small_rows` rows; beyond that both sides
+    are shuffled, and adaptive execution splits a hot key.
+    """
+    right = table.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(right[f"_key_{k}"])
+    few = right.limit(small_rows + 1).count() <= small_rows
+    return df.join(F.broadcast(right) if few else right, same, "left").drop(*[f"_key_{k}" for k in keys])
+
+
 def with_group_stats(df: DataFrame, keys: list[str], stats: list[Column]) -> DataFrame:
     """Joins per-group aggregates back to the rows.
 
-    Aggregate-then-join instead of a window: the aggregate combines before its shuffle, the join
-    is a broadcast when the statistics are measured to be small, and otherwise a shuffle join that
-    adaptive execution splits on a hot key. A window would send each hot group to one task.
-    Without keys the statistics are one row, which becomes literals of the plan.
+    Aggregate-then-join instead of a window: the aggregate combines before its shuffle, and the small
+    result is checkpointed before it is joined. The plan of the rows therefore names its input once,
+    however many such steps follow each other; a chain of n steps reads its input n + 1 times in all.
+    A window would send each hot group to one task. Without keys the statistics are one row, which
+    becomes literals of the plan.
     """
     if not keys:
         one = df.agg(*stats)
         row = one.first()
         return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema})
-    return df.join(df.groupBy(*keys).agg(*stats), keys)
+    return attach_groups(df, cut_lineage(df.groupBy(*keys).agg(*stats)), keys)

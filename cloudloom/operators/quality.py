@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from cloudloom.operators.voxels import VOXEL
 from cloudloom.schemas import TILE
 
-PASS_SHARE = 99.99  # fixed value: percent of points a sampling run has to visit
-
 
 def except_points(expected: DataFrame, actual: DataFrame, keys=("file_id", "point_id")) -> DataFrame:
     """Rows of either side that the other lacks."""
@@ -66,7 +64,7 @@ def draws_per_point(draws: DataFrame, tile=TILE) -> DataFrame:
 
 
 def sampling_coverage(point_tile: DataFrame, draws: DataFrame, tile=TILE) -> DataFrame:
-    """Per tile: points, points drawn, draws per drawn point, share, verdict."""
+    """Per tile: points, points drawn, draws per drawn point, share, and whether every point was drawn."""
     tile = list(tile)
     want = point_tile.groupBy(*tile).agg(F.count(F.lit(1)).alias("points"))
     got = draws_per_point(draws, tile).groupBy(*tile)
@@ -77,7 +75,7 @@ def sampling_coverage(point_tile: DataFrame, draws: DataFrame, tile=TILE) -> Dat
             "mean_repeat": F.coalesce(F.try_divide(F.col("draws"), F.col("sampled")), F.lit(0.0)),
             "coverage": F.col("sampled") / F.col("points") * 100.0,
         }
-    ).withColumn("passed", F.col("coverage") >= PASS_SHARE)
+    ).withColumn("passed", F.col("sampled") >= F.col("points"))
 
 
 def repeat_histogram(draws: DataFrame, tile=TILE) -> DataFrame:

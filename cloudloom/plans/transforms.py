@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -44,9 +45,13 @@ for _module, _names in (
         register_transform(_name, getattr(_module, _name))
 
 
-def pipeline(df: DataFrame, steps: list) -> DataFrame:
+def pipeline(df: DataFrame, steps: list, tile: list[str] | None = None) -> DataFrame:
     """Applies the steps in order. A step is a name, a `(name, arguments)` pair or a callable; an
-    unknown name is an error. Rows that a step filters out are gone for the steps after it."""
+    unknown name is an error. Rows that a step filters out are gone for the steps after it.
+
+    `tile` is the key of the tiles, handed to every named step that works by tile: `segment_id` (with file_id) or `part`
+    once tiles have been split. Arguments of a step come before it.
+    """
     for step in steps:
         if callable(step):
             df = step(df)
@@ -54,5 +59,8 @@ def pipeline(df: DataFrame, steps: list) -> DataFrame:
         name, args = (step, {}) if isinstance(step, str) else step
         if name not in REGISTRY:
             raise ValueError(f"unknown transform '{name}'; known: {sorted(REGISTRY)}")
-        df = REGISTRY[name](df, **args)
+        fn = REGISTRY[name]
+        if tile is not None and "tile" in inspect.signature(fn).parameters:
+            args = {"tile": list(tile), **args}
+        df = fn(df, **args)
     return df

@@ -21,6 +21,7 @@ def build_session(app="cloudloom", master=None, shuffle_partitions=None, **conf)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the last reference to them
     )
     for key, value in conf.items():
         b = b.config(key, value)
