@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.gru import CLASS_SIZE, END, OTHER, Model
-from cloudloom.llm.tables import bucket_count, joined, pack, row_key, runs, unpack
+from cloudloom.llm.tables import bucket_count, joined, pack, row_key, runs, thin, unpack
 from cloudloom.llm.words import mix, slices, split_words
 from cloudloom.session import cut_lineage
 
@@ -122,7 +122,15 @@ def _head(counts: DataFrame) -> Head:
             for code, n in zip(batch.column("code").to_pylist(), batch.column("n").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(code, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["code", "n"])
 
-    most = counts.select("code", "n").mapInArrow(rows, "code long, n long").orderBy(F.desc("n"), "code").limit(HEAD).collect()
+    words = counts.select("code", "n").mapInArrow(rows, "code long, n long")
+    # the least count that at most HEAD words have, from the number of words of each count
+    held, least = 0, None
+    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(HEAD).collect():
+        held += r["k"]
+        if held > HEAD:
+            break
+        least = r["n"]
+    most = [] if least is None else sorted(words.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["code"]))
     code = np.array([r["code"] for r in most], np.int64).view(np.uint64)
     order = np.argsort(code)
     token = np.zeros(len(code), np.int64)
@@ -154,7 +162,8 @@ def fit(train: DataFrame, head: Head) -> Model:
     tokens = 2 + int((head.token > 1).sum())
     model = Model(tokens)
     short = train.select("_text", F.xxhash64("_text").alias("h")).filter(F.length("_text").between(1, WARM_CHARS))
-    texts = [r["_text"] for r in short.orderBy("h", "_text").limit(WARM_TEXTS).collect()]
+    warm = thin(short, F.col("h"), WARM_TEXTS).orderBy(F.pmod("h", F.lit(1 << 40)), "_text").limit(WARM_TEXTS)
+    texts = [r["_text"] for r in warm.collect()]
 
     def ids(column):
         for _, data, offsets in slices(column):

@@ -27,6 +27,15 @@ def bucket_count(docs: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTE
     return max(4, math.ceil(text_volume(docs, text_col) / bucket_bytes))
 
 
+def thin(rows: DataFrame, hashed: Column, wanted: int, margin: int = 4) -> DataFrame:
+    """About `margin * wanted` rows, those with the smallest hashes, or all if there are no more: so that a later choice
+    of `wanted` rows in hash order moves no more than that, however many rows there are."""
+    n = rows.count()
+    if n <= margin * wanted:
+        return rows
+    return rows.filter(F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * margin * wanted / n))
+
+
 def attach(df: DataFrame, table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with a table that has one row per key. The table is sent to every task only if it is
     counted first and has at most `limit` rows; else both sides are shuffled, and adaptive execution splits a hot key.
