@@ -439,7 +439,7 @@ def _(t):
     path = new_table_path(t.spark, "stream-confusion")
     p = argmax_label(StreamTables(t).view("predictions")).withColumn("epoch", F.col("loop_idx"))
     finish(streams.stream_confusion(p, path))
-    return t.spark.read.parquet(path)
+    return streams.read_confusion(t.spark, path)
 
 
 @query("stream_votes", sql(VOTE, "SELECT * FROM vote", "file_id point_id votes", MCOLS))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.operators.ordering import GROUP_ROWS, ordered_prefix, with_group_stats
+from cloudloom.operators.ordering import GROUP_ROWS, explode_range, ordered_prefix, with_group_stats
 from cloudloom.session import cut_lineage
 
 BLOCK = 100_000  # samples that one task walks through in order
@@ -160,8 +160,7 @@ def counts_to_offset(counts: DataFrame, keys: list[str], element="element", n="n
 def offset_to_rows(offsets: DataFrame, keys: list[str], element="element", offset="offset") -> DataFrame:
     """Element number of every packed row."""
     df = offset_to_counts(offsets, keys, element, offset).filter("n > 0")
-    row = F.explode(F.sequence(F.col(offset) - F.col("n"), F.col(offset) - 1)).alias("row")
-    return df.select(*keys, element, row)
+    return explode_range(df, "row", F.col(offset) - F.col("n"), F.col(offset) - 1).select(*keys, element, "row")
 
 
 def rows_to_offset(rows: DataFrame, keys: list[str], element="element") -> DataFrame:

@@ -132,6 +132,20 @@ def ordered_prefix(
     return out.select(*keep, *[c.alias(n) for n, c in final.items()])
 
 
+MADE_AT_ONCE = 10_000  # values of one array
+
+
+def explode_range(df: DataFrame, name: str, lo: Column, hi: Column, step: Column | int = 1) -> DataFrame:
+    """One row for each of lo, lo + step, … up to hi (none if hi < lo). Arrays stay short, however many values a row has."""
+    step = F.lit(step).cast("long") if isinstance(step, int) else step.cast("long")
+    lo, hi = lo.cast("long"), hi.cast("long")
+    many = F.floor((hi - lo) / step)
+    df = df.filter(hi >= lo).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(many / MADE_AT_ONCE))))
+    first = lo + F.col("_block") * MADE_AT_ONCE * step
+    last = F.least(hi, first + (MADE_AT_ONCE - 1) * step)
+    return df.withColumn(name, F.explode(F.sequence(first, last, step))).drop("_block")
+
+
 SMALL_ROWS = 100_000  # largest table, one row per group, that is sent to every task
 
 

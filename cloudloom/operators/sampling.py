@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.seeded import hash_int, uniform
-from cloudloom.operators.ordering import GROUP_ROWS, ordered_prefix, with_group_stats
+from cloudloom.operators.ordering import GROUP_ROWS, explode_range, ordered_prefix, with_group_stats
 from cloudloom.operators.project import sampling_params
 from cloudloom.operators.voxels import VOXEL, voxel_coord, voxel_counts, voxel_rank
 from cloudloom.schemas import TILE
@@ -40,7 +40,7 @@ def sample_voxel_modulo(index: DataFrame, tiles: DataFrame, max_loops: int | Non
     params = sampling_params(tiles.select(*tile, "max_voxel_density"), max_loops)
     df = index.join(params, tile)
     last = (F.col("loops") * F.col("ppl") - 1).cast("long")
-    df = df.withColumn("_d", F.explode(F.sequence(F.col("voxel_rank").cast("long"), last, F.col("voxel_n").cast("long"))))
+    df = explode_range(df, "_d", F.col("voxel_rank"), last, F.col("voxel_n"))
     df = df.withColumn("loop_idx", F.floor(F.col("_d") / F.col("ppl")).cast("int"))
     return df.drop("_d", "max_voxel_density")
 
@@ -129,15 +129,16 @@ def weighted_draws(samples: DataFrame, order: str, weight: str, draws: int | Non
     it. The line is cut into as many cells as there are draws, an interval is repeated for each
     cell it touches (at most samples + draws rows in all), and the join is on the cell.
     """
-    df = ordered_prefix(samples, [], [order], sums={"_lo": weight}, group_rows=group_rows)
-    df = df.withColumn("_hi", F.col("_lo") + F.col(weight))
-    total, n = samples.agg(F.sum(weight), F.count(F.lit(1))).first()
+    exact = F.col(weight).cast("decimal(28,12)")  # sums do not depend on their order, so intervals meet without gaps
+    df = ordered_prefix(samples.withColumn("_w", exact), [], [order], sums={"_lo": "_w"}, group_rows=group_rows)
+    df = df.withColumns({"_hi": (F.col("_lo") + F.col("_w")).cast("double"), "_lo": F.col("_lo").cast("double")}).drop("_w")
+    total, n = samples.agg(F.sum(exact).cast("double"), F.count(F.lit(1))).first()
     if not total or total <= 0:
         raise ValueError("weights must have a positive sum")
     draws = n if draws is None else draws
     step = float(total) / draws
     cell = lambda c: F.least(F.floor(c / F.lit(step)), F.lit(draws - 1))
-    df = df.filter(F.col(weight) > 0).withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    df = explode_range(df.filter("_hi > _lo"), "_cell", cell(F.col("_lo")), cell(F.col("_hi")))
     u = samples.sparkSession.range(draws).select(
         F.col("id").alias("draw"), (uniform(seed, F.lit(epoch), "id") * F.lit(float(total))).alias("_u")
     )

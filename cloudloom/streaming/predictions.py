@@ -32,23 +32,31 @@ def stream_predictions(predictions: DataFrame, path: str, checkpoint: str | None
 
 
 def stream_confusion(predictions: DataFrame, path: str, keys=("epoch",), ignore_index=-1, checkpoint: str | None = None):
-    """Running confusion counts per epoch. State and result hold classes^2 rows per epoch."""
+    """Running confusion counts per epoch. State and result hold classes^2 rows per epoch.
+
+    Every micro-batch writes the whole counts to a folder of its own, so that one which fails leaves the last good ones;
+    `read_confusion` takes the newest."""
     keys = list(keys)
     df = predictions.filter(F.col("target") != ignore_index)
     counts = df.groupBy(*keys, "target", "pred").agg(F.count(F.lit(1)).alias("n"))
     return (
         counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+        .foreachBatch(lambda rows, version: rows.write.mode("overwrite").parquet(f"{path}/version={version}"))
         .option("checkpointLocation", _place(predictions, "confusion", checkpoint))
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_confusion(spark, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("version") == F.lit(rows.agg(F.max("version")).first()[0])).drop("version")
+
+
 def stream_votes(predictions: DataFrame, path: str, num_classes: int, checkpoint: str | None = None, arrival: str | None = None, late: str | None = None):
     """Running logit sums per point. A micro-batch adds the new state of the points it touched;
-    `read_votes` keeps the newest. With `arrival` and `late`, a watermark drops the state of points
-    whose predictions stopped coming."""
+    `read_votes` keeps the newest. With `arrival` and `late`, sums are kept per point and arrival, and a watermark drops
+    the state of arrivals that are over; `read_votes` adds them up."""
     keys = list(POINT)
     if arrival:
         predictions = predictions.withWatermark(arrival, late)
@@ -71,7 +79,10 @@ def stream_votes(predictions: DataFrame, path: str, num_classes: int, checkpoint
 def read_votes(spark, path: str, num_classes: int) -> DataFrame:
     cols = ["votes", *[f"s{c}" for c in range(num_classes)]]
     rows = spark.read.parquet(path)
-    newest = rows.groupBy(*POINT).agg(F.max_by(F.struct(*cols), "version").alias("_s")).select(*POINT, "_s.*")
+    state = [c for c in rows.columns if c not in (*cols, "version")]  # the point, and the arrival where one was named
+    newest = rows.groupBy(*state).agg(F.max_by(F.struct(*cols), "version").alias("_s")).select(*POINT, "_s.*")
+    if len(state) > len(POINT):
+        newest = newest.groupBy(*POINT).agg(*[F.sum(c).alias(c) for c in cols])
     return mean_of_sums(newest, num_classes)
 
 

@@ -3,11 +3,12 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from cloudloom.catalog.shapes import finish
 from cloudloom.operators.voting import vote_logits
 from cloudloom.session import new_table_path
-from cloudloom.sources.records import scan_records, write_records
+from cloudloom.sources.records import RecordSource, scan_records, write_records
 from cloudloom.streaming import predictions as streams
 
 
@@ -40,6 +41,44 @@ def test_record_round_trip(spark, cloud, tmp_path):
     assert back.count() == cloud.count()
 
 
+def test_records_keep_clouds_ids_and_nulls(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [("a", 7, 1.5, 3, True), ("b", 8, None, None, None), ("a", 9, 2.5, -(2**31), False), ("b", 7, float("inf"), 0, True)]
+    df = spark.createDataFrame(rows, "file_id string, point_id bigint, x double, n int, flag boolean").repartition(2)
+    write_records(df, path)
+    back = scan_records(spark, path)
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    assert back.filter("file_id = 'b'").count() == 2
+    reader = RecordSource({"path": path}).reader(back.schema)
+    every, _ = reader.partitions(), list(reader.pushFilters([EqualTo(("file_id",), "b")]))
+    assert {s.stem for s in every} == {"a", "b"} and {s.stem for s in reader.partitions()} == {"b"}
+    with pytest.raises(Exception, match="file_id holds nulls"):
+        write_records(df.withColumn("file_id", F.lit(None).cast("string")), path)
+
+
+def test_records_of_several_layouts(spark, tmp_path):
+    for name, code in (("a", "<i2"), ("b", "<u2"), ("c", "<f4")):
+        rows = np.array([(5,), (6,)], dtype=[("v", code)])
+        (tmp_path / f"{name}.bin").write_bytes(rows.tobytes())
+        (tmp_path / f"{name}.json").write_text(json.dumps({"dtype": [["v", code]]}))
+    got = scan_records(spark, str(tmp_path))
+    assert got.schema["v"].dataType.simpleString() == "double" and got.agg(F.sum("v")).first()[0] == 33
+
+
+def test_votes_with_a_watermark(spark):
+    src, path, ck = (new_table_path(spark, n) for n in ("late-in", "late-out", "late-ck"))
+    rows = spark.range(80).select(
+        F.lit(0).cast("long").alias("file_id"), (F.col("id") % 10).alias("point_id"), F.array(F.col("id") / 8, F.col("id") % 5 / 4).alias("logits"),
+        F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 10) * 60).alias("at"),
+    )
+    for k in range(4):  # in time order, several arrivals a point
+        rows.filter((F.col("at").cast("long") - 1_700_000_000) / 120 == k).unionByName(rows.filter((F.col("at").cast("long") - 1_700_000_060) / 120 == k)).coalesce(1).write.mode("append").parquet(src)
+    flow = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    finish(streams.stream_votes(flow, path, 2, ck, "at", "1 hour"))
+    want = vote_logits(spark.read.parquet(src), 2)
+    assert streams.read_votes(spark, path, 2).exceptAll(want).isEmpty() and want.count() == 10
+
+
 def test_votes_over_several_micro_batches(spark):
     src, path, ck = (new_table_path(spark, n) for n in ("votes-in", "votes-out", "votes-ck"))
     rows = spark.range(60).select(
