@@ -11,6 +11,7 @@ from cloudloom.catalog.base import (
 )
 from cloudloom.operators import batching, losses, metrics, tiling, weights
 from cloudloom.operators.project import argmax_label
+from cloudloom.plans.jobs import evaluate
 from cloudloom.schemas import TILE
 
 REVERSE = {i: i + 1 for i in range(CLASSES)}
@@ -52,6 +53,11 @@ query(
     sql(PER, "SELECT sum(tp) / sum(tp + fn) AS overall_accuracy, avg(iou) FILTER (WHERE tp + fn > 0) AS mean_iou, avg(precision) FILTER (WHERE tp + fn > 0) AS mean_precision, "
         "avg(recall) FILTER (WHERE tp + fn > 0) AS mean_recall, avg(f1) FILTER (WHERE tp + fn > 0) AS mean_f1 FROM per", "", "overall_accuracy mean_iou mean_precision mean_recall mean_f1"),
 )(lambda t: out(metrics.segmentation_report(per(t))))
+query(
+    "evaluate",
+    sql(PER, "SELECT sum(tp) / sum(tp + fn) AS overall_accuracy, avg(iou) FILTER (WHERE tp + fn > 0) AS mean_iou, avg(precision) FILTER (WHERE tp + fn > 0) AS mean_precision, "
+        "avg(recall) FILTER (WHERE tp + fn > 0) AS mean_recall, avg(f1) FILTER (WHERE tp + fn > 0) AS mean_f1 FROM per", "", "overall_accuracy mean_iou mean_precision mean_recall mean_f1"),
+)(lambda t: out(evaluate(t.predictions(), CLASSES, reverse=REVERSE)[2]))
 query(
     "report_table",
     sql(PER, "SELECT name, iou, precision, recall, f1 FROM per UNION ALL SELECT 'Mean', avg(iou) FILTER (WHERE tp + fn > 0), avg(precision), avg(recall), avg(f1) FROM per", "name", "iou precision recall f1"),

@@ -9,7 +9,7 @@ from cloudloom.catalog.base import (
 )
 from cloudloom.fixtures import POINT_EXPRS
 from cloudloom.operators import project, quality, sampling, tiling, voting, voxels
-from cloudloom.plans.jobs import tile_summary
+from cloudloom.plans.jobs import tile_summary, vote_and_restore
 from cloudloom.schemas import TILE
 from cloudloom.session import new_table_path
 from cloudloom.sources import points as src
@@ -18,7 +18,12 @@ from cloudloom.sources.records import scan_records, write_records
 POINT_COLS = " ".join(c for c in POINT_EXPRS if c not in ("x", "y", "z", "normal_x", "normal_y", "normal_z"))
 DBL = "x y z normal_x normal_y normal_z"
 
-query("scan_points", sql(PTS, "SELECT * FROM pts", POINT_COLS, DBL))(lambda t: out(t.points()))
+@query("scan_points", sql(PTS, "SELECT * FROM pts", POINT_COLS, DBL))
+def _(t):
+    path = new_table_path(t.spark, "points")
+    t.points().write.partitionBy("file_id").parquet(path)
+    got = src.scan_points(t.spark, path, columns=[*POINT_COLS.split(), *DBL.split()])
+    return out(got.withColumn("file_id", F.col("file_id").cast("long")))
 
 
 @query("scan_records", sql(PTS, "SELECT point_id AS orig_id, * FROM pts", "orig_id intensity return_number red", "x y z"))
@@ -241,6 +246,9 @@ query("vote_label", sql(VOTE, "SELECT * FROM vote", "file_id point_id label vote
 query("restore_votes", sql(VOTE, RESTORED, "file_id point_id classification covered"))(
     lambda t: restored(t).select("file_id", "point_id", "classification", "covered")
 )
+query("vote_and_restore", sql(VOTE, RESTORED, "file_id point_id classification covered"))(
+    lambda t: vote_and_restore(t.points(), t.predictions(), CLASSES, MAPPING).select("file_id", "point_id", "classification", "covered")
+)
 query("vote_coverage", sql(
     cte(VOTE, "tot AS (SELECT file_id, count(*) AS num_points FROM pts GROUP BY file_id)", "gv AS (SELECT file_id, count(*) AS covered FROM vote GROUP BY file_id)"),
     "SELECT *, covered * 100e0 / num_points AS coverage FROM tot JOIN gv USING (file_id)", "file_id num_points covered", "coverage"))(

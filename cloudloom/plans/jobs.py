@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def predict_tiles(points: DataFrame, model: Callable[[pd.DataFrame], object], ba
 
     def run(pdf):
         out = pdf[keep].copy()
-        out["logits"] = [[float(v) for v in row] for row in model(pdf)]
+        out["logits"] = list(np.asarray(model(pdf), dtype=np.float64))
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
@@ -87,7 +88,7 @@ def predict_points(points: DataFrame, model: Callable[[pd.DataFrame], object], k
     def run(batches):
         for pdf in batches:
             out = pdf[keys].copy()
-            out["logits"] = [[float(v) for v in row] for row in model(pdf)]
+            out["logits"] = list(np.asarray(model(pdf), dtype=np.float64))
             yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}

@@ -8,6 +8,7 @@ from pyspark.sql.datasource import EqualTo
 from cloudloom.catalog.shapes import finish
 from cloudloom.operators.voting import vote_logits
 from cloudloom.session import new_table_path
+from cloudloom.sources.points import scan_points
 from cloudloom.sources.records import RecordSource, scan_records, write_records
 from cloudloom.streaming import predictions as streams
 
@@ -108,3 +109,12 @@ def test_detector_stream_equals_batch(spark):
     want = streams.slow_batches(df, ["stage"], **limits).select("stage", "i", "reason", "mean")
     assert got.exceptAll(want).isEmpty() and got.count() == 240
     assert {r[0] for r in want.select("reason").distinct().collect()} == {"", "periodic", "slowdown", "absolute"}
+
+
+def test_a_scan_reads_the_files_and_columns_asked_for(spark, cloud, tmp_path):
+    path = str(tmp_path / "points")
+    cloud.write.partitionBy("file_id").parquet(path)
+    got = scan_points(spark, path, files=[1], columns=["file_id", "x"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<x:double>" in plan and "PartitionFilters: [isnotnull(file_id" in plan
+    assert got.count() == cloud.filter("file_id = 1").count() > 0
