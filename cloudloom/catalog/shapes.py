@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.catalog.base import (
     CLASSES, FEA, GRID, IX, KNN_K, MAPPING, PACK, PTS, SM, T, TEL, TP, V, VX, DrawSql, cells, clip_sql, cte, hash_sql, index,
-    knn_cte, out, query, samples, sql, tiled, vx_cte, PACK_LIMIT,
+    knn_cte, out, query, samples, sql, tiled, uniform_sql, vx_cte, PACK_LIMIT,
 )
 from cloudloom.catalog.scores import CM, packed
 from cloudloom.catalog.storage import MCOLS, VOTE, means
@@ -256,8 +256,48 @@ query("aug_color_jitter", _jitter_sql())(lambda t: out(augment.aug_color_jitter(
 aug("aug_height_scale", "height_scale", augment.aug_height_scale, lambda d: {"h_norm": when(d, 0.5, f"h_norm * {d.value('f', 0.9, 1.1)}", "h_norm")}, prepare=heights, src=HSRC, table="hp")
 aug("aug_height_noise", "height_noise", augment.aug_height_noise, lambda d: {"h_norm": when(d, 0.5, f"h_norm + {d.noise('n')} * 0.1e0", "h_norm")}, prepare=heights, src=HSRC, table="hp")
 query("aug_elastic")(lambda t: out(augment.aug_elastic(tiled(t), ((32.0, 2.0), (64.0, 4.0)), **KW), *ID, "x", "y", "z"))
-query("add_outliers")(lambda t: out(augment.add_outliers(heights(t), ratio=0.02, height_mode="bimodal", color_value="inherit", **KW), *ID, "x", "y", "z", "h_norm", "intensity", *RGB, "classification", "is_synthetic"))
-query("add_noise_clusters")(lambda t: out(augment.add_noise_clusters(heights(t), p=0.8, **KW), *ID, "x", "y", "z", "h_norm", "intensity", *RGB, "classification", "is_synthetic"))
+def _made_sql(ctes, point):
+    """Real rows and made ones; the ids of made rows, hashes of another kind, count as -1."""
+    real = f"SELECT {T}, point_id, x, y, z, h_norm, intensity, red, green, blue, classification, false AS is_synthetic FROM hp"
+    shifted = cte(TP, f"hp AS (SELECT * REPLACE ({', '.join(f'{c} - min({c}) OVER w AS {c}' for c in 'xyz')}), {HN} AS h_norm FROM tp {W})")
+    return sql(cte(shifted, ctes), f"{real} UNION ALL {point}", f"{TC} point_id classification is_synthetic", "x y z h_norm intensity red green blue")
+
+
+def _made(df):
+    df = df.withColumn("point_id", F.greatest("point_id", F.lit(-1)))
+    return out(df, *ID, "x", "y", "z", "h_norm", "intensity", *RGB, "classification", "is_synthetic")
+
+
+def _u(op, name, i="i"):
+    return uniform_sql(draw(op)._s(name), *draw(op).keys, i)
+
+
+LONE = cte(
+    f"ot AS (SELECT {T}, count(*) AS n, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy, min(z) AS loz, max(z) AS hiz FROM hp GROUP BY {T})",
+    f"om AS (SELECT *, CAST(greatest(floor(n * 0.02e0), 1) AS BIGINT) AS m FROM ot WHERE {draw('outliers').on(0.5)})",
+    "oi AS (SELECT *, unnest(range(0, m)) AS i FROM om)",
+    f"rk AS (SELECT {T}, red, green, blue, classification, row_number() OVER (PARTITION BY {T} ORDER BY point_id) - 1 AS r FROM hp)",
+    f"oz AS (SELECT *, CASE WHEN i < floor(m / 2e0) THEN greatest(-10e0, hiz) + {_u('outliers', 'z')} * (100e0 - greatest(-10e0, hiz)) "
+    f"ELSE -10e0 + {_u('outliers', 'z')} * (least(100e0, loz) + 10e0) END AS z, CAST(floor({_u('outliers', 'donor')} * n) AS BIGINT) AS r FROM oi)",
+)
+query("add_outliers", _made_sql(LONE,
+    f"SELECT {T}, -1, lox + {_u('outliers', 'x')} * (hix - lox), loy + {_u('outliers', 'y')} * (hiy - loy), z, z - loz, {_u('outliers', 'intensity')}, red, green, blue, classification, true FROM oz JOIN rk USING ({T}, r)"))(
+    lambda t: _made(augment.add_outliers(heights(t), ratio=0.02, height_mode="bimodal", color_value="inherit", **KW))
+)
+CENTRE = hash_sql(tag(SEED, "clusters.centre"), str(EPOCH), "point_id")
+CLUSTERS = cte(
+    f"ct AS (SELECT {T}, min(z) AS loz FROM hp GROUP BY {T} HAVING {draw('clusters').on(0.8)})",
+    f"cc AS (SELECT {T}, x AS cx, y AS cy, z AS cz, row_number() OVER (PARTITION BY {T} ORDER BY {CENTRE}, point_id) AS k FROM hp)",
+    f"cj AS (SELECT *, unnest(range(1, 6 + CAST(floor({_u('clusters', 'size', 'k')} * 16) AS BIGINT))) AS j FROM cc JOIN ct USING ({T}) WHERE k <= 3)",
+    "ci AS (SELECT *, k * 21 + j AS i FROM cj)",
+    f"cp AS (SELECT *, {_u('clusters', 'theta')} * 2 * pi() AS th, {_u('clusters', 'phi')} * pi() AS ph, {_u('clusters', 'r')} * 2e0 AS r FROM ci)",
+    f"cz AS (SELECT *, cz + r * cos(ph) - 5e0 + {_u('clusters', 'dz')} * 10e0 AS z FROM cp)",
+)
+query("add_noise_clusters", _made_sql(CLUSTERS,
+    f"SELECT {T}, -1, cx + r * sin(ph) * cos(th), cy + r * sin(ph) * sin(th), z, z - loz, {_u('clusters', 'intensity')}, "
+    + ", ".join(f"{_u('clusters', c)} * 255e0" for c in RGB) + ", -1, true FROM cz"))(
+    lambda t: _made(augment.add_noise_clusters(heights(t), p=0.8, **KW))
+)
 
 
 @query("register_transform", sql(cte(TP), f"SELECT {T}, point_id, x - y AS slant FROM tp", f"{TC} point_id", "slant"))
