@@ -15,7 +15,7 @@ from cloudloom.llm.secret_scan import KINDS, scan_secrets, train
 from cloudloom.llm.sentencepiece_codec import encode_decode
 from cloudloom.llm.substring_dedup import substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
-from cloudloom.llm.url_filter import filter_urls
+from cloudloom.llm.url_filter import DEPTH, MAX_CHILDREN, MIN_LABELS, PRIOR_WEIGHT, PURITY, Z, filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,7 +132,41 @@ def op8_lm_score(spark, sf_dir):
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
-@query("op9_url_filter")
+def _url_sql() -> str:
+    """Rules, and the template tree level by level over counts of segment lists."""
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+    parts = [(what, text, *text.split("/", 1)) for what, text in ordered]
+    fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}'))" for _, _, h, rest in parts]
+    rule = " ".join(f"WHEN {f} THEN '{text}'" for f, (_, text, _, _) in zip(fits, parts))
+    given = " ".join(f"WHEN {f} THEN '{what}'" for f, (what, _, _, _) in zip(fits, parts))
+    url = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+    ctes = [
+        f"u AS (SELECT page_id, translate(coalesce({url.format(1)}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce({url.format(2)}, '') AS path FROM pages)",
+        f"v AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM u)",
+        f"w AS (SELECT *, list_transform(CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH - 1}], ['**']) ELSE parts END, "
+        "lambda s: regexp_replace(regexp_replace(s, '^[0-9a-fA-F]{16,}', '%'), '[0-9]+', '#', 'g')) AS segments FROM v)",
+        "s0 AS (SELECT host, segments, count(given) AS m, count(*) FILTER (WHERE given = 'block') AS b, '' AS template FROM w GROUP BY host, segments)",
+        "pr AS (SELECT coalesce(sum(b) / nullif(sum(m), 0), 0e0) AS prior FROM s0)",
+    ]
+    for i in range(1, DEPTH + 1):
+        ctes += [
+            f"n{i} AS (SELECT host, template, segments[{i}] AS child, sum(m) AS m, sum(b) AS b FROM s{i - 1} WHERE segments[{i}] IS NOT NULL GROUP BY ALL)",
+            f"f{i} AS (SELECT *, count(*) OVER t AS k, sum(m) OVER t AS fm, sum(b) OVER t AS fb, NOT regexp_matches(child, '[#%*]') AS literal FROM n{i} WINDOW t AS (PARTITION BY host, template))",
+            f"a{i} AS (SELECT host, template, child, CASE WHEN literal AND k > {MAX_CHILDREN} THEN '*' WHEN literal AND m >= {MIN_LABELS} AND m < fm "
+            f"AND abs(b / m - fb / fm) <= {Z}e0 * sqrt(fb / fm * (1 - fb / fm) / m) THEN '~' ELSE child END AS name FROM f{i})",
+            f"s{i} AS (SELECT s.host, segments, m, b, CASE WHEN name IS NULL THEN s.template ELSE s.template || '/' || name END AS template "
+            f"FROM s{i - 1} s LEFT JOIN a{i} a ON s.host = a.host AND s.template = a.template AND s.segments[{i}] = a.child)",
+        ]
+    ctes += [
+        f"j AS (SELECT host, template, sum(m)::BIGINT AS labelled, (sum(b) + {PRIOR_WEIGHT}e0 * any_value(prior)) / (sum(m) + {PRIOR_WEIGHT}e0) AS blocked_share FROM s{DEPTH}, pr GROUP BY host, template)",
+        f"q AS (SELECT host, segments, template, labelled, blocked_share FROM s{DEPTH} JOIN j USING (host, template))",
+    ]
+    return f"""WITH {", ".join(ctes)} SELECT page_id, host, path, rule,
+coalesce(given, CASE WHEN labelled >= {MIN_LABELS} AND blocked_share >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+template, labelled, round(blocked_share, 6) AS blocked_share FROM w JOIN q USING (host, segments)"""
+
+
+@query("op9_url_filter", _url_sql())
 def op9_url_filter(spark, sf_dir):
     """Every page judged by the rules, or by the path templates of its host where no rule fits."""
     judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
