@@ -12,6 +12,8 @@ Texts are therefore cut before every mark, and the table of a cut is kept for th
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # fixed: stands for a space
-CACHE = 400_000  # cuts that a task remembers
+CACHE = 300_000  # cuts that a worker remembers, and as many from before
 REPLACEMENT = "�"
 
 
@@ -101,6 +103,7 @@ class Codec:
         self.v = vocabulary
         self.pairs: dict[int, bool] = {}
         self.cuts: dict[str, tuple[str, int, bool]] = {}
+        self.old: dict[str, tuple[str, int, bool]] = {}  # what `cuts` held before it was full
         self.name = [f" {i}" for i in range(len(vocabulary.pieces))]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -153,20 +156,29 @@ class Codec:
 
     def cut(self, text: str) -> tuple[str, int, bool]:
         """Encoding of a cut: ids as text, their number, and whether the mark at its start stands alone."""
-        v = self.v
-        if v.known.issuperset(text):
-            ids = self.table(text)
-        else:
-            ids = []
-            for run in v.runs.findall(text):
-                if run[0] in v.ids:
-                    ids += self.table(run)
-                else:
-                    ids += [v.bytes[b] for b in run.encode()] if v.bytes else [v.unknown]
-        alone = ids[0] == v.marks.get(1)
-        name = self.name
-        found = ("".join([name[i] for i in (ids[1:] if alone else ids)]), len(ids) - alone, alone)
+        found = self.old.get(text)
+        if found is None:
+            v = self.v
+            if v.known.issuperset(text):
+                ids = self.table(text)
+                alone = ids[0] == v.marks.get(1)
+                name = self.name
+                found = ("".join([name[i] for i in (ids[1:] if alone else ids)]), len(ids) - alone, alone)
+            else:  # nothing merges over a character that no piece has
+                parts, count, alone = [], 0, False
+                for k, run in enumerate(v.runs.findall(text)):
+                    if run[0] in v.ids:
+                        ids, n, first = self.cuts.get(run) or self.cut(run)
+                        alone |= first and k == 0
+                        parts.append(ids)
+                    else:
+                        ids = [v.bytes[b] for b in run.encode()] if v.bytes else [v.unknown]
+                        n = len(ids)
+                        parts += [self.name[i] for i in ids]
+                    count += n
+                found = ("".join(parts), count, alone)
         if len(self.cuts) >= CACHE:
+            self.old = self.cuts.copy()
             self.cuts.clear()
         if len(self.pairs) >= 2 * CACHE:
             self.pairs.clear()
@@ -241,14 +253,14 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
-def _vocabulary(model_file: str) -> Vocabulary:
-    """One per worker process and file."""
-    if model_file not in _VOCABULARIES:
-        _VOCABULARIES[model_file] = Vocabulary(model_file)
-    return _VOCABULARIES[model_file]
+def _coders(model_file: str) -> tuple[Codec, Decoder]:
+    """One pair per worker process and file, kept from task to task. Functions travel to the workers with copies of their
+    globals, so what is to last lies in a module of its own."""
+    state = vars(sys.modules.setdefault("_coders_of_this_worker", types.ModuleType("_coders_of_this_worker")))
+    if model_file not in state:
+        vocabulary = Vocabulary(model_file)
+        state[model_file] = Codec(vocabulary), Decoder(vocabulary)
+    return state[model_file]
 
 
 def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
@@ -262,8 +274,7 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> D
     row_type = packed.schema["_row"].dataType.simpleString()
 
     def fn(batches):
-        vocabulary = _vocabulary(model_file)
-        codec, decoder = Codec(vocabulary), Decoder(vocabulary)
+        codec, decoder = _coders(model_file)
         for batch in batches:
             counts, ids, texts = [], [], []
             for text in batch.column("_text").to_pylist():
