@@ -35,15 +35,21 @@ def fit_dictionaries(
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND length(text) > 0")
     rows = rows.select("lang", F.xxhash64("text").alias("pick"), F.substring("text", 1, dict_bytes).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # of a large language, about four times the rows wanted take part in the choice
+    rows = rows.withColumn("pick", F.pmod("pick", F.lit(1 << 40)))
+    few = F.lit(True)
+    for r in counts:
+        if r["n"] > 4 * train_rows:
+            few = few & ((F.col("lang") != r["lang"]) | (F.col("pick") < int((1 << 40) * 4 * train_rows / r["n"])))
     first = Window.partitionBy("lang").orderBy("pick", "text")
-    rows = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= train_rows)  # limited before the shuffle, too
+    rows = rows.filter(few).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= train_rows)
     share = max(256, dict_bytes // train_rows * 4)
     piece = F.substring("text", 1, share)
     made = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("text")))).alias("parts"))
-    found = made.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r["lang"]: "\n".join(p["text"] for p in r["parts"]).lower().encode()[-dict_bytes:] for r in found}
+    return {r["lang"]: "\n".join(p["text"] for p in r["parts"]).lower().encode()[-dict_bytes:] for r in made.collect()}
 
 
 class Compressors:
