@@ -4,9 +4,9 @@ Words, lower-cased (A-Z) and without punctuation, are the letters here; the dist
 words put in, left out or replaced.
 
 1. Items are grouped in bands of similar length, and every text is read in windows of a band's length. A window takes part
-   only if it holds enough pairs of neighbouring words that occur in the items: an item with at most `1 - similarity`
-   of its words edited keeps more of its pairs than that, so no leak is lost here. Of neighbouring windows
-   that do, those with most such pairs stand for their stretch.
+   only if it holds enough pairs of neighbouring words that occur in the items of the band: an item with at most `1 - similarity`
+   of its words edited keeps more of its pairs than that, so no leak is lost here. All
+   windows that do are embedded, also side by side: a leak beside a denser stretch is met by the windows at its own start.
 2. The CGK walk embeds windows and items: it reads a word again and again until a random bit, which depends on the
    step and the word, moves it on. Texts at a small edit distance then agree at most steps.
 3. Locality-sensitive hashing: each repetition draws a new walk and samples a few steps; a window and an item whose
@@ -31,6 +31,7 @@ RECALL, AGREEMENT = 0.99, 0.25  # recall wanted, and the share of steps at which
 BAND = 1.2  # ratio of lengths in a band
 MIN_WORDS = 8  # items below are found only whole
 BLOCK_ITEMS = 20_000  # items that are sent to the tasks at once
+MATCHED = 1 << 16  # windows that are embedded at once
 SLOTS = 1 << 22
 SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -56,13 +57,19 @@ class Walk:
             pick = np.flatnonzero(base == b)
             words, size = rows[pick], length[pick]
             steps = np.sort((self.share[repetition] * (2 * b)).astype(np.int64)).tolist()
-            at, index, key = np.zeros(len(pick), np.int64), np.arange(len(pick)), out[pick]
+            # words of all rows in one line, each row with 0 behind it, where a walk over its end stays
+            width = int(size.max()) + 1
+            line = np.zeros((len(pick), width), np.uint64)
+            line[:, :-1] = words[:, : width - 1]
+            line, begin = line.ravel(), np.arange(len(pick)) * width
+            at, last, key = begin.copy(), begin + size, out[pick]
             for j in range(steps[-1] + 1):
-                word = np.where(at < size, words[index, np.minimum(at, size - 1)], np.uint64(0))
+                word = line.take(at)
                 for s in range(steps.count(j)):
                     key = mix((key ^ word) + np.uint64(s + 1))
                 turn = (word ^ (self.salt[repetition] + np.uint64(j))) * SEED
-                at += ((turn ^ (turn >> np.uint64(29))) >> np.uint64(28) & np.uint64(1)).astype(np.int64)
+                at += ((turn ^ (turn >> np.uint64(29))) >> np.uint64(28) & np.uint64(1)).view(np.int64)
+                np.minimum(at, last, out=at)
             out[pick] = key
         return out
 
@@ -109,6 +116,8 @@ class Items:
         self.base = {b: int(self.length[(self.band == b) & (self.length >= MIN_WORDS)].min()) for b in np.unique(self.band[self.length >= MIN_WORDS])}
         long = np.flatnonzero(self.length >= MIN_WORDS)
         self.base_of = np.array([self.base.get(b, 0) for b in self.band.tolist()], np.int64)
+        # the pairs of each band by themselves: a leak of an item of one band is no window for the others
+        self.pairs = {b: np.unique(np.concatenate([window_codes(self.words[k], 2) for k in long[self.band[long] == b]])) for b in self.base}
         self.count = repetitions(recall, AGREEMENT, SAMPLED)
         self.walk = Walk(self.count, SAMPLED)
         self.index = []  # per repetition: sorted keys, and the item of each
@@ -137,7 +146,11 @@ class Items:
         for row, words in batch:
             if len(words.code):
                 found += self._short(row, words)
-                windows += self._windows(row, words)
+                for window in self._windows(row, words):
+                    if len(windows) >= MATCHED and _cell(window) != _cell(windows[-1]):
+                        found += self._match(windows)
+                        windows = []
+                    windows.append(window)
         return found + (self._match(windows) if windows else [])
 
     def _short(self, row, words):
@@ -156,43 +169,31 @@ class Items:
         return found
 
     def _windows(self, row, words):
-        """Windows that hold enough known pairs: (text, base, first word of the window, words around it, where they start)."""
+        """All windows that hold enough known pairs: (text, base, first word of the window, words around it, where they start)."""
         code, first = words.code, words.first
         if not self.base or len(code) < 2:
-            return []
+            return
         text = words.text_of()
-        pair = self.known[(window_codes(code, 2) & np.uint64(SLOTS - 1)).astype(np.int64)]
-        pair[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(code))] - 1] = False  # not across texts
-        sums = np.zeros(len(code) + max(self.base.values()), np.int32)  # flat beyond the end
-        np.cumsum(pair, out=sums[1 : len(code)])
-        sums[len(code) :] = sums[len(code) - 1]
-        out = []
-        for base in self.base.values():
-            # a window over the end of a text is cut off there later; what it holds beyond does no harm here
-            held = sums[base - 1 : base - 1 + len(code)] - sums[: len(code)]
-            passed = np.flatnonzero(held >= max(1, self.least_pairs(0, base)))
-            if not len(passed):
+        stop = first[text + 1]  # of the text of each word: what lies beyond it counts for no window
+        codes = window_codes(code, 2)
+        near = np.flatnonzero(self.known[(codes & np.uint64(SLOTS - 1)).astype(np.int64)])
+        codes, place = codes[near], np.arange(len(code))
+        for band, base in self.base.items():
+            own = self.pairs[band]
+            hit = near[own[np.minimum(np.searchsorted(own, codes), len(own) - 1)] == codes]
+            if not len(hit):
                 continue
-            # the fullest windows of each stretch: those no window within a quarter of the length exceeds
-            reach = max(1, base // 4)
-            full = held[passed]
-            best = full.copy()
-            for shift in range(1, reach + 1):
-                for a, b in ((slice(shift, None), slice(None, -shift)), (slice(None, -shift), slice(shift, None))):
-                    close = np.abs(passed[a] - passed[b]) <= reach
-                    best[a] = np.where(close, np.maximum(best[a], full[b]), best[a])
-            at = passed[full >= best]
-            cell = at // max(1, base // 8)  # of equals side by side, as in runs of one word, one in a few words
-            at = at[np.concatenate([[True], cell[1:] != cell[:-1]])]
+            sums = np.zeros(len(code), np.int32)
+            sums[hit + 1] = 1
+            np.cumsum(sums, out=sums)
+            held = sums[np.minimum(place + base, stop) - 1] - sums
+            at = np.flatnonzero(held >= max(1, self.least_pairs(0, base)))
             t = text[at]
             slack = int((1 - self.similarity) * base * BAND) + max(1, base // 4)
             begin = np.maximum(first[t], at - slack)
             end = np.minimum(first[t + 1], at + int(base * BAND) + 1 + slack)
-            out += [
-                (row + int(x), base, int(w - a), code[a:b], int(a - f))
-                for x, w, a, b, f in zip(t, at.tolist(), begin.tolist(), end.tolist(), first[t].tolist())
-            ]
-        return out
+            for x, w, a, b, f in zip(t.tolist(), at.tolist(), begin.tolist(), end.tolist(), first[t].tolist()):
+                yield row + x, base, w - a, code[a:b], a - f
 
     def _match(self, windows):
         """Leaks among the windows of many texts. Equal windows are embedded once."""
@@ -215,18 +216,33 @@ class Items:
         of: dict = {}
         for w, k in zip((met // n).tolist(), (met % n).tolist()):
             of.setdefault(w, []).append(k)
-        todo = [(i, k) for i, w in enumerate(which.tolist()) for k in of.get(w, ())]
-        out = []
-        for i in range(0, len(todo), 512):
-            part = todo[i : i + 512]
-            distance = edit_distance([self.words[k] for _, k in part], [windows[w][3] for w, _ in part])
-            for (w, k), d in zip(part, distance.tolist()):
+        # windows side by side that met one item are compared as one part of the text, and equal parts once
+        parts: dict = {}
+        for i, w in enumerate(which.tolist()):
+            for k in of.get(w, ()):
+                part = parts.setdefault((_cell(windows[i]), k), [i, i])
+                part[1] = i
+        todo: dict = {}
+        for ((text, _, _), k), (i, j) in parts.items():
+            first, last = windows[i], windows[j]
+            around = np.concatenate([first[3], last[3][max(0, first[4] + len(first[3]) - last[4]) :]])
+            todo.setdefault((k, around.tobytes()), []).append((text, first[4], around))
+        out, todo = [], list(todo.items())
+        for n in range(0, len(todo), 512):
+            some = todo[n : n + 512]
+            distance = edit_distance([self.words[k] for (k, _), _ in some], [places[0][2] for _, places in some])
+            for ((k, _), places), d in zip(some, distance.tolist()):
                 if d <= self.limit[k]:
-                    text, _, _, around, start = windows[w]
-                    out.append((text, k, start, start + len(around), d))
+                    out += [(text, k, start, start + len(around), d) for text, start, around in places]
         return out
 
 
+def _cell(window) -> tuple[int, int, int]:
+    """Text, base, and which half of a base of the text the window begins in: a matter of the text alone, not of the texts beside it."""
+    text, base, inside, _, start = window
+    return text, base, (start + inside) // (base // 2)
+
+
 def _bytes(texts: list[str]):
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)

@@ -14,7 +14,8 @@ import pytest
 import sentencepiece
 
 from cloudloom.llm.components import components
-from cloudloom.llm.decontaminate import Items, find_leaks
+from cloudloom.llm.decontaminate import Items, edit_distance, find_leaks
+from cloudloom.llm.decontaminate import _bytes as as_bytes
 from cloudloom.llm.exact_dedup import exact_dedup, exact_groups
 from cloudloom.llm.gru import END, HIDDEN, Model
 from cloudloom.llm.language_id import fit_dictionaries, identify
@@ -25,6 +26,7 @@ from cloudloom.llm.sentencepiece_codec import Codec, Decoder, Vocabulary, encode
 from cloudloom.llm.substring_dedup import difference_cover, substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
 from cloudloom.llm.url_filter import filter_urls
+from cloudloom.llm.words import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -181,6 +183,33 @@ def test_decontamination(spark):
     assert Items([], []).find([]) == []
 
 
+def test_decontamination_of_neighbours_and_borders():
+    """Edited leaks beside denser stretches and at the ends of texts, against the edit distance to the whole text."""
+    rng = random.Random(14)
+    pick = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [pick(rng.choice([20, 20, 24, 40])) for _ in range(30)]
+    model = Items(list(range(30)), [" ".join(x) for x in items])
+
+    def edited(item):
+        out, limit = list(item), len(item) // 5
+        for i in range(limit):
+            out[(2 * i + 1) * len(item) // (2 * limit)] = "edited"
+        return out
+
+    texts = []
+    for _ in range(60):
+        a, b, c = rng.sample(range(30), 3)
+        texts += [edited(items[a]) + items[b], items[b] + edited(items[a]), pick(9) + items[b] + edited(items[a]) + items[c] + pick(9), edited(items[a]), edited(items[a])[:-3]]
+    cut = split_words(*as_bytes([" ".join(x) for x in texts]), lower=True, punctuation=True)
+    code = [cut.code[a:b] for a, b in zip(cut.first[:-1], cut.first[1:])]
+    pairs = [(t, k) for t in range(len(texts)) for k in range(30)]
+    distance = edit_distance([model.words[k] for _, k in pairs], [code[t] for t, _ in pairs])
+    wanted = {p for p, d in zip(pairs, distance.tolist()) if d <= model.limit[p[1]]}
+    found = {(t, k) for t, k, *_ in model.find([(0, cut)])}
+    assert found <= wanted and len(wanted) == 480
+    assert len(found) >= 0.97 * len(wanted), (len(found), len(wanted))
+
+
 def test_language(spark):
     rng = random.Random(6)
     syllables = {"xx": ["ka", "ru", "mo", "zi"], "yy": ["thel", "brin", "orf", "usk"], "zz": ["éa", "òi", "ñu", "üm"]}
