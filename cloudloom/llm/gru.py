@@ -123,15 +123,16 @@ class Model:
             total += np.bincount(np.concatenate(who), weights=logp, minlength=m)
         return total
 
-    def train(self, texts: list[np.ndarray], rate: float, passes: int = 1) -> Model:
-        """Adam over windows of WINDOW steps; states run on from window to window and start anew after an end."""
+    def train(self, texts: list[np.ndarray], rate: float, passes: int = 1, streams: int = STREAMS) -> Model:
+        """Adam over windows of WINDOW steps; states run on from window to window and start anew after an end. Streams are filled
+        up with the first tokens again, so that none is left out."""
         texts = [t for t in texts if len(t)]
         if not texts:
             return self
         flow = np.concatenate(texts).astype(np.int64)
-        m = max(1, min(STREAMS, len(flow) // WINDOW))
-        steps = len(flow) // m
-        flow = flow[: m * steps].reshape(m, steps).T
+        m = max(1, min(streams, len(flow) // WINDOW))
+        steps = -(-len(flow) // m)
+        flow = np.resize(flow, (m, steps)).T
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0

@@ -2,7 +2,8 @@
 
 1. words of all training texts are counted, by hash, in buckets that combine before the shuffle;
 2. the most frequent words go to every task, as counts and, the first of them, as tokens of the recurrent model. It is
-   warmed up on a bounded sample, and then trained by every task on its own share of the training texts; the weights are averaged;
+   warmed up on a bounded sample, and then trained on all training texts, dealt by a hash of the row into parts of bounded size;
+   the weights of the parts are averaged, so the partitions of the input change nothing;
 3. texts are scored where they lie; words beyond the frequent ones ask the buckets for their counts, and the sums
    come home by group of texts.
 
@@ -28,8 +29,7 @@ TOKENS = 30 * CLASS_SIZE  # words of the recurrent model
 HEAD = 1 << 16  # words whose counts every task holds
 CODE_BYTES = 6  # of a word's hash beyond its bucket
 WARM_TEXTS, WARM_CHARS, WARM_PASSES, WARM_RATE = 400, 20_000, 4, 0.01
-SHARE = 16  # one of so many training texts trains the recurrent model, however many there are
-RATE = 0.002
+RATE, PART_STREAMS = 0.002, 256  # of the training on all texts
 FLUSH = 1 << 21
 
 _ROWS = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("code", pa.binary()), ("data", pa.binary())])
@@ -142,6 +142,7 @@ def _average(weights: DataFrame, fan: int = 32) -> np.ndarray | None:
     """Mean of weight vectors (part, n, w), weighted by n, over a tree of groups of `fan`."""
 
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")  # so that sums of floats do not hang on who comes first
         n = table["n"].to_numpy().astype(np.float64)
         w = sum(np.frombuffer(x, np.float32) * k for x, k in zip(table["w"].to_pylist(), n)) / n.sum()
         return pa.table({"part": pa.array([table["part"][0].as_py() // fan], pa.int32()), "n": [int(n.sum())], "w": [w.astype(np.float32).tobytes()]})
@@ -156,9 +157,9 @@ def _average(weights: DataFrame, fan: int = 32) -> np.ndarray | None:
     return np.frombuffer(weights.first()["w"], np.float32)
 
 
-def fit(train: DataFrame, head: Head) -> Model:
+def fit(train: DataFrame, head: Head, n_parts: int) -> Model:
     """The recurrent model: warmed up on at most WARM_TEXTS texts of at most WARM_CHARS characters, the first by a hash, then trained
-    on one of SHARE training texts, in place."""
+    on every training text, in `n_parts` parts."""
     tokens = 2 + int((head.token > 1).sum())
     model = Model(tokens)
     short = train.select("_text", F.xxhash64("_text").alias("h")).filter(F.length("_text").between(1, WARM_CHARS))
@@ -172,17 +173,14 @@ def fit(train: DataFrame, head: Head) -> Model:
     model.train(list(ids(pa.array(texts, pa.string()))), WARM_RATE, WARM_PASSES)
     start = model.flat()
 
-    def learn(batches):
-        got = []
-        for batch in batches:
-            part = batch.column("part")[0].as_py()
-            got += ids(batch.column("_text"))
-        if got:
-            done = Model(tokens).load(start).train(got, RATE)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [sum(map(len, got))], "w": [done.flat().tobytes()]})
-
-    share = train.filter(F.pmod(F.xxhash64("_key"), F.lit(SHARE)) == 0).select("_text", F.spark_partition_id().alias("part"))
-    mean = _average(share.mapInArrow(learn, "part int, n long, w binary"))
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_key", "ascending"), ("_text", "ascending")]).combine_chunks()
+        got = [x for chunk in table["_text"].chunks for x in ids(chunk)]
+        done = Model(tokens).load(start).train(got, RATE, streams=PART_STREAMS)
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [sum(map(len, got))], "w": [done.flat().tobytes()]})
+
+    dealt = train.select("_key", "_text", F.pmod(F.xxhash64("_key"), F.lit(n_parts)).cast("int").alias("part"))
+    mean = _average(dealt.groupBy("part").applyInArrow(learn, "part int, n long, w binary"))
     return model if mean is None else model.load(mean)
 
 
@@ -206,7 +204,7 @@ def score_texts(docs: DataFrame, is_training: str, id_col: str = "doc_id", text_
     row = counts.agg(F.sum("words").alias("v"), F.sum("total").alias("n")).first()
     total, kinds = (row["n"] or 0) + ends, (row["v"] or 0) + (ends > 0)
     head = _head(counts)
-    model = fit(train, head)
+    model = fit(train, head, n_buckets)
     inside = head.token > 1
     rest = total - ends - int(head.count[inside].sum())
     rest_log = math.log10(rest + 0.5 * (kinds - (ends > 0) - int(inside.sum()) + 1))  # of the word share among other words

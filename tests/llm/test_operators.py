@@ -19,6 +19,7 @@ from cloudloom.llm.decontaminate import _bytes as as_bytes
 from cloudloom.llm.exact_dedup import exact_dedup, exact_groups
 from cloudloom.llm.gru import END, HIDDEN, Model
 from cloudloom.llm.language_id import fit_dictionaries, identify
+from cloudloom.llm import lm_score
 from cloudloom.llm.lm_score import score_texts
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
 from cloudloom.llm.secret_scan import Field, base_spans, scan_secrets, spans_of, train
@@ -347,6 +348,21 @@ def test_scores(spark):
     assert score_texts(df.withColumn("learn", df.learn & False), "learn").filter("n_known > 0 OR train_tokens > 0").count() == 0
 
 
+def test_every_training_text_trains_the_recurrent_model(spark, monkeypatch):
+    rows = random_rows(15, 120, 300, 60)
+    df = frame(spark, rows).selectExpr("*", "doc_id % 3 > 0 AS learn")
+    average, taught = lm_score._average, []
+
+    def watched(weights):
+        taught.append(weights.selectExpr("sum(n) AS n").first()["n"])
+        return average(weights)
+
+    monkeypatch.setattr(lm_score, "_average", watched)
+    one, seven = ({r["doc_id"]: r["score"] for r in score_texts(df.repartition(n), "learn").collect()} for n in (1, 7))
+    assert taught == [sum(len(words(t)) + 1 for k, t in rows if k % 3 > 0)] * 2
+    assert max(abs(one[k] / seven[k] - 1) for k in one) < 1e-5  # single precision, texts scored side by side
+
+
 def test_rare_words_ask_the_buckets(spark, monkeypatch):
     rows = random_rows(14, 50, 400, 60)
     df = frame(spark, rows).selectExpr("*", "doc_id % 3 > 0 AS learn")
