@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.session import cut_lineage
+
 TRAIN_ROWS = 600  # labelled rows per language that make its dictionary, chosen by a hash of the text
 DICT_BYTES = 1 << 17  # of a dictionary
 BLOCK_BYTES = 1 << 12
@@ -28,28 +30,45 @@ _LETTER = re.compile(r"[^\W\d_]")
 def fit_dictionaries(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, dict_bytes: int = DICT_BYTES
 ) -> dict[str, bytes]:
-    """Dictionary bytes per language, from at most `train_rows` rows of each, `dict_bytes` in all.
+    """Dictionary bytes per language, from at most `train_rows` distinct texts of each, at most `dict_bytes` in all.
 
-    The rows are the first by a hash of their text, so the choice does not hang on partitions; every row gives an
-    equal share of the dictionary. Rows without text or language teach nothing. More than MAX_LANGUAGES languages are an error.
+    The texts are the first by a hash, so the choice hangs neither on partitions nor on copies. Each gives a piece from a place that
+    the hash tells, and the pieces are as long as lets all of them into the dictionary. Rows without text or language teach nothing. More than MAX_LANGUAGES languages are an error.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND length(text) > 0")
-    rows = rows.select("lang", F.xxhash64("text").alias("pick"), F.substring("text", 1, dict_bytes).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    rows = rows.select("lang", F.xxhash64("text").alias("pick"), "text")
+    counts = rows.select("lang", "pick").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # of a large language, about four times the rows wanted take part in the choice
+    # of a large language, about four times the texts wanted take part in the choice
     rows = rows.withColumn("pick", F.pmod("pick", F.lit(1 << 40)))
     few = F.lit(True)
     for r in counts:
         if r["n"] > 4 * train_rows:
             few = few & ((F.col("lang") != r["lang"]) | (F.col("pick") < int((1 << 40) * 4 * train_rows / r["n"])))
     first = Window.partitionBy("lang").orderBy("pick", "text")
-    rows = rows.filter(few).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= train_rows)
-    share = max(256, dict_bytes // train_rows * 4)
-    piece = F.substring("text", 1, share)
-    made = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("text")))).alias("parts"))
-    return {r["lang"]: "\n".join(p["text"] for p in r["parts"]).lower().encode()[-dict_bytes:] for r in made.collect()}
+    rows = rows.filter(few).groupBy("lang", F.col("pick")).agg(F.min("text").alias("text"))  # copies combine before they move
+    rows = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= train_rows)
+    rows = cut_lineage(rows.withColumn("size", F.octet_length(F.lower("text"))))
+    sizes = rows.groupBy("lang").agg(F.collect_list("size").alias("sizes")).collect()
+    shares = {r["lang"]: _share(r["sizes"], dict_bytes) for r in sizes}
+    if not shares:
+        return {}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    begin = F.pmod("pick", F.greatest(F.length("text") - share, F.lit(0)) + 1).cast("int") + 1
+    made = rows.select("lang", "at", F.col("text").substr(begin, share).alias("text"))
+    made = made.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return {r["lang"]: b"\n".join(p["text"].lower().encode()[: shares[r["lang"]]] for p in r["parts"]) for r in made.collect()}
+
+
+def _share(sizes: list[int], total: int) -> int:
+    """The longest piece, in bytes, at which pieces of all texts and the ends between them fit into `total`."""
+    room = total - len(sizes) + 1
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) >= room:
+            return max(1, room // (len(sizes) - k))
+        room -= size
+    return max(1, *sizes, 1)
 
 
 class Compressors:

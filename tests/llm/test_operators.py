@@ -228,6 +228,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in identify(labelled, {}).collect()} == {"und"}
 
 
+def test_dictionaries_hold_all_sampled_texts(spark):
+    """Copies do not crowd out other texts, and every text of the sample is in the dictionary."""
+    rows = [("same words again and again", "xx")] * 700 + [(f"start{i} " + f"text{i:03d} " * 300, "xx") for i in range(100)]
+    made = fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"))["xx"]
+    assert len(made) <= 1 << 17 and made.count(b"same words") == 1
+    assert all(b"text%03d" % i in made for i in range(100))
+
+
 @pytest.fixture(scope="module")
 def codec():
     vocabulary = Vocabulary(MODEL)
