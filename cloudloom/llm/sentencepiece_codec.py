@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # fixed: stands for a space
-CACHE = 300_000  # cuts that a worker remembers, and as many from before
+CACHE = 100_000  # cuts that a task remembers, and as many from before
 REPLACEMENT = "�"
 
 
@@ -209,6 +209,12 @@ class Codec:
         out.append(name[v.end])
         return "".join(out)[1:], count
 
+    def forget(self):
+        """Gives the memory of cuts and pairs back."""
+        self.pairs.clear()
+        self.cuts.clear()
+        self.old.clear()
+
     def _run(self, n: int) -> list[int]:
         """Tokens of `n` marks that merge with nothing but each other."""
         full, rest = divmod(n, self.v.longest_run)
@@ -254,8 +260,8 @@ def _utf8(data: bytes) -> str:
 
 
 def _coders(model_file: str) -> tuple[Codec, Decoder]:
-    """One pair per worker process and file, kept from task to task. Functions travel to the workers with copies of their
-    globals, so what is to last lies in a module of its own."""
+    """One pair per worker process and file. The vocabulary (20 MB) lasts from task to task, the memory of cuts does not.
+    Functions travel to the workers with copies of their globals, so what is to last lies in a module of its own."""
     state = vars(sys.modules.setdefault("_coders_of_this_worker", types.ModuleType("_coders_of_this_worker")))
     if model_file not in state:
         vocabulary = Vocabulary(model_file)
@@ -275,17 +281,20 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> D
 
     def fn(batches):
         codec, decoder = _coders(model_file)
-        for batch in batches:
-            counts, ids, texts = [], [], []
-            for text in batch.column("_text").to_pylist():
-                line, n = codec.encode(text or "")
-                ids.append(line)
-                counts.append(n)
-                texts.append(decoder.decode(line))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                schema=pa.schema([batch.schema.field("_row"), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())]),
-            )
+        try:
+            for batch in batches:
+                counts, ids, texts = [], [], []
+                for text in batch.column("_text").to_pylist():
+                    line, n = codec.encode(text or "")
+                    ids.append(line)
+                    counts.append(n)
+                    texts.append(decoder.decode(line))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                    schema=pa.schema([batch.schema.field("_row"), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())]),
+                )
+        finally:  # workers outlive tasks and queries
+            codec.forget()
 
     out = packed.mapInArrow(fn, f"_row {row_type}, n_tokens long, ids string, decoded string")
     return out.select("_row.*", "n_tokens", "ids", "decoded")
