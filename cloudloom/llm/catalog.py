@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.collocations import COVER, MIN_COUNT, TOP, mine_collocations
 from cloudloom.llm.decontaminate import find_leaks
 from cloudloom.llm.exact_dedup import exact_groups
+from cloudloom.llm.hard_negatives import mine_hard_negatives
 from cloudloom.llm.language_id import fit_dictionaries, fold, identify
 from cloudloom.llm.lm_score import score_texts
+from cloudloom.llm.mixing import MAX_EPOCHS, WEIGHTS, mix_sources
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
 from cloudloom.llm.secret_scan import KINDS, scan_secrets, train
 from cloudloom.llm.sentencepiece_codec import encode_decode
@@ -201,3 +204,62 @@ def op3_suffix_dedup(spark, sf_dir):
 def op10_substring_dedup(spark, sf_dir):
     """Passages of 35 words that occur more than once, taken out of every document."""
     return _without_repeats(substring_dedup(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op11_source_mixing",
+    f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+c AS (SELECT *, {list(WEIGHTS)}[r % {len(WEIGHTS)} + 1]::DOUBLE AS w, {MAX_EPOCHS} * source_size AS cap FROM s),
+b AS (SELECT *, cap / w AS ratio FROM c),
+p AS (SELECT *, sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)::DOUBLE AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS share
+  FROM b WINDOW o AS (ORDER BY ratio, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT rest, share FROM p WHERE ratio * share > rest ORDER BY ratio, r LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN l.rest IS NULL OR ratio * l.share <= l.rest THEN cap::DOUBLE ELSE w * l.rest / l.share END AS target FROM b LEFT JOIN l ON true),
+e AS (SELECT *, floor(target + 0.5)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+k AS (SELECT doc_id, size, source_size, target, epochs, budget - epochs * source_size AS left_over,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR))), 1, 16), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, left_over - before)))::BIGINT AS taken FROM k""",
+)
+def op11_source_mixing(spark, sf_dir):
+    """Words that a mix of all sources, at weights 1, 2, 3 in turn and at most three epochs, takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, carry=["doc_id"])
+
+
+@query(
+    "op12_collocations",
+    f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+x AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, unnest([ws[i:i + 0], ws[i:i + 1], ws[i:i + 2]]) AS ph, unnest([1, 2, 3]) AS m, i, len(ws) AS k FROM x),
+f AS (SELECT lang, ph, m, count(*) AS a FROM g WHERE i + m - 1 <= k GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT c.lang, c.ph, c.m, c.a, l.a AS l, r.a AS r, l.m AS cut, 1000000 * c.a::HUGEINT * c.a // (l.a::HUGEINT * r.a) AS s FROM f c
+  JOIN f l ON l.lang = c.lang AND l.m < c.m AND l.ph = c.ph[1:l.m] JOIN f r ON r.lang = c.lang AND r.m = c.m - l.m AND r.ph = c.ph[l.m + 1:] WHERE c.m > 1 AND c.a >= {MIN_COUNT}),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY s, cut) = 1),
+h AS (SELECT lang, ph, max(a) AS most FROM (SELECT lang, ph[1:2] AS ph, a FROM b WHERE m = 3 UNION ALL SELECT lang, ph[2:3], a FROM b WHERE m = 3) GROUP BY ALL),
+k AS (SELECT b.*, array_to_string(b.ph, ' ') AS phrase FROM b LEFT JOIN h ON h.lang = b.lang AND h.ph = b.ph WHERE most IS NULL OR 100 * most < {COVER} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, s::BIGINT AS score
+FROM k JOIN n USING (lang) QUALIFY rank <= {TOP}""",
+)
+def op12_collocations(spark, sf_dir):
+    """The best phrases of two and three words of every language."""
+    return mine_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query(
+    "op13_hard_negatives",
+    """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
+)
+def op13_hard_negatives(spark, sf_dir):
+    """For every hundredth vector and its five positives, the ten hardest negatives below 90 % of the positive's score."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
