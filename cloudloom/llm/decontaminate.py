@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.tables import lean
 from cloudloom.llm.words import mix, slices, split_words, window_codes
 
 SIMILARITY = 0.8
@@ -302,5 +303,5 @@ def find_leaks(
                     schema=pa.schema([batch.schema.field("_row"), batch.schema.field("_text"), ("leaks", kind)]),
                 )
 
-        out = out.mapInArrow(fn, f"_row {row_type}, _text string, leaks {HITS}")
+        out = out.mapInArrow(lean(fn), f"_row {row_type}, _text string, leaks {HITS}")
     return out.select("_row.*", "leaks")

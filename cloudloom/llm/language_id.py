@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.llm.tables import lean
 from cloudloom.session import cut_lineage
 
 TRAIN_ROWS = 600  # labelled rows per language that make its dictionary, chosen by a hash of the text
@@ -127,7 +128,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 schema=pa.schema([batch.schema.field("_row"), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]),
             )
 
-    out = packed.mapInArrow(fn, f"_row {row_type}, lang_pred string, score double, rejected boolean")
+    out = packed.mapInArrow(lean(fn), f"_row {row_type}, lang_pred string, score double, rejected boolean")
     return out.select("_row.*", *results)
 
 

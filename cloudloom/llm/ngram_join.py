@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.components import components, labels
-from cloudloom.llm.tables import attach, bucket_count, joined, pack, row_key, runs, unpack
+from cloudloom.llm.tables import attach, bucket_count, joined, lean, pack, row_key, runs, unpack
 from cloudloom.llm.words import Words, mix, slices, split_words, window_codes
 from cloudloom.session import cut_lineage
 
@@ -100,7 +100,7 @@ def frequent(base: DataFrame, size: int, threshold: int) -> np.ndarray:
                     parts, held = [], 0
         yield flush(parts)
 
-    counted = base.select("_text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = base.select("_text").mapInArrow(lean(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     most = counted.filter(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "code").limit(HOT_KEEP)
     return np.array([r["code"] for r in most.select("code").collect()], np.int64).view(np.uint64)
 
@@ -403,7 +403,7 @@ def ngram_jaccard_groups(
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_key"))
     n_buckets = bucket_count(docs, text_col)
     hot = frequent(base, size, threshold)
-    sent = base.mapInArrow(_first_pass(size, threshold, hot, n_buckets), _SENT)
+    sent = base.mapInArrow(lean(_first_pass(size, threshold, hot, n_buckets)), _SENT)
     met = cut_lineage(_meeting(sent, threshold, n_buckets, tie=False))
     members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("n"), F.col("c").alias("name"), F.col("d").alias("id"))
     counts = met.filter(F.col("kind") == TIED).groupBy(F.col("a").alias("name")).agg(F.sum("b").alias("common"))
@@ -411,8 +411,8 @@ def ngram_jaccard_groups(
     reps = reps.join(counts, "name").filter(F.col("common") >= _needed("n", threshold, MORE))
     reps = cut_lineage(reps.select(F.col("key").alias("_key"), F.col("name").alias("_name")))
 
-    sets = cut_lineage(base.join(reps, "_key").select("_name", "_text").mapInArrow(_sets(size), "name long, n long, elements binary"))
-    sent = sets.select("name", "elements").mapInArrow(_second_pass(threshold, hot, n_buckets), _SENT)
+    sets = cut_lineage(base.join(reps, "_key").select("_name", "_text").mapInArrow(lean(_sets(size)), "name long, n long, elements binary"))
+    sent = sets.select("name", "elements").mapInArrow(lean(_second_pass(threshold, hot, n_buckets), "elements"), _SENT)
     tied = _meeting(sent, threshold, n_buckets, tie=True)
     clusters = components(tied.select("a", "b")).select(F.col("node").alias("name"), F.col("root").alias("cluster"))
 

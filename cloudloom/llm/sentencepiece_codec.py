@@ -21,6 +21,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.tables import lean
+
 MARK = "▁"  # fixed: stands for a space
 CACHE = 100_000  # cuts that a task remembers, and as many from before
 REPLACEMENT = "�"
@@ -296,5 +298,5 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> D
         finally:  # workers outlive tasks and queries
             codec.forget()
 
-    out = packed.mapInArrow(fn, f"_row {row_type}, n_tokens long, ids string, decoded string")
+    out = packed.mapInArrow(lean(fn), f"_row {row_type}, n_tokens long, ids string, decoded string")
     return out.select("_row.*", "n_tokens", "ids", "decoded")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,37 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], limit: int = BROADC
     return df.join(F.broadcast(table) if few else table, keys, "left")
 
 
+SLICE_BYTES = 4 << 20  # text that a task turns into Python objects at once
+
+
+def lean(fn, column: str = "_text", limit: int = SLICE_BYTES):
+    """A function over batches that sees them in pieces of about `limit` bytes of one column, and gives the memory of its
+    process back when its task ends: workers outlive tasks and queries."""
+
+    def pieces(batches):
+        for batch in batches:
+            size = batch.column(column).cast(pa.large_binary())
+            ends = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1]
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, side="right")) - 1)
+                yield batch.slice(i, j - i)
+                i = j
+
+    def run(batches):
+        try:
+            yield from fn(pieces(batches))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def pack(codes: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each 64-bit code."""
     return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
