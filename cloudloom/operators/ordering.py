@@ -32,35 +32,31 @@ def rank_by_id(
 ) -> DataFrame:
     """Adds the 0-based rank in id order inside `keys`, and the group size under `size`.
 
-    `bound_keys` is a subset of `keys` whose groups are cheap to count (tiles for voxels). Only
-    groups above `group_rows` are chunked, by `id div group_rows`; ids are unique inside a group,
-    so a chunk never exceeds `group_rows` rows.
+    `bound_keys` is a subset of `keys` whose groups are cheap to count (tiles for voxels). Groups up to `group_rows` rows
+    take one window. The rows of larger ones are cut, over all such groups, into ranges of ids by splitters that Spark
+    samples, so that a chunk holds about `group_rows` rows whatever the ids look like, also where they are hashes. The
+    checkpoint fixes the chunks; the sizes of the chunks before give the offset of each. Null keys are a group.
     """
     bound = bound_keys or keys
-    large = (
-        df.groupBy(*bound)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > group_rows)
-        .select(*bound, F.lit(True).alias("_large"))
-    )
-    cut = df.join(large, bound, "left").withColumn(
-        "_chunk",
-        F.when(F.col("_large"), F.floor(F.col(id_col) / F.lit(group_rows)).cast("long")).otherwise(F.lit(0)),
-    )
+    sizes = df.groupBy(*bound).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows)
+    sizes = cut_lineage(sizes)
+    total = sizes.agg(F.sum("_n")).first()[0]
+    ranks = lambda w: {rank: (F.row_number().over(w.orderBy(id_col)) - 1).cast("long")} | ({size: F.count(F.lit(1)).over(w)} if size else {})
+    whole = Window.partitionBy(*keys)
+    if not total:
+        return df.withColumns(ranks(whole))
+
+    flagged = attach_groups(df, sizes.select(*bound, F.lit(True).alias("_large")), bound)
+    small = flagged.filter("_large IS NULL").drop("_large").withColumns(ranks(whole))
+    large = flagged.filter("_large").drop("_large").repartitionByRange(math.ceil(total / group_rows), *bound, id_col)
+    large = cut_lineage(large.withColumn("_chunk", F.spark_partition_id()))
     piece = [*keys, "_chunk"]
-    offsets = cut.filter("_large").groupBy(*piece).agg(F.count(F.lit(1)).alias("_m"))
-    offsets = offsets.withColumn(
-        "_skip", F.coalesce(F.sum("_m").over(_before(keys, ["_chunk"])), F.lit(0))
-    ).withColumn("_all", F.sum("_m").over(Window.partitionBy(*keys)))
-    out = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*piece).orderBy(id_col)) - 1)
-    if size:
-        out = out.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy(*piece)))
-    out = out.join(offsets.drop("_m"), piece, "left").withColumn(
-        rank, (F.col("_local") + F.coalesce("_skip", F.lit(0))).cast("long")
-    )
-    if size:
-        out = out.withColumn(size, F.coalesce("_all", "_here").cast("long"))
-    return out.drop("_large", "_chunk", "_skip", "_all", "_local", "_here")
+    counts = cut_lineage(large.groupBy(*piece).agg(F.count(F.lit(1)).alias("_m")))
+    offsets = counts.withColumns({"_skip": F.coalesce(F.sum("_m").over(_before(keys, ["_chunk"])), F.lit(0)), "_all": F.sum("_m").over(whole)})
+    local = F.row_number().over(Window.partitionBy(*piece).orderBy(id_col)) - 1
+    large = attach_groups(large.withColumn("_local", local), offsets.drop("_m"), piece)
+    found = {rank: (F.col("_local") + F.col("_skip")).cast("long")} | ({size: F.col("_all").cast("long")} if size else {})
+    return small.unionByName(large.withColumns(found).select(*small.columns))
 
 
 def ordered_prefix(

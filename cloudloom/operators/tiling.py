@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.operators.neighbors import knn_join
-from cloudloom.operators.ordering import GROUP_ROWS, ordered_prefix, with_group_stats
+from cloudloom.operators.ordering import GROUP_ROWS, attach_groups, ordered_prefix, with_group_stats
 from cloudloom.schemas import TILE, TILE_PART
 from cloudloom.session import cut_lineage
 
@@ -88,43 +90,131 @@ def tile_merge_small(tiled: DataFrame, min_points: int, **knn) -> DataFrame:
     return out.drop("to_xb", "to_yb")
 
 
-def tile_split_large(tiled: DataFrame, max_points: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+TASK_ROWS = 1 << 18  # largest part that one task splits to the end
+NO_PLACE = -1.7e308  # where a null coordinate is sorted
+BINS, CANDIDATES = 1024, 4096  # bins of a histogram; rows among which a rank is looked up in order
+
+
+def _split_in_task(max_points: int):
+    """Splits a whole part to the end: its rows with their final `part`."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        x, y = (table[c].to_numpy() for c in "xy")  # nulls become NaN
+        ids = table["point_id"]
+        if ids.null_count:
+            ids = ids.fill_null(np.iinfo(np.int64).min if pa.types.is_int64(ids.type) else ids.type.to_pandas_dtype()())
+        ids = ids.to_numpy()
+        part = np.full(len(ids), table["part"][0].as_py(), np.int64)
+        todo = [np.arange(len(ids))]
+        while todo:
+            rows = todo.pop()
+            if len(rows) <= max_points:
+                continue
+            a, b = x[rows], y[rows]
+            v = a if np.fmax.reduce(a) - np.fmin.reduce(a) >= np.fmax.reduce(b) - np.fmin.reduce(b) else b
+            rows = rows[np.lexsort((ids[rows], np.where(np.isnan(v), NO_PLACE, v)))]
+            half = len(rows) // 2
+            part[rows] *= 2
+            part[rows[half:]] += 1
+            todo += [rows[:half], rows[half:]]
+        return table.set_column(table.schema.get_field_index("part"), "part", pa.array(part))
+
+    return fn
+
+
+def _narrow(rows: DataFrame, keys: list[str], at: str, ranks: DataFrame, bins: int, candidates: int) -> DataFrame:
+    """Per group the range (_lo, _hi) of `at` that holds the row of rank _k: its rows (_c), and the rank among them (_k).
+
+    Every pass counts the rows of the range in `bins` bins and goes on with one of them, until the range has at most
+    `candidates` rows or one value. Only counts are shuffled.
+    """
+    inside = attach_groups(rows, ranks, keys).filter(F.col("_k").isNotNull())
+    ends = inside.groupBy(*keys, "_k").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("_c"))
+    state, wide = cut_lineage(ends), (F.col("_c") > candidates) & (F.col("_lo") < F.col("_hi"))
+    while state.filter(wide).limit(1).count():
+        inside = attach_groups(rows, state.filter(wide).drop("_c"), keys).filter(F.col(at).between(F.col("_lo"), F.col("_hi")))
+        # ids beyond 2^53 may share a double: then their distance, a small number, is the bin
+        low, high, v = (c.cast("double") for c in (F.col("_lo"), F.col("_hi"), F.col(at)))
+        bin_ = F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))).otherwise((F.col(at) - F.col("_lo")).cast("long"))
+        counts = inside.groupBy(*keys, "_k", bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_lo")) - F.col("_c")
+        picked = counts.withColumn("_b", before).filter((F.col("_b") <= F.col("_k")) & (F.col("_k") < F.col("_b") + F.col("_c")))
+        picked = picked.withColumn("_k", F.col("_k") - F.col("_b")).select(*state.columns)
+        state = cut_lineage(state.filter(~wide).unionByName(picked))
+    return state
+
+
+def row_of_rank(rows: DataFrame, keys: list[str], value: str, ident: str, ranks: DataFrame, bins: int = BINS, candidates: int = CANDIDATES) -> DataFrame:
+    """Per group, value (`_tv`) and id (`_ti`) of the row with 0-based rank in (value, id) order; no rows are sorted.
+
+    `ranks` has one row per group: the keys and _k. Histograms narrow the range of values; where only equal values are
+    left, those of ids. What is left is looked up, at most `candidates` rows a group. `rows` is read once a pass.
+    """
+    found = _narrow(rows, keys, value, ranks, bins, candidates)
+    crowded = F.col("_c") > candidates
+    parts = [(found.filter(~crowded), F.lit(True))]
+    one_value = found.filter(crowded).select(*keys, "_k", F.col("_lo").alias("_one"))
+    if one_value.limit(1).count():
+        equal = attach_groups(rows, one_value.drop("_k"), keys).filter(F.col(value) == F.col("_one")).drop("_one")
+        by_id = _narrow(equal, keys, ident, one_value.drop("_one"), bins, candidates)
+        by_id = attach_groups(by_id.withColumnsRenamed({"_lo": "_from", "_hi": "_to"}), one_value.drop("_k"), keys)
+        parts.append((cut_lineage(by_id.withColumns({"_lo": F.col("_one"), "_hi": F.col("_one")})), F.col(ident).between(F.col("_from"), F.col("_to"))))
+    out = []
+    for state, also in parts:
+        few = attach_groups(rows, state, keys).filter(F.col("_k").isNotNull() & F.col(value).between(F.col("_lo"), F.col("_hi")) & also)
+        order = F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(ident).alias("i"))))
+        few = few.groupBy(*keys, "_k").agg(order.alias("_all"))
+        out.append(few.select(*keys, F.get("_all", F.col("_k").cast("int"))["v"].alias("_tv"), F.get("_all", F.col("_k").cast("int"))["i"].alias("_ti")))
+    return cut_lineage(reduce(DataFrame.unionByName, out))
+
+
+def tile_split_large(tiled: DataFrame, max_points: int, task_rows: int = TASK_ROWS, bins: int = BINS, candidates: int = CANDIDATES) -> DataFrame:
     """Halves tiles above `max_points` at the median of their wider axis (x when equal) until none
     is left. Adds `part`: 1 for an unsplit tile, and 2p / 2p+1 for the halves of p; the lower half
-    gets n div 2 points, ties in id order."""
+    gets n div 2 points, ties in id order, points without the coordinate first. No row is lost.
+
+    Tiles that are small enough are not moved. Parts of more than `task_rows` points are halved at an exact median that
+    histograms find, all of one round together; once below, a part goes to one task, which splits it to the end.
+    """
     if max_points < 1:
         raise ValueError("max_points must be at least 1")
-    cur = tiled.withColumn("part", F.lit(1).cast("long"))
-    sizes = cur.groupBy(*TILE).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    # Halving is exact, so the number of rounds follows from the largest tile.
-    rounds = max(0, math.ceil(math.log2(largest / max_points))) if largest > max_points else 0
-    done = []
-    for _ in range(rounds):
-        box = [F.count(F.lit(1)).alias("_n")]
-        box += [f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
-        cur = with_group_stats(cur, TILE_PART, box)
-        stat = ["_n", "_lox", "_hix", "_loy", "_hiy"]
-        done.append(cur.filter(F.col("_n") <= max_points).drop(*stat))
-        cur = cur.filter(F.col("_n") > max_points)
-        wide_x = F.col("_hix") - F.col("_lox") >= F.col("_hiy") - F.col("_loy")
-        cur = cur.withColumn("_v", F.when(wide_x, F.col("x")).otherwise(F.col("y")))
-        cur = ordered_prefix(
-            cur, TILE_PART, ["_v", "point_id"], count="_r", group_rows=group_rows, largest=largest
-        )
-        upper = (F.col("_r") >= F.floor(F.col("_n") / 2)).cast("long")
-        cur = cut_lineage(cur.withColumn("part", F.col("part") * 2 + upper).drop("_v", "_r", *stat))
+    sizes = cut_lineage(tiled.groupBy(*TILE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_points))
+    largest = sizes.agg(F.max("_n")).first()[0]
+    whole = tiled.withColumn("part", F.lit(1).cast("long"))
+    if not largest:
+        return whole
+    whole = attach_groups(whole, sizes, TILE)
+    cur, out = whole.filter(F.col("_n").isNotNull()), whole.filter(F.col("_n").isNull()).drop("_n")
+    ready = []
+    while largest > task_rows:
+        ready.append(cur.filter(F.col("_n") <= task_rows).drop("_n"))
+        cur = cut_lineage(cur.filter(F.col("_n") > task_rows))
+        box = [f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+        box = cut_lineage(cur.groupBy(*TILE_PART, "_n").agg(*box))
+        wide_x = (F.col("_hix") - F.col("_lox") >= F.col("_hiy") - F.col("_loy")).alias("_wide_x")
+        half = F.floor(F.col("_n") / 2)
+        rows = attach_groups(cur.drop("_n"), box.select(*TILE_PART, wide_x), TILE_PART)
+        along = F.when(F.col("_wide_x"), F.col("x")).otherwise(F.col("y")).cast("double")
+        rows = rows.withColumn("_v", F.coalesce(along, F.lit(NO_PLACE))).drop("_wide_x")
+        ends = row_of_rank(rows.select(*TILE_PART, "_v", "point_id"), TILE_PART, "_v", "point_id", box.select(*TILE_PART, half.alias("_k")), bins, candidates)
+        ends = attach_groups(ends, box.select(*TILE_PART, half.alias("_half"), "_n"), TILE_PART)
+        rows = attach_groups(rows, cut_lineage(ends), TILE_PART)
+        upper = (F.col("_v") > F.col("_tv")) | (F.col("_v") == F.col("_tv")) & (F.col("point_id") >= F.col("_ti"))
+        upper = F.coalesce(upper, F.lit(False))
+        moved = {"part": F.col("part") * 2 + upper.cast("long"), "_n": F.when(upper, F.col("_n") - F.col("_half")).otherwise(F.col("_half"))}
+        cur = rows.withColumns(moved).drop("_v", "_tv", "_ti", "_half")
         largest = (largest + 1) // 2
-    for d in done:
-        cur = cur.unionByName(d)
-    return cur
+    for part in [*ready, cur.drop("_n")]:
+        schema = part.schema
+        out = out.unionByName(part.groupBy(*TILE_PART).applyInArrow(_split_in_task(max_points), schema))
+    return out
 
 
 def tile_ids(tiled: DataFrame, tile: list[str] = TILE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Dense segment_id per file, in tile order. Numbers the tile table, not the points."""
     keys = tiled.select(*tile).distinct()
     keys = ordered_prefix(keys, ["file_id"], [c for c in tile if c != "file_id"], "segment_id", group_rows=group_rows)
-    return tiled.join(keys, tile)
+    return attach_groups(tiled, cut_lineage(keys), tile)
 
 
 def tile_stats(tiled: DataFrame, tile: list[str] = TILE) -> DataFrame:

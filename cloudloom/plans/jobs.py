@@ -56,7 +56,7 @@ def tile_cloud(points: DataFrame, window=(50.0, 50.0), factor=1, grid: float | N
     if min_points is not None:
         tiled = tiling.tile_merge_small(tiled, min_points)
     if max_points is not None:
-        tiled = tiling.tile_split_large(tiled, max_points, group_rows)
+        tiled = tiling.tile_split_large(tiled, max_points)
         key.append("part")
     tiled = tiling.tile_ids(tiled, key, group_rows)
     key = ["file_id", "segment_id"]

@@ -9,7 +9,7 @@ from cloudloom.schemas import TILE, TILE_PART
 
 def test_split_keeps_every_point_and_the_limit(cloud):
     tiled = tiling.tile_assign(cloud, (25.0, 25.0))
-    small = tiling.tile_split_large(tiled, 20, group_rows=30)  # sorts the crowded tile across tasks
+    small = tiling.tile_split_large(tiled, 20, task_rows=160, bins=32, candidates=20)  # halves the crowded tile by histograms
     plain = tiling.tile_split_large(tiled, 20)
     cols = [*TILE_PART, "point_id"]
     assert small.select(*cols).exceptAll(plain.select(*cols)).isEmpty()
@@ -103,3 +103,22 @@ def test_weighted_draws_follow_the_weights(spark):
         got = got.set_index("id")["count"]
         assert got.sum() == 4000 and got.index.min() >= 25
         assert 1800 < got[49] < 2200
+
+
+def test_split_keeps_every_row(spark):
+    """Copies of one position, ids beyond 2^53, null coordinates, ids and keys."""
+    n = 2000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 100 != 1, F.lit(1)).alias("file_id"),
+        F.when(F.col("id") % 100 != 2, F.lit((1 << 62)) + F.col("id") * 3).alias("point_id"),
+        F.when(F.col("id") % 100 != 3, F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 37 % 1000) / 10)).alias("x"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 50 * 1.0).alias("y"), F.lit(0.0).alias("z"),
+        F.lit(0).alias("pass_id"), F.lit(0).cast("long").alias("xb"), F.when(F.col("id") % 100 != 4, F.lit(0).cast("long")).alias("yb"),
+    )
+    a = tiling.tile_split_large(rows, 60)
+    b = tiling.tile_split_large(rows, 60, task_rows=1100, bins=64, candidates=50)
+    for got in (a, b):
+        assert got.count() == n and got.filter("part IS NULL").count() == 0
+        assert got.groupBy(*TILE_PART).count().agg(F.max("count")).first()[0] <= 60
+    key = lambda d: sorted(map(str, d.filter("point_id IS NOT NULL").select("point_id", "part").collect()))
+    assert key(a) == key(b)

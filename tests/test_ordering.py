@@ -39,3 +39,24 @@ def test_ordered_prefix(spark, rows, keys, limit):
     assert len(both) == len(rows)
     assert (both["c_x"] == both["c_y"]).all() and (both["s_x"] == both["s_y"]).all()
     assert (both["m_x"].fillna(-1) == both["m_y"].astype(float).fillna(-1)).all()
+
+
+def test_hashed_ids_give_balanced_chunks(spark, monkeypatch):
+    from cloudloom.operators import ordering
+
+    rows = spark.range(5000).select(F.lit("hot").alias("k"), F.xxhash64("id").alias("id"), (F.col("id") % 3).alias("v"))
+    cut, seen = ordering.cut_lineage, []
+    monkeypatch.setattr(ordering, "cut_lineage", lambda d: seen.append(cut(d)) or seen[-1])
+    got = rank_by_id(rows, ["k", "v"], "id", "r", "n", ["k"], group_rows=100).toPandas()
+    offsets = next(d for d in seen if "_m" in d.columns)
+    assert 40 <= offsets.select("_chunk").distinct().count() <= 60 and offsets.count() <= 180
+    want = got.groupby("v")["id"].rank().astype(int) - 1
+    assert (want == got["r"]).all() and (got.groupby("v")["id"].transform("size") == got["n"]).all()
+
+
+def test_rank_keeps_rows_without_a_key(spark, rows):
+    df = spark.createDataFrame(rows).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    for limit in (50, 10_000):
+        got = rank_by_id(df, ["k"], "id", "r", "n", group_rows=limit)
+        assert got.count() == len(rows)
+        assert got.filter("k IS NULL").agg(F.max("r"), F.max("n")).first() == (499, 500)
