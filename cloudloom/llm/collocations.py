@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.tables import bucket_count, joined, thin
+from cloudloom.llm.tables import bucket_count, joined, lean, thin
 from cloudloom.llm.words import mix, slices, split_words
 from cloudloom.session import cut_lineage
 
@@ -189,7 +189,7 @@ def _send(hot: np.ndarray, n_buckets: int):
                 if n >= FLUSH:
                     yield flush(held, words)
                     held, words, n = {}, {}, 0
-                    if len(told) > FLUSH // 2:  # a word told twice does no harm
+                    if len(told) > FLUSH // 4:  # a word told twice does no harm
                         told.clear()
         yield flush(held, words)
 
@@ -244,7 +244,7 @@ def phrase_counts(texts: DataFrame, n_buckets: int, min_count: int) -> tuple[Dat
     """(lang, w1, w2, w3, f, level): occurrences of every phrase that comes `min_count` times, unused columns 0, and at
     level 0 of all words of a language; and (code, word)."""
     hot = hot_pairs(texts)
-    sent = texts.mapInArrow(_send(hot, n_buckets), "bucket int, lang string, data binary")
+    sent = texts.mapInArrow(lean(_send(hot, n_buckets)), "bucket int, lang string, data binary")
     tops = cut_lineage(sent.groupBy("bucket").applyInArrow(_merge(hot, min_count), _TOPS))
     words = tops.filter("word IS NOT NULL").select(F.col("w1").alias("code"), "word")
     # buckets of one task meet here first, so that the rollup sees each window once
