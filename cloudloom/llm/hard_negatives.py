@@ -356,7 +356,7 @@ def mine_hard_negatives(
     label with low * positive_score <= 100 * negative_score <= high * positive_score. Higher scores come first, then smaller
     ids. Rows with a null label or vector, or with a component that is null or not finite, take no part. A null id is last
     among equal scores; `anchor` null is false. Repeated rows are rows of their own. Shorter vectors count as filled with 0.
-    Scores beyond 64 bits are an error. No rows, or no anchors, give no rows; other columns are ignored.
+    Vectors that may score 2^56 or more are an error. No rows, or no anchors, give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     q = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -371,8 +371,8 @@ def mine_hard_negatives(
     ).first()
     if not facts["anchors"]:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    if facts["largest"] >= 2.0**62:
-        raise ValueError("scores do not fit 64 bits")
+    if facts["largest"] >= 2.0**56:
+        raise ValueError("hundred times a score may not fit 64 bits")
     dim, largest = facts["dim"], int(facts["largest"])
     kind = next(t for t in _TYPES if (facts["widest"] or 0) < np.iinfo(t).max)
     label = base.schema["label"].dataType.simpleString()
