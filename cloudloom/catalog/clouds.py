@@ -219,7 +219,7 @@ query("voxel_inverse", sql(VX, f"SELECT *, dense_rank() OVER (PARTITION BY {T} O
 query("voxel_sort", sql(VX, "SELECT * FROM vx", f"{TC} vx vy vz point_id"))(lambda t: voxels.voxel_sort(cells(t)).select(*TILE, "vx", "vy", "vz", "point_id"))
 
 # --- sampling ---------------------------------------------------------------------------------
-PICK = hash_sql(5, "2", "point_id", "pass_id", "xb", "yb")
+PICK = hash_sql(5, "2", "point_id", "file_id", "pass_id", "xb", "yb")
 query("sample_voxel_random", sql(VX, f"SELECT {V}, arg_min(point_id, {PICK}) AS point_id, count(*) AS voxel_n FROM vx GROUP BY {V}", f"{TC} vx vy vz point_id voxel_n"))(
     lambda t: sampling.sample_voxel_random(cells(t), seed=5, epoch=2)
 )
@@ -234,7 +234,7 @@ query(
     sql(cte(MOD, f"nv AS (SELECT {T}, count(*) AS v FROM (SELECT DISTINCT {V} FROM vx) GROUP BY {T})", "mf AS (SELECT *, CAST(unnest(range(0, loops)) AS INTEGER) AS loop_idx FROM lp)"),
         f"SELECT *, v * ppl AS sample_points FROM mf JOIN nv USING ({T})", f"{TC} loop_idx sample_points"),
 )(lambda t: sampling.sample_sizes(sampling.draw_manifest(tile_table(t), "grid", "test", 4), "grid").select(*TILE, "loop_idx", "sample_points"))
-PICK0 = hash_sql(9, "0", "point_id", "pass_id", "xb", "yb")
+PICK0 = hash_sql(9, "0", "point_id", "file_id", "pass_id", "xb", "yb")
 query(
     "grid_sample_train",
     sql(VX, f"SELECT {T}, point_id FROM vx QUALIFY row_number() OVER (PARTITION BY {V} ORDER BY {PICK0}) = 1 OR point_id % 50 = 0", f"{TC} point_id"),

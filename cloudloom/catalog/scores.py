@@ -13,6 +13,7 @@ from cloudloom.operators import batching, losses, metrics, tiling, weights
 from cloudloom.operators.project import argmax_label
 from cloudloom.plans.jobs import evaluate
 from cloudloom.schemas import TILE
+from cloudloom.session import cut_lineage
 
 REVERSE = {i: i + 1 for i in range(CLASSES)}
 TC = T.replace(",", "")
@@ -166,9 +167,9 @@ CW = cte(CD, "cc AS (SELECT class, CAST(n AS DOUBLE) AS c FROM cd)", "cw AS (" +
 
 @query("class_weights", sql(CW, "SELECT * FROM cw", "method class", "weight"))
 def _(t):
-    got = None
+    got, counts = None, cut_lineage(dist(t))
     for m in FORM:
-        w = weights.class_weights(dist(t), m).select(F.lit(m).alias("method"), "class", "weight")
+        w = weights.class_weights(counts, m).select(F.lit(m).alias("method"), "class", "weight")
         got = w if got is None else got.unionByName(w)
     return out(got)
 

@@ -188,12 +188,7 @@ def _(t):
     "SELECT file_id, point_id, pass_id, CAST(floor((x - (x0 - dx)) / 256e0) AS BIGINT) AS xb, CAST(floor((y - (y0 - dy)) / 256e0) AS BIGINT) AS yb FROM pts JOIN org USING (file_id) CROSS JOIN ps",
     "file_id point_id pass_id xb yb"))
 def _(t):
-    p = tiling.tile_overlap(t.points(), (256.0, 256.0), 2)
-    parts = [p.filter(F.col("pass_id") == i) for i in range(4)]
-    u = parts[0]
-    for q in parts[1:]:
-        u = u.unionByName(q)
-    return u.select("file_id", "point_id", "pass_id", "xb", "yb")
+    return tiling.tile_overlap(t.points(), (256.0, 256.0), 2).select("file_id", "point_id", "pass_id", "xb", "yb")
 
 
 @query("except_points", "SELECT o_orderkey % 2 AS file_id, o_orderkey AS point_id, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' ELSE 'extra' END AS status FROM orders WHERE (o_orderkey % 11 = 0) <> (o_orderkey % 13 = 0)")
@@ -206,7 +201,7 @@ def _(t):
 def _(t):
     p = t.points().select("file_id", "point_id", "x", "intensity").withColumn("is_synthetic", F.lit(False))
     extra = t.points().filter("point_id % 10 = 0").select("file_id", (F.col("x") + 1).alias("x"), F.lit(True).alias("is_synthetic"))
-    return out(p.unionByName(extra, allowMissingColumns=True), "file_id", "point_id", "is_synthetic", "intensity", "x")
+    return out(quality.append_rows(p, extra), "file_id", "point_id", "is_synthetic", "intensity", "x")
 
 
 @query("keep_union", sql(PTS, "SELECT DISTINCT file_id, point_id FROM pts WHERE point_id % 3 = 0 OR point_id % 5 = 0", "file_id point_id"))

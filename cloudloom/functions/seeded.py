@@ -17,8 +17,8 @@ MULT = 48271
 
 
 def hash_int(seed: int, *keys) -> Column:
-    """Integer in [0, PRIME) from key columns. Integers, also as text, count by value; any other key by the
-    CRC-32 of its text; null as -1.
+    """Integer in [0, PRIME) from key columns. Whole numbers, also as text, count by value; any other key, fractions
+    included, by the CRC-32 of its text; null as -1.
 
     Every step stays below 2^63 so that ANSI arithmetic never overflows. The closing square breaks
     the linear pattern of consecutive ids; it names the chain only twice, which keeps plans small.
@@ -26,7 +26,9 @@ def hash_int(seed: int, *keys) -> Column:
     h = F.lit(int(seed) % PRIME).cast("long")
     for key in keys:
         c = F.col(key) if isinstance(key, str) else key
-        number = F.coalesce(c.try_cast("long"), F.crc32(c.cast("string").cast("binary")), F.lit(-1).cast("long"))
+        whole = c.try_cast("long")
+        whole = F.when(whole.cast("double") == c.try_cast("double"), whole)  # fractions are cut by the cast
+        number = F.coalesce(whole, F.crc32(c.cast("string").cast("binary")), F.lit(-1).cast("long"))
         h = ((h * 31 + F.pmod(number, F.lit(PRIME).cast("long"))) * MULT + 11) % PRIME
     return (h * (h + 7)) % PRIME
 

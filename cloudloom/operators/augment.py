@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from cloudloom.functions import color as colour
 from cloudloom.functions.seeded import gaussian, hash_int, uniform
 from cloudloom.functions.vectors import clip
-from cloudloom.operators.ordering import rank_by_id, with_group_stats
+from cloudloom.operators.ordering import join_rows, rank_by_id, with_group_stats
 from cloudloom.schemas import TILE
 from cloudloom.session import cut_lineage
 
@@ -331,7 +331,7 @@ def aug_elastic(df, params=((0.2, 0.4), (0.8, 1.6)), p=0.95, seed=0, epoch=0, ti
     """Smoothed Gaussian lattice, read by trilinear interpolation, times the magnitude.
 
     Lattice noise is a function of tile and node, so only nodes next to a point are made: the
-    distinct corners of occupied cells. Their smoothing is computed inside the row.
+    distinct corners of occupied cells. Their smoothing is computed inside the row. Points without an id or a coordinate stay where they are.
     """
     tile = list(tile)
     d = Draw("elastic", seed, epoch, tile)
@@ -344,7 +344,10 @@ def aug_elastic(df, params=((0.2, 0.4), (0.8, 1.6)), p=0.95, seed=0, epoch=0, ti
         size = {f"_s{i}": F.floor((F.col(f"_hi{c}") - F.col(f"_lo{c}")) / g) + 3 for i, c in enumerate(COORD)}
         df = df.withColumns({**at, **size}).drop(*[f"_{n}{c}" for c in COORD for n in ("lo", "hi")])
         corner = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_k")
-        wide = df.select(*tile, "point_id", *at, *size, corner)
+        placed = F.col("point_id").isNotNull()
+        for c in COORD:
+            placed = placed & F.col(c).isNotNull()
+        wide = df.filter(placed).select(*tile, "point_id", *at, *size, corner)
         weight, addr = F.lit(1.0), []
         for i in range(3):
             bit = F.shiftright(F.col("_k"), i).bitwiseAND(F.lit(1))
@@ -366,10 +369,11 @@ def aug_elastic(df, params=((0.2, 0.4), (0.8, 1.6)), p=0.95, seed=0, epoch=0, ti
         lattice = taps.groupBy(*tile, *nodes).agg(
             *[F.sum(F.col("_share") * d.noise(str(level), "_j0", "_j1", "_j2", F.lit(i))).alias(f"_n{c}") for i, c in enumerate(COORD)]
         )
-        push = wide.join(lattice, [*tile, *nodes]).groupBy(*tile, "point_id")
+        push = join_rows(wide, lattice, [*tile, *nodes]).groupBy(*tile, "point_id")
         push = push.agg(*[F.sum(F.col("_w") * F.col(f"_n{c}")).alias(f"_d{c}") for c in COORD])
-        df = df.drop(*at, *size).join(push, [*tile, "point_id"])
-        df = _apply(df, d.on(p), {c: F.col(c) + F.col(f"_d{c}") * F.lit(float(magnitude)) for c in COORD})
+        df = join_rows(df.drop(*at, *size), push, [*tile, "point_id"])
+        moved = {c: F.col(c) + F.coalesce(f"_d{c}", F.lit(0.0)) * F.lit(float(magnitude)) for c in COORD}
+        df = _apply(df, d.on(p), moved)
         df = df.drop(*[f"_d{c}" for c in COORD])
         if level + 1 < len(params):
             df = cut_lineage(df)  # a level reads its points four times

@@ -12,34 +12,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.operators.ordering import GROUP_ROWS, explode_range, ordered_prefix, with_group_stats
+from cloudloom.operators.ordering import GROUP_ROWS, explode_range, join_rows, ordered_prefix, with_group_stats
 from cloudloom.session import cut_lineage
 
 BLOCK = 100_000  # samples that one task walks through in order
 
 
-def _walk(pdf: pd.DataFrame, max_points: int) -> np.ndarray:
-    batch = np.empty(len(pdf), dtype=np.int64)
-    current, held, empty = 0, 0, True
-    for i, n in enumerate(pdf["_n"].to_numpy()):
-        if not empty and held + n > max_points:
-            current, held = current + 1, 0
-        held, empty = held + n, False
-        batch[i] = current
-    return batch
+def _reached(follow: np.ndarray, start: int) -> np.ndarray:
+    """Places on the chain start, follow[start], … of ever larger places, up to the end len(follow). Every doubling squares
+    the jump, so that the chain is known after as many array operations as its length has bits."""
+    n = len(follow)
+    jump = np.append(follow, n)
+    on = np.array([start])
+    while on[-1] < n:
+        on = np.concatenate([on, jump[on]])
+        jump = jump[jump]
+    return np.unique(on[on < n])
+
+
+def _walk(sizes: np.ndarray, max_points: int) -> np.ndarray:
+    """Batch of each sample: the next batch starts at the first sample that takes the running size beyond the limit."""
+    n = len(sizes)
+    ends = np.cumsum(sizes)
+    follow = np.maximum(np.searchsorted(ends, ends - sizes + max_points, side="right"), np.arange(1, n + 1))
+    batch = np.zeros(n, np.int64)
+    batch[_reached(follow, 0)] = 1
+    return np.cumsum(batch) - 1
 
 
 def pack_batches(samples: DataFrame, order: str, size: str, max_points: int, shard: list[str] = (), block: int = BLOCK) -> DataFrame:
     """Next-fit packing in order: an open batch takes the next sample while it stays within
-    `max_points`; a sample above the limit gets a batch of its own. Adds `batch_id`, dense per shard.
+    `max_points`; a sample above the limit gets a batch of its own. Adds `batch_id`, dense per shard. A null size counts as 0; a
+    null shard is a shard.
 
-    A shard of at most `block` samples is walked in one task. For a longer one the same result is
+    A shard of at most `block` samples is packed in one task, by array operations. For a longer one the same result is
     found without a sequential pass: if a batch starts at sample i, the next one starts at the
     sample that covers position S(i) + max_points on the line of running sizes. These links are
     followed block by block, and the chain of blocks is closed by pointer doubling.
     """
     shard = list(shard)
-    df = samples.withColumn("_n", F.col(size).cast("long"))
+    df = samples.withColumn("_n", F.coalesce(F.col(size).cast("long"), F.lit(0)))
     sizes = df.groupBy(*shard).count() if shard else df.agg(F.count(F.lit(1)).alias("count"))
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= block:
@@ -50,11 +62,11 @@ def pack_batches(samples: DataFrame, order: str, size: str, max_points: int, sha
 
         def pack(pdf):
             pdf = pdf.sort_values("_o", kind="stable")
-            return pdf.assign(batch_id=_walk(pdf, max_points))[[*keys, "_o", "batch_id"]]
+            return pdf.assign(batch_id=_walk(pdf["_n"].fillna(0).to_numpy(np.int64), max_points))[[*keys, "_o", "batch_id"]]
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in [*keys, "_o"])
         got = slim.groupBy(*keys).applyInPandas(pack, schema + ", batch_id bigint")
-        return samples.join(got.withColumnRenamed("_o", order).drop("_all"), [*shard, order])
+        return join_rows(samples, got.withColumnRenamed("_o", order).drop("_all"), [*shard, order])
 
     rows = ordered_prefix(df, shard, [order], "_i", {"_s": "_n"}, largest=largest, group_rows=block)
     rows = cut_lineage(rows)
@@ -102,11 +114,12 @@ def _block_entries(links, shard, largest, block):
         pdf = pdf.sort_values("_i")
         first = int(pdf["_i"].iloc[0])
         nxt = pdf["_next"].fillna(-1).to_numpy().astype(np.int64)
-        out, n = nxt.copy(), len(nxt)
-        for j in range(n - 1, -1, -1):
-            if 0 <= nxt[j] < first + n:
-                out[j] = out[nxt[j] - first]
-        return pdf.assign(_exit=out)[[*shard, "_i", "_exit"]]
+        n = len(nxt)
+        inside = (nxt >= 0) & (nxt < first + n)
+        last = np.where(inside, nxt - first, np.arange(n))  # the last place of the block on the chain, by doubling
+        while (last[last] != last).any():
+            last = last[last]
+        return pdf.assign(_exit=nxt[last])[[*shard, "_i", "_exit"]]
 
     fields = {f.name: f.dataType.simpleString() for f in links.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*shard, "_i"]) + ", _exit bigint"
@@ -128,11 +141,8 @@ def _starts(links, entries, shard, block):
         pdf = pdf.sort_values("_i")
         first, n = int(pdf["_i"].iloc[0]), len(pdf)
         nxt = pdf["_next"].fillna(-1).to_numpy().astype(np.int64)
-        at, hits = int(pdf["_entry"].iloc[0]), []
-        while first <= at < first + n:
-            hits.append(at - first)
-            at = nxt[at - first]
-        return pdf.iloc[hits][[*shard, "_i"]]
+        follow = np.where((nxt >= 0) & (nxt < first + n), nxt - first, n)
+        return pdf.iloc[_reached(follow, int(pdf["_entry"].iloc[0]) - first)][[*shard, "_i"]]
 
     fields = {f.name: f.dataType.simpleString() for f in links.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*shard, "_i"])

@@ -23,6 +23,7 @@ answers are merged.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -36,6 +37,7 @@ from cloudloom.session import cut_lineage
 DEPTH = 20  # a cell at full depth is 2^-20 of the batch's extent
 BLOCK_REFS = 6000  # reference rows a settled query cell may need; above the usual tile limit of 5000
 BLOCK_QUERIES = 4096
+PART_DISTANCES = 20_000_000  # distances that a partition computes, about
 CELLS = ("_c0", "_c1", "_c2")
 
 
@@ -80,6 +82,18 @@ def _prune(pairs, batch, dims, k):
     return pairs.select(*q, *[f"r{i}" for i in range(dims)], "qn", "rn", "_need")
 
 
+LEAF = 6  # depths up to this one are rolled up from one table of cells
+
+
+def _roll_up(leaf, batch, dims, depth, tag):
+    """Cells at `depth` from those at LEAF: counts add up, boxes span."""
+    at = [F.shiftright(F.col(f"{tag}{i}"), LEAF - depth).alias(f"{tag}{i}") for i in range(dims)]
+    box = []
+    for i in range(dims):
+        box += [F.min(f"{tag}lo{i}").alias(f"{tag}lo{i}"), F.max(f"{tag}hi{i}").alias(f"{tag}hi{i}")]
+    return leaf.groupBy(*batch, *at).agg(F.sum(f"{tag}n").alias(f"{tag}n"), *box)
+
+
 def _children(df, cells, batch, dims, tag, depth):
     """Cells at `depth` below the given cells of the depth before."""
     up = [F.shiftright(F.col(f"{tag}{i}"), 1).alias(f"_p{i}") for i in range(dims)]
@@ -138,6 +152,17 @@ def _nearest_in_block(k, dims, with_self):
     return run, block_keys
 
 
+NULLS = "_nulls"
+
+
+def _without_nulls(df: DataFrame, batch: list[str]) -> DataFrame:
+    """Batch keys with a stand-in for null, and the set of null ones as a further key."""
+    types = {f.name: f.dataType for f in df.schema}
+    bits = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(batch)], F.lit(0))
+    filler = {k: F.lit("") if types[k].typeName() == "string" else F.lit(0).cast(types[k]) for k in batch}
+    return df.withColumn(NULLS, bits).withColumns({k: F.coalesce(F.col(k), v) for k, v in filler.items()})
+
+
 def knn_join(
     queries: DataFrame,
     refs: DataFrame,
@@ -153,8 +178,28 @@ def knn_join(
     """Edges `(batch…, src, rank, dst, dist2)`: for each query row its k nearest reference rows of
     the same batch, ties by reference id. A batch with fewer than k rows yields fewer edges.
 
+    A null batch key is a batch like another. Rows with a null coordinate are nobody's neighbours and have none.
     `with_self`: queries and references are the same rows, and each row is its own rank 1.
     """
+    batch, placed = list(batch), reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
+    q, r = (_without_nulls(df.filter(placed), batch) for df in (queries, refs))
+    found = _knn_join(q, r, k, [*batch, NULLS], coords, query_id, ref_id, with_self, block_refs, block_queries)
+    null = {b: F.when(F.col(NULLS).bitwiseAND(F.lit(1 << i)) == 0, F.col(b)) for i, b in enumerate(batch)}
+    return found.withColumns(null).drop(NULLS)
+
+
+def _knn_join(
+    queries: DataFrame,
+    refs: DataFrame,
+    k: int,
+    batch: list[str],
+    coords: list[str] = ("x", "y", "z"),
+    query_id: str = "point_id",
+    ref_id: str = "point_id",
+    with_self: bool = False,
+    block_refs: int = BLOCK_REFS,
+    block_queries: int = BLOCK_QUERIES,
+) -> DataFrame:
     coords, dims = list(coords), len(coords)
     q = queries.select(*batch, F.col(query_id).alias("_id"), *[F.col(c).cast("double") for c in coords])
     r = refs.select(*batch, F.col(ref_id).alias("_id"), *[F.col(c).cast("double") for c in coords])
@@ -165,18 +210,25 @@ def knn_join(
         F.greatest(*([F.max(c) - F.min(c) for c in coords] + [F.lit(0.0)])).alias("_side"),
     )
     r = r.withColumn("_copy", F.row_number().over(same_place)).filter(F.col("_copy") <= k).drop("_copy")
+    frame = cut_lineage(frame)
     q = _address(q, frame, batch, coords)
     r = cut_lineage(_address(r, frame, batch, coords))
     q = cut_lineage(q)
 
     qa, ra = [f"q{i}" for i in range(dims)], [f"r{i}" for i in range(dims)]
-    pairs = _cells(q, batch, coords, 0, "q").join(_cells(r, batch, coords, 0, "r"), batch)
-    settled, depth, settled_pairs = [], 0, 0
+    leaves = {"q": cut_lineage(_cells(q, batch, coords, LEAF, "q")), "r": cut_lineage(_cells(r, batch, coords, LEAF, "r"))}
+
+    def cells(df, depth, tag):
+        return _roll_up(leaves[tag], batch, dims, depth, tag) if depth <= LEAF else _cells(df, batch, coords, depth, tag)
+
+    pairs = cells(q, 0, "q").join(cells(r, 0, "r"), batch)
+    settled, depth, distances = [], 0, 0
     while True:
         pairs = cut_lineage(_prune(pairs, batch, dims, k))
         fits = (F.col("_need") <= block_refs) if depth < DEPTH else F.lit(True)
-        some, more, most = pairs.agg(F.count_if(fits), F.count_if(~fits), F.max("_need")).first()
-        settled_pairs += some
+        work = F.sum(F.when(fits, F.col("qn").cast("double") * F.col("rn")))
+        some, more, most, work = pairs.agg(F.count_if(fits), F.count_if(~fits), F.max("_need"), work).first()
+        distances += work or 0
         if some or not settled and not more:
             settled.append((depth, pairs.filter(fits)))
         if not more:
@@ -184,8 +236,8 @@ def knn_join(
             break
         todo = pairs.filter(~fits).select(*batch, *qa, *ra)
         depth += 1
-        qk = _children(_cells(q, batch, coords, depth, "q"), todo, batch, dims, "q", depth)
-        rk = _children(_cells(r, batch, coords, depth, "r"), todo, batch, dims, "r", depth)
+        qk = _children(cells(q, depth, "q"), todo, batch, dims, "q", depth)
+        rk = _children(cells(r, depth, "r"), todo, batch, dims, "r", depth)
         for tag, kids in (("q", qk), ("r", rk)):
             up = [f"_u{tag}{i}" for i in range(dims)]
             kids = kids.select(
@@ -235,9 +287,9 @@ def knn_join(
     fields = [T.StructField("_src", q.schema["_id"].dataType), T.StructField("_rank", T.IntegerType())]
     fields += [T.StructField("_dst", r.schema["_id"].dataType), T.StructField("_d2", T.DoubleType())]
     fields += [q_blocks.schema[b] for b in block]
-    # a fixed number of partitions: adaptive execution would merge them by bytes, but a block costs
-    # far more time than its bytes suggest
-    n = max(1, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), settled_pairs))
+    # as many partitions as the distances ask for: adaptive execution would merge them by bytes, but a
+    # block costs far more time than its bytes suggest
+    n = max(1, math.ceil(distances / PART_DISTANCES))
     q_blocks, r_blocks = q_blocks.repartition(n, *block), r_blocks.repartition(n, *r_block)
     edges = (
         q_blocks.groupBy(*block)
@@ -303,8 +355,6 @@ def topk_neighbours(edges: DataFrame, batch, k: int) -> DataFrame:
 def fourier_features(rel: DataFrame, bands: int, src_cols=("dx", "dy", "dz")) -> DataFrame:
     """Position encoding of an edge: offsets, distance, then sin/cos of pi*2^i times the planar
     offsets and of the height offset: 4 + 6 * bands values."""
-    import math
-
     dx, dy, dz = (F.col(c) for c in src_cols)
     cols = [dx, dy, dz, F.sqrt(dx * dx + dy * dy + dz * dz)]
     freqs = [F.lit(math.pi * 2**i) for i in range(bands)]

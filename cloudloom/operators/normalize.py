@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.vectors import clip
 from cloudloom.operators.neighbors import knn_idw
-from cloudloom.operators.ordering import with_group_stats
+from cloudloom.operators.ordering import join_rows, with_group_stats
 from cloudloom.schemas import TILE
 
 COORD = ("x", "y", "z")
@@ -181,11 +181,11 @@ def dtm_raster(df: DataFrame, tile=TILE, resolution=1.0, **knn) -> DataFrame:
     tile = list(tile)
     cells = dtm_cells(df, tile, resolution)
     raster = cells.filter("is_ground").groupBy(*tile, "cx", "cy").agg(F.avg("z").alias("_cell_z"))
-    got = cells.join(raster, [*tile, "cx", "cy"], "left")
+    got = join_rows(cells, raster, [*tile, "cx", "cy"])
     holes = got.filter(F.col("_cell_z").isNull()).select(*tile, "point_id", "x", "y")
     fill = knn_idw(holes, df.filter("is_ground"), "z", tile, ("x", "y"), 3, out="_fill_z", **knn)
-    fill = fill.withColumnRenamed("src", "point_id")
-    got = got.join(fill, [*tile, "point_id"], "left").withColumn("ground_z", F.coalesce("_cell_z", "_fill_z"))
+    fill = fill.withColumnRenamed("src", "point_id").filter("point_id IS NOT NULL")
+    got = join_rows(got, fill, [*tile, "point_id"]).withColumn("ground_z", F.coalesce("_cell_z", "_fill_z"))
     return _drop(got.withColumn("h_norm", F.col("z") - F.col("ground_z"))).drop("cx", "cy")
 
 
@@ -198,7 +198,8 @@ def height_above_ground(df: DataFrame, tile=TILE, resolution=1.0, method="by_cou
     `lowest`: above the lowest ground point, or the lowest point of a tile without ground; `nearest`: above the three nearest
     ground points; `raster`: above the raster of mean ground heights. `by_count`, the default, takes per tile `nearest` from
     `nearest_from` ground points on, `raster` from `raster_from` on, and `lowest` below. Naming a method takes it for all
-    tiles; one without ground has no neighbours, and stays with `lowest`.
+    tiles; one without ground has no neighbours, and stays with `lowest`. Points without an id or a place in the plane are above
+    the lowest ground where others are above the nearest. No row is lost.
     """
     tile = list(tile)
     if method != "by_count" and method not in METHODS:
@@ -219,7 +220,8 @@ def height_above_ground(df: DataFrame, tile=TILE, resolution=1.0, method="by_cou
     plain = df.filter("height_method = 'lowest'").withColumn("h_norm", F.col("z") - F.coalesce("_gzmin", "_zmin"))
     few = df.filter("height_method = 'nearest'")
     near = knn_idw(few, few.filter(ground), "z", tile, ("x", "y"), 3, out="_gz", **knn)
-    few = few.join(near.withColumnRenamed("src", "point_id"), [*tile, "point_id"])
-    few = few.withColumn("h_norm", F.col("z") - F.col("_gz"))
+    near = near.withColumnRenamed("src", "point_id").filter("point_id IS NOT NULL")
+    few = join_rows(few, near, [*tile, "point_id"])
+    few = few.withColumn("h_norm", F.col("z") - F.coalesce("_gz", "_gzmin"))
     many = dtm_raster(_drop(df.filter("height_method = 'raster'")), tile, resolution, **knn).drop("ground_z")
     return _drop(plain).unionByName(_drop(few)).unionByName(many)

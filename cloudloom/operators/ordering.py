@@ -159,6 +159,15 @@ def attach_groups(df: DataFrame, table: DataFrame, keys: list[str], small_rows:
     return df.join(F.broadcast(right) if few else right, same, "left").drop(*[f"_key_{k}" for k in keys])
 
 
+def join_rows(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Joins on keys of which null matches null; the other columns of `table` must have names of their own."""
+    right = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(right[f"_key_{k}"])
+    return df.join(right, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def with_group_stats(df: DataFrame, keys: list[str], stats: list[Column]) -> DataFrame:
     """Joins per-group aggregates back to the rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators.neighbors import gather_neighbours, inverse_distance, knn_join
-from cloudloom.operators.ordering import with_group_stats
+from cloudloom.operators.ordering import join_rows, with_group_stats
 from cloudloom.operators.voxels import VOXEL
 
 COORDS = ("x", "y", "z")
@@ -42,15 +42,15 @@ def neighbour_max_pool(edges: DataFrame, points: DataFrame, batch: list[str], fe
 
 
 def unpool_map(cells: DataFrame, pooled: DataFrame, batch: list[str], features: list[str]) -> DataFrame:
-    """The pooled value on each member point of the cell."""
+    """The pooled value on each member point of the cell; null where the cell is not pooled."""
     right = pooled.select(*batch, *VOXEL, *[F.col(f).alias(f"{f}_pooled") for f in features])
-    return cells.join(right, [*batch, *VOXEL])
+    return join_rows(cells, right, [*batch, *VOXEL])
 
 
 def unpool_interp(fine: DataFrame, coarse: DataFrame, batch: list[str], value: str, coarse_id: str, skip: str | None = None, k=3, id_col="point_id", **knn) -> DataFrame:
-    """Inverse-distance value of the k nearest coarse points, plus the fine point's own `skip`."""
+    """Inverse-distance value of the k nearest coarse points, plus the fine point's own `skip`; null without coarse points."""
     edges = knn_join(fine, coarse, k, batch, COORDS, id_col, coarse_id, **knn)
     got = inverse_distance(edges, coarse, batch, value, coarse_id, "_up").withColumnRenamed("src", id_col)
-    out = fine.join(got, [*batch, id_col])
+    out = join_rows(fine, got, [*batch, id_col])
     base = F.col("_up") if skip is None else F.col("_up") + F.col(skip)
     return out.withColumn("unpooled", base).drop("_up")

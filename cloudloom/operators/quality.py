@@ -17,6 +17,13 @@ def except_points(expected: DataFrame, actual: DataFrame, keys=("file_id", "poin
     return lost.unionByName(a.subtract(e).withColumn("status", F.lit("extra")))
 
 
+def append_rows(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """The rows of all tables, by column name: null where a table lacks a column, and the wider of two types."""
+    for other in more:
+        df = df.unionByName(other, allowMissingColumns=True)
+    return df
+
+
 def intersect_stems(left: DataFrame, right: DataFrame, key="stem") -> DataFrame:
     return left.select(key).intersect(right.select(key))
 

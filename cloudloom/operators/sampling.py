@@ -22,7 +22,7 @@ def sample_voxel_random(voxels: DataFrame, seed=0, epoch=0, tile: list[str] = TI
     A minimum over the hash needs no rank and combines before the shuffle, so a crowded voxel
     costs no more than an empty one.
     """
-    h = hash_int(seed, F.lit(epoch), "point_id", *[c for c in tile if c != "file_id"])
+    h = hash_int(seed, F.lit(epoch), "point_id", *tile)
     return (
         voxels.withColumn("_h", h)
         .groupBy(*tile, *VOXEL)
