@@ -18,7 +18,7 @@ from cloudloom.llm.secret_scan import KINDS, scan_secrets, train
 from cloudloom.llm.sentencepiece_codec import encode_decode
 from cloudloom.llm.substring_dedup import substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
-from cloudloom.llm.url_filter import DEPTH, MAX_CHILDREN, MIN_LABELS, PRIOR_WEIGHT, PURITY, Z, filter_urls
+from cloudloom.llm.url_filter import DEPTH, MAX_CHILDREN, MIN_LABELS, MIN_PAGES, PRIOR, PRIOR_WEIGHT, PURITY, Z, filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +96,7 @@ def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     dictionaries = fit_dictionaries(docs.filter(fold("doc_id", 4) != 2))
     judged = identify(docs.select("doc_id", "text"), dictionaries)
-    return judged.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return judged.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query("op6_sentencepiece")
@@ -128,7 +128,7 @@ def op8_lm_score(spark, sf_dir):
     """Scores of every document by a word model and a recurrent model, learnt from four of five folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) != 1).alias("learn"))
     scored = score_texts(docs, "learn")
-    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 #: Verdict, host and path; the longest fitting rule wins.
@@ -142,30 +142,35 @@ def _url_sql() -> str:
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}'))" for _, _, h, rest in parts]
     rule = " ".join(f"WHEN {f} THEN '{text}'" for f, (_, text, _, _) in zip(fits, parts))
     given = " ".join(f"WHEN {f} THEN '{what}'" for f, (what, _, _, _) in zip(fits, parts))
+    smooth = f"(({{}}) + {PRIOR_WEIGHT}e0 * ({{}})) / (({{}}) + {PRIOR_WEIGHT}e0)"
     url = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
     ctes = [
         f"u AS (SELECT page_id, translate(coalesce({url.format(1)}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce({url.format(2)}, '') AS path FROM pages)",
         f"v AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM u)",
         f"w AS (SELECT *, list_transform(CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH - 1}], ['**']) ELSE parts END, "
         "lambda s: regexp_replace(regexp_replace(s, '^[0-9a-fA-F]{16,}', '%'), '[0-9]+', '#', 'g')) AS segments FROM v)",
-        "s0 AS (SELECT host, segments, count(given) AS m, count(*) FILTER (WHERE given = 'block') AS b, '' AS template FROM w GROUP BY host, segments)",
-        "pr AS (SELECT coalesce(sum(b) / nullif(sum(m), 0), 0e0) AS prior FROM s0)",
+        "s00 AS (SELECT host, segments, count(*) AS n, count(given) AS m, count(*) FILTER (WHERE given = 'block') AS b, '' AS template FROM w GROUP BY host, segments)",
+        "hs AS (SELECT host, sum(m) AS hm, sum(b) AS hb, coalesce(nullif(regexp_extract(host, '[^.]+\\.[^.]+$', 0), ''), host) AS domain FROM s00 GROUP BY host)",
+        f"ds AS (SELECT domain, {smooth.format('sum(hb)', f'{PRIOR}e0', 'sum(hm)')} AS share FROM hs GROUP BY domain)",
+        f"hp AS (SELECT host, {smooth.format('hb', 'share', 'hm')} AS share FROM hs JOIN ds USING (domain))",
+        "s0 AS (SELECT s00.*, share FROM s00 JOIN hp USING (host))",
     ]
+    apart = "abs({0} / {1} - f{0} / f{1}) > " + f"{Z}e0 * sqrt(" + "f{0} / f{1} * (1 - f{0} / f{1}) / {1})"
     for i in range(1, DEPTH + 1):
         ctes += [
-            f"n{i} AS (SELECT host, template, segments[{i}] AS child, sum(m) AS m, sum(b) AS b FROM s{i - 1} WHERE segments[{i}] IS NOT NULL GROUP BY ALL)",
-            f"f{i} AS (SELECT *, count(*) OVER t AS k, sum(m) OVER t AS fm, sum(b) OVER t AS fb, NOT regexp_matches(child, '[#%*]') AS literal FROM n{i} WINDOW t AS (PARTITION BY host, template))",
-            f"a{i} AS (SELECT host, template, child, CASE WHEN literal AND k > {MAX_CHILDREN} THEN '*' WHEN literal AND m >= {MIN_LABELS} AND m < fm "
-            f"AND abs(b / m - fb / fm) <= {Z}e0 * sqrt(fb / fm * (1 - fb / fm) / m) THEN '~' ELSE child END AS name FROM f{i})",
-            f"s{i} AS (SELECT s.host, segments, m, b, CASE WHEN name IS NULL THEN s.template ELSE s.template || '/' || name END AS template "
-            f"FROM s{i - 1} s LEFT JOIN a{i} a ON s.host = a.host AND s.template = a.template AND s.segments[{i}] = a.child)",
+            f"n{i} AS (SELECT host, template, segments[{i}] AS child, sum(n) AS n, coalesce(sum(n) FILTER (WHERE len(segments) > {i}), 0) AS d, sum(m) AS m, sum(b) AS b, min(share) AS up "
+            f"FROM s{i - 1} WHERE segments[{i}] IS NOT NULL GROUP BY host, template, child)",
+            f"f{i} AS (SELECT *, count(*) OVER t AS k, sum(n) OVER t AS fn, sum(d) OVER t AS fd, sum(m) OVER t AS fm, sum(b) OVER t AS fb, NOT regexp_matches(child, '[#%*]') AS literal "
+            f"FROM n{i} WINDOW t AS (PARTITION BY host, template))",
+            f"a{i} AS (SELECT host, template, child, m, b, up, CASE WHEN literal AND k > {MAX_CHILDREN} THEN '*' WHEN literal AND k > 1 AND n >= {MIN_PAGES} AND NOT {apart.format('d', 'n')} "
+            f"AND NOT CASE WHEN m >= {MIN_LABELS} AND m < fm THEN {apart.format('b', 'm')} ELSE false END THEN '~' ELSE child END AS name FROM f{i})",
+            f"m{i} AS (SELECT host, template, name, {smooth.format('sum(b)', 'min(up)', 'sum(m)')} AS below FROM a{i} GROUP BY host, template, name)",
+            f"s{i} AS (SELECT s.host, segments, n, s.m, s.b, CASE WHEN a.name IS NULL THEN s.template ELSE s.template || '/' || a.name END AS template, coalesce(below, share) AS share "
+            f"FROM s{i - 1} s LEFT JOIN a{i} a ON s.host = a.host AND s.template = a.template AND s.segments[{i}] = a.child "
+            f"LEFT JOIN m{i} g ON g.host = a.host AND g.template = a.template AND g.name = a.name)",
         ]
-    ctes += [
-        f"j AS (SELECT host, template, sum(m)::BIGINT AS labelled, (sum(b) + {PRIOR_WEIGHT}e0 * any_value(prior)) / (sum(m) + {PRIOR_WEIGHT}e0) AS blocked_share FROM s{DEPTH}, pr GROUP BY host, template)",
-        f"q AS (SELECT host, segments, template, labelled, blocked_share FROM s{DEPTH} JOIN j USING (host, template))",
-    ]
-    return f"""WITH {", ".join(ctes)} SELECT page_id, host, path, rule,
-coalesce(given, CASE WHEN labelled >= {MIN_LABELS} AND blocked_share >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+    ctes.append(f"q AS (SELECT host, segments, template, (sum(m) OVER (PARTITION BY host, template))::BIGINT AS labelled, share AS blocked_share FROM s{DEPTH})")
+    return f"""WITH {", ".join(ctes)} SELECT page_id, host, path, rule, coalesce(given, CASE WHEN blocked_share >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
 template, labelled, round(blocked_share, 6) AS blocked_share FROM w JOIN q USING (host, segments)"""
 
 

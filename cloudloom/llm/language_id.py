@@ -25,7 +25,11 @@ MIN_MARGIN = 0.005
 MAX_LANGUAGES = 400
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def fit_dictionaries(
@@ -88,7 +92,7 @@ class Compressors:
 
     def judge(self, text: str | None, block: int = BLOCK_BYTES) -> tuple[str, float]:
         """(language, score). The score is the lead over the second smallest; 1 with a single language, 0 for a tie."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return UNDETERMINED, 0.0
         data = text.lower().encode()
         blocks = [data[i : i + block] for i in range(0, len(data), block)]

@@ -404,7 +404,7 @@ def test_urls(spark):
     for r in filter_urls(df, RULES).collect():
         host, path, rule, verdict = brute(urls[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or "allow")
+        assert verdict is None or r["verdict"] == verdict
     assert filter_urls(df.limit(0), RULES).count() == 0
     # numbered paths make one template per host, whose labels decide for the pages that no rule fits
     learnt = [("block", "s.org/ads/p1"), ("block", "s.org/ads/p2"), ("block", "s.org/ads/p3"), ("allow", "s.org/ads/p35")]
@@ -413,6 +413,25 @@ def test_urls(spark):
     assert judged[8]["verdict"] == "allow"
 
 
+def test_url_labels_reach_pages_that_no_rule_fits(spark):
+    """A template without labels is judged like its parent, its host, its domain; branches merge by their pages."""
+    bad = [f"http://a.bad.org/{s}/x{i}/y" for s in ("ads", "win") for i in range(40)] + ["http://b.bad.org/other", "http://c.bad.org/"]
+    good = [f"http://a.good.org/{s}/x{i}" for s in ("news", "blog") for i in range(40)] + ["http://fresh.net/a/b"]
+    mixed = [f"http://m.mix.org/{s}/p{i}" for s in ("one", "two") for i in range(30)]
+    urls = bad + good + mixed
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "a.bad.org/ads"), ("allow", "a.good.org/news"), ("block", "m.mix.org/one"), ("allow", "m.mix.org/two/p1")]
+    got = {urls[r["page_id"]]: r for r in filter_urls(df, rules).collect()}
+    assert all(got[u]["verdict"] == "block" for u in bad)  # the other branch, and other hosts of the domain
+    assert all(got[u]["verdict"] == "allow" for u in good)
+    assert got["http://a.bad.org/win/x1/y"]["template"] == got["http://a.bad.org/ads/x1/y"]["template"] == "/~/x#/y"
+    # labels that contradict each other keep branches apart
+    assert got["http://m.mix.org/two/p25"]["verdict"] == "allow" and got["http://m.mix.org/one/p25"]["verdict"] == "block"
+    assert got["http://b.bad.org/other"]["labelled"] == 0 and got["http://b.bad.org/other"]["blocked_share"] >= 0.8
+    none = filter_urls(df, []).collect()
+    assert len(none) == len(urls) and all(r["verdict"] == "allow" and r["rule"] is None for r in none)
+
+
 def test_arrow_slices_of_long_texts():
     from cloudloom.llm.words import slices, split_words
 
@@ -421,3 +440,12 @@ def test_arrow_slices_of_long_texts():
     for row, data, offsets in slices(column, 64):
         seen += [(row + i, n) for i, n in enumerate(split_words(data, offsets).counts.tolist())]
     assert seen == [(0, 2), (1, 0), (2, 5000), (3, 0), (4, 3)]
+
+
+def test_numerals_are_no_letters(spark):
+    from cloudloom.llm.language_id import UNDETERMINED, has_letter
+
+    assert not any(map(has_letter, ["² ½", "Ⅷ 12", "_-!", ""])) and all(map(has_letter, ["1 a", "½ é", "日"]))
+    docs = spark.createDataFrame([(None, "² ½"), (1, None), (2, "ein wort")], "doc_id long, text string")
+    got = {r["text"]: r for r in identify(docs, {"de": b"ein wort und noch ein wort", "en": b"a word and another word"}).collect()}
+    assert got["² ½"]["lang_pred"] == got[None]["lang_pred"] == UNDETERMINED and got["ein wort"]["lang_pred"] == "de"
