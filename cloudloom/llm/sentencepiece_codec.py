@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cloudloom.llm.tables import lean
 
 MARK = "▁"  # fixed: stands for a space
-CACHE = 200_000  # cuts that a task remembers, and as many from before
+CACHE = 300_000  # cuts that a task remembers, and as many from before
 REPLACEMENT = "�"
 
 
