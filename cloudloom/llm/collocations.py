@@ -26,7 +26,7 @@ from cloudloom.llm.words import mix, slices, split_words
 from cloudloom.session import cut_lineage
 
 MIN_COUNT, TOP, COVER = 10, 2000, 50
-FLUSH = 1 << 20  # windows counted at once in a task
+FLUSH, MERGE = 1 << 19, 1 << 18  # windows counted at once in a task, and in a bucket
 BUCKET_BYTES = 8 << 20  # text behind one bucket
 SAMPLE, HOT_KEEP, HOT_SHARE = 2000, 1024, 1000  # texts that pick hot pairs, pairs kept, one window in so many makes a pair hot
 NO_LANG = "und"
@@ -202,26 +202,41 @@ _TOPS = "lang string, w1 long, w2 long, w3 long, n long, word string"
 def _merge(hot: np.ndarray, min_count: int):
     """Whole windows of a bucket, without the columns that no candidate needs; and its words."""
 
+    def shorten(lang, data, share, shares):
+        """Windows of a share of the pairs, added up, with their last columns dropped where they come too seldom."""
+        parts = []
+        for d in data:
+            codes, n = unpack_counts(d)
+            if shares > 1:
+                mine = (pair_code(lang, codes[0], codes[1]) >> np.uint64(40)) % np.uint64(shares) == share
+                codes, n = codes[:, mine], n[mine]
+            parts.append((codes, n))
+        number, sums, names = count_rows(list(np.concatenate([p[0] for p in parts], 1)), np.concatenate([p[1] for p in parts]))
+        first, second, third = names[number]
+        third[sums < min_count] = 0
+        begins = np.flatnonzero(np.concatenate([[True], (number[0][1:] != number[0][:-1]) | (number[1][1:] != number[1][:-1])])[: len(sums)])
+        if len(sums):
+            of_pair = np.repeat(np.add.reduceat(sums, begins), np.diff(np.append(begins, len(sums))))
+            seldom = of_pair < min_count
+            if len(hot):
+                seldom &= ~np.isin(pair_code(lang, first, second), hot)
+            second[seldom] = 0
+            third[seldom] = 0
+        number, sums, names = count_rows([first, second, third], sums)
+        return (*names[number], sums)
+
     def fn(table: pa.Table) -> pa.Table:
         out, words, by_lang = [], {}, {}
         for lang, data in zip(table["lang"].to_pylist(), table["data"].to_pylist()):
             if lang is None:
                 words.update(zip(*(x if isinstance(x, list) else x.tolist() for x in unpack_words(data))))
             else:
-                by_lang.setdefault(lang, []).append(unpack_counts(data))
+                by_lang.setdefault(lang, []).append(data)
         for lang in sorted(by_lang):
-            parts = by_lang.pop(lang)
-            number, sums, names = count_rows(list(np.concatenate([p[0] for p in parts], 1)), np.concatenate([p[1] for p in parts]))
-            first, second, third = names[number]
-            third[sums < min_count] = 0
-            begins = np.flatnonzero(np.concatenate([[True], (number[0][1:] != number[0][:-1]) | (number[1][1:] != number[1][:-1])]))
-            of_pair = np.repeat(np.add.reduceat(sums, begins), np.diff(np.append(begins, len(sums))))
-            seldom = of_pair < min_count
-            if len(hot):
-                seldom &= ~np.isin(pair_code(lang, first, second), hot)
-            second[seldom] = 0
-            third[seldom] = 0
-            number, sums, names = count_rows([first, second, third], sums)
+            data = by_lang.pop(lang)
+            shares = 1 + sum(int(np.frombuffer(d, np.int64, 2)[1]) for d in data) // MERGE
+            kept = [shorten(lang, data, share, shares) for share in range(shares)]
+            number, sums, names = count_rows([np.concatenate([k[i] for k in kept]) for i in range(3)], np.concatenate([k[3] for k in kept]))
             out.append((lang, *names[number].view(np.int64), sums))
         codes = np.fromiter(words, np.uint64, len(words)).view(np.int64)
         none, size = np.zeros(len(codes), np.int64), [len(o[4]) for o in out]
