@@ -10,6 +10,7 @@ from cloudloom.catalog.base import (
 )
 from cloudloom.catalog.storage import BOX, MOD, SLICE, draws
 from cloudloom.operators import project, quality, sampling, tiling, voxels
+from cloudloom.plans.jobs import tile_cloud
 from cloudloom.plans.transforms import pipeline
 from cloudloom.schemas import TILE, TILE_PART
 
@@ -170,8 +171,9 @@ def _(t):
     return out(tiling.nearest_tile(c.filter(F.col("n") < SMALL), c.filter(F.col("n") >= SMALL)))
 
 
-def _split_sql(limit=150, rounds=7):
-    parts = [TP, "c0 AS (SELECT *, CAST(1 AS BIGINT) AS part FROM tp)"]
+def _split_ctes(limit, rounds, src="tp"):
+    """Rounds of halving at medians, by windows; the last table is c<rounds>."""
+    parts = [f"c0 AS (SELECT *, CAST(1 AS BIGINT) AS part FROM {src})"]
     for i in range(rounds):
         key = f"{T}, part"
         parts.append(
@@ -181,7 +183,32 @@ def _split_sql(limit=150, rounds=7):
             f"c{i + 1} AS (SELECT * EXCLUDE (part, n_, wx, r_), CASE WHEN n_ <= {limit} THEN part ELSE part * 2 + CASE WHEN r_ >= n_ // 2 THEN 1 ELSE 0 END END AS part "
             f"FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY CASE WHEN wx THEN x ELSE y END, point_id) - 1 AS r_ FROM b{i}))"
         )
-    return sql(cte(*parts), f"SELECT * FROM c{rounds}", f"{TC} part point_id")
+    return cte(*parts)
+
+
+def _split_sql(limit=150, rounds=7):
+    return sql(cte(TP, _split_ctes(limit, rounds)), f"SELECT * FROM c{rounds}", f"{TC} part point_id")
+
+
+def _cloud_sql(limit=150, rounds=7):
+    """Windows, merging, splitting, ids and voxel index, one after another."""
+    merged = (
+        "mg AS (SELECT tp.* REPLACE (coalesce(to_xb, tp.xb) AS xb, coalesce(to_yb, tp.yb) AS yb) FROM tp LEFT JOIN near "
+        "ON tp.file_id = near.file_id AND tp.pass_id = near.pass_id AND tp.xb = near.xb AND tp.yb = near.yb)"
+    )
+    seg = f"sg AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY pass_id, xb, yb, part) - 1 AS BIGINT) AS segment_id FROM c{rounds})"
+    cells = ", ".join(f"CAST(floor(({c} - min({c}) OVER (PARTITION BY file_id, segment_id)) / {GRID}e0) AS BIGINT) AS v{c}" for c in "xyz")
+    v = "PARTITION BY file_id, segment_id, vx, vy, vz"
+    return sql(
+        cte(NEAR, merged, _split_ctes(limit, rounds, "mg"), seg, f"cv AS (SELECT *, {cells} FROM sg)"),
+        f"SELECT *, row_number() OVER ({v} ORDER BY point_id) - 1 AS voxel_rank, count(*) OVER ({v}) AS voxel_n FROM cv",
+        "file_id segment_id point_id vx vy vz voxel_rank voxel_n",
+    )
+
+
+@query("tile_cloud", _cloud_sql())
+def _(t):
+    return tile_cloud(t.points(), (64.0, 64.0), grid=GRID, min_points=SMALL, max_points=150)[2]
 
 
 query("tile_split_large", _split_sql())(lambda t: tiling.tile_split_large(tiled(t), 150).select(*TILE_PART, "point_id"))
@@ -351,7 +378,7 @@ def _(t):
     return out(class_share(label_counts(t.points())))
 
 
-@query("sample_determinism", sql(cte(VX, f"a AS (SELECT {T}, arg_min(point_id, {hash_sql(1, '0', 'point_id', 'pass_id', 'xb', 'yb')}) AS point_id FROM vx GROUP BY {V})", f"b AS (SELECT {T}, arg_min(point_id, {hash_sql(1, '1', 'point_id', 'pass_id', 'xb', 'yb')}) AS point_id FROM vx GROUP BY {V})"),
+@query("sample_determinism", sql(cte(VX, f"a AS (SELECT {T}, arg_min(point_id, {hash_sql(1, '0', 'point_id', 'file_id', 'pass_id', 'xb', 'yb')}) AS point_id FROM vx GROUP BY {V})", f"b AS (SELECT {T}, arg_min(point_id, {hash_sql(1, '1', 'point_id', 'file_id', 'pass_id', 'xb', 'yb')}) AS point_id FROM vx GROUP BY {V})"),
        "SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)", f"{TC} point_id only_in"))
 def _(t):
     c = cells(t)

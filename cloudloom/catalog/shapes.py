@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.catalog.base import (
     CLASSES, FEA, GRID, IX, KNN_K, MAPPING, PACK, PTS, SM, T, TEL, TP, V, VX, DrawSql, cells, clip_sql, cte, hash_sql, index,
-    knn_cte, out, query, samples, sql, tiled, uniform_sql, vx_cte, PACK_LIMIT,
+    gaussian_sql, knn_cte, out, query, samples, sql, tiled, uniform_sql, vx_cte, PACK_LIMIT,
 )
 from cloudloom.catalog.scores import CM, packed
 from cloudloom.catalog.storage import MCOLS, VOTE, means
@@ -255,7 +255,75 @@ def _jitter_sql():
 query("aug_color_jitter", _jitter_sql())(lambda t: out(augment.aug_color_jitter(byte(t), 0.4, 0.4, 0.4, 0.2, **KW), *ID, *RGB))
 aug("aug_height_scale", "height_scale", augment.aug_height_scale, lambda d: {"h_norm": when(d, 0.5, f"h_norm * {d.value('f', 0.9, 1.1)}", "h_norm")}, prepare=heights, src=HSRC, table="hp")
 aug("aug_height_noise", "height_noise", augment.aug_height_noise, lambda d: {"h_norm": when(d, 0.5, f"h_norm + {d.noise('n')} * 0.1e0", "h_norm")}, prepare=heights, src=HSRC, table="hp")
-query("aug_elastic")(lambda t: out(augment.aug_elastic(tiled(t), ((32.0, 2.0), (64.0, 4.0)), **KW), *ID, "x", "y", "z"))
+
+
+ELASTIC = ((32.0, 2.0), (64.0, 4.0))
+
+
+def _elastic_sql():
+    """Per level: corners of every point, lattice nodes by brute force over 5 x 5 x 5 taps, trilinear displacement."""
+    d, parts, src = draw("elastic"), [TP], "tp"
+
+    def weight(n, j, s):  # of tap j in two rounds of a 3-tap mean at node n, nothing outside 0..s-1
+        paths = " + ".join(f"CASE WHEN {n} + {o} BETWEEN 0 AND {s} - 1 AND abs({n} + {o} - {j}) <= 1 THEN 1 ELSE 0 END" for o in (-1, 0, 1))
+        return f"(CASE WHEN {j} BETWEEN 0 AND {s} - 1 THEN ({paths}) / 9e0 ELSE 0e0 END)"
+
+    for lv, (grain, magnitude) in enumerate(ELASTIC):
+        at = ", ".join(
+            f"({c} - min({c}) OVER w) / {grain}e0 + 1 AS t{i}, CAST(floor((max({c}) OVER w - min({c}) OVER w) / {grain}e0) AS BIGINT) + 3 AS s{i}" for i, c in enumerate("xyz")
+        )
+        parts.append(f"el{lv} AS (SELECT *, {at} FROM {src} {W})")
+        addr = ", ".join(f"CAST(floor(t{i}) AS BIGINT) + (k >> {i}) % 2 AS i{i}" for i in range(3))
+        part = " * ".join(f"(CASE WHEN (k >> {i}) % 2 = 1 THEN t{i} - floor(t{i}) ELSE 1 - (t{i} - floor(t{i})) END)" for i in range(3))
+        parts.append(f"ec{lv} AS (SELECT {T}, point_id, s0, s1, s2, {addr}, {part} AS cw FROM el{lv} CROSS JOIN (SELECT unnest(range(0, 8)) AS k))")
+        taps = ", ".join(f"i{i} + (o // {n}) % 5 - 2 AS j{i}" for i, n in enumerate((25, 5, 1)))
+        parts.append(f"en{lv} AS (SELECT *, {taps} FROM (SELECT DISTINCT {T}, s0, s1, s2, i0, i1, i2 FROM ec{lv}) CROSS JOIN (SELECT unnest(range(0, 125)) AS o))")
+        share = " * ".join(weight(f"i{i}", f"j{i}", f"s{i}") for i in range(3))
+        parts.append(f"et{lv} AS (SELECT * FROM (SELECT *, {share} AS share FROM en{lv}) WHERE share > 0)")
+        noise = ", ".join(f"sum(share * {gaussian_sql(d._s(str(lv)), *d.keys, 'j0', 'j1', 'j2', str(i))}) AS n{c}" for i, c in enumerate("xyz"))
+        parts.append(f"ev{lv} AS (SELECT {T}, i0, i1, i2, {noise} FROM et{lv} GROUP BY {T}, i0, i1, i2)")
+        push = ", ".join(f"sum(cw * n{c}) AS d{c}" for c in "xyz")
+        parts.append(f"ed{lv} AS (SELECT {T}, point_id, {push} FROM ec{lv} JOIN ev{lv} USING ({T}, i0, i1, i2) GROUP BY {T}, point_id)")
+        moved = ", ".join(f"CASE WHEN {d.on(0.95)} THEN {c} + d{c} * {magnitude}e0 ELSE {c} END AS {c}" for c in "xyz")
+        parts.append(f"ep{lv} AS (SELECT {T}, point_id, {moved} FROM {src} JOIN ed{lv} USING ({T}, point_id))")
+        src = f"ep{lv}"
+    return sql(cte(*parts), f"SELECT * FROM {src}", f"{TC} point_id", "x y z")
+
+
+query("aug_elastic", _elastic_sql())(lambda t: out(augment.aug_elastic(tiled(t), ELASTIC, **KW), *ID, "x", "y", "z"))
+
+
+def _train_sql():
+    """Centroid shift, dropout, turn, scale, flip, jitter and features, each from the one before."""
+
+    def replaced(exprs):
+        return "* REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in exprs.items()) + ")"
+
+    drop = f"row_number() OVER (PARTITION BY {T} ORDER BY {hash_sql(3, 'point_id')}, point_id) - 1 AS r_, count(*) OVER w AS n_, {uniform_sql(4, *TILE)} AS u_"
+    turn = turned(draw("rotate"), draw("rotate").value("angle", -1, 1), 0.5)
+    scale, flip, jitter = draw("scale"), draw("flip"), draw("jitter")
+    steps = [
+        f"c0 AS (SELECT {replaced({c: f'{c} - avg({c}) OVER w' for c in 'xyz'})} FROM tp {W})",
+        f"c1 AS (SELECT * FROM (SELECT *, {drop} FROM c0 {W}) WHERE u_ >= 0.5 OR r_ < floor(n_ * 0.8e0))",
+        f"c2 AS (SELECT {replaced({c: turn[c] for c in 'xy'})} FROM c1 {W})",
+        f"c3 AS (SELECT {replaced({c: c + ' * ' + scale.value('all', 0.95, 1.05) for c in 'xyz'})} FROM c2)",
+        f"c4 AS (SELECT {replaced({c: f'CASE WHEN {flip.on(0.5, c)} THEN -{c} ELSE {c} END' for c in 'xy'})} FROM c3)",
+        f"c5 AS (SELECT {replaced({c: c + ' + ' + clip_sql(jitter.noise(c) + ' * 0.01e0', '-0.05e0', '0.05e0') for c in 'xyz'})} FROM c4)",
+    ]
+    features = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS f{i}" for i, c in enumerate(("x", "y", "z", "intensity")))
+    return sql(cte(TP, *steps), f"SELECT {T}, point_id, {features} FROM c5", f"{TC} point_id", "f0 f1 f2 f3")
+
+
+@query("train_chain", _train_sql())
+def _(t):
+    steps = [
+        "centroid_shift", ("random_dropout", {"ratio": 0.2, "p": 0.5, "seed": 3}), ("aug_rotate", KW), ("aug_scale", KW), ("aug_flip", KW), ("aug_jitter", KW),
+        ("collect_features", {"keys": ID, "features": ["x", "y", "z", "intensity"]}),
+    ]
+    d = pipeline(tiled(t), steps)
+    return out(d.select(*ID, *[F.get("feat", F.lit(i)).alias(f"f{i}") for i in range(4)]))
+
+
 def _made_sql(ctes, point):
     """Real rows and made ones; the ids of made rows, hashes of another kind, count as -1."""
     real = f"SELECT {T}, point_id, x, y, z, h_norm, intensity, red, green, blue, classification, false AS is_synthetic FROM hp"

@@ -83,27 +83,30 @@ def pack_batches(samples: DataFrame, order: str, size: str, max_points: int, sha
 def _links(rows, shard, max_points, block):
     """`_next`: where the batch after one that starts at `_i` starts; null past the end.
 
-    The line of running sizes is cut into stretches of max_points. A stretch meets at most
-    max_points samples of positive size, so the window below is bounded.
+    The line of running sizes is cut into stretches of max_points. A stretch meets at most max_points samples of positive
+    size, and is asked at no more places, so the window below is bounded. Samples without points ask where the
+    next one with points does. Nobody asks further into a sample than max_points, so a large one lies on three stretches.
     """
     cell = lambda c: F.floor(c / F.lit(max_points))
     end = F.col("_s") + F.col("_n")
     data = rows.filter(F.col("_n") > 0).select(
         *shard,
-        F.explode(F.sequence(cell(F.col("_s")), cell(end - 1))).alias("_cell"),
+        F.explode(F.sequence(cell(F.col("_s")), F.least(cell(end - 1), cell(F.col("_s") + F.lit(max_points))))).alias("_cell"),
         end.alias("_v"),
         F.lit(1).alias("_kind"),
         "_i",
+        F.lit(None).cast("long").alias("_s"),
     )
     at = F.col("_s") + F.lit(max_points)
-    ask = rows.select(*shard, cell(at).alias("_cell"), at.alias("_v"), F.lit(0).alias("_kind"), "_i")
-    w = Window.partitionBy(*shard, "_cell").orderBy(F.col("_v").desc(), "_kind", F.col("_i").desc())
+    ask = rows.select(*shard, "_s").distinct()
+    ask = ask.select(*shard, cell(at).alias("_cell"), at.alias("_v"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_i"), "_s")
+    w = Window.partitionBy(*shard, "_cell").orderBy(F.col("_v").desc(), "_kind")
     w = w.rowsBetween(Window.unboundedPreceding, -1)
     both = data.unionByName(ask).withColumn("_next", F.min(F.when(F.col("_kind") == 1, F.col("_i"))).over(w))
-    both = both.filter("_kind = 0")
-    nxt = F.greatest(F.col("_next"), F.col("_i") + 1)
-    nxt = F.when(F.col("_next").isNotNull(), nxt)
-    return both.select(*shard, F.floor(F.col("_i") / F.lit(block)).alias("_blk"), "_i", nxt.alias("_next"))
+    found = both.filter("_kind = 0").select(*shard, "_s", "_next")
+    nxt = F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_i") + 1))
+    rows = join_rows(rows, found, [*shard, "_s"])
+    return rows.select(*shard, F.floor(F.col("_i") / F.lit(block)).alias("_blk"), "_i", nxt.alias("_next"))
 
 
 def _block_entries(links, shard, largest, block):

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudloom.operators.ordering import join_rows
 from cloudloom.session import cut_lineage
 
 DEPTH = 20  # a cell at full depth is 2^-20 of the batch's extent
@@ -319,7 +320,7 @@ def inverse_distance(edges: DataFrame, values: DataFrame, batch, value: str, ref
     v = values.select(*batch, F.col(ref_id).alias("dst"), F.col(value).alias("_v"))
     w = F.lit(1.0) / (F.sqrt("dist2") + F.lit(1e-8))
     return (
-        edges.join(v, [*batch, "dst"])
+        join_rows(edges, v, [*batch, "dst"], "inner")
         .groupBy(*batch, "src")
         .agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(out))
     )
@@ -337,10 +338,10 @@ def gather_neighbours(edges, points, batch, attrs, coords=None, id_col="point_id
     dst = points.select(
         *batch, F.col(id_col).alias("dst"), *attrs, *[F.col(c).alias(f"_n_{c}") for c in coords]
     )
-    out = edges.join(dst, [*batch, "dst"])
+    out = join_rows(edges, dst, [*batch, "dst"], "inner")
     if coords:
         src = points.select(*batch, F.col(id_col).alias("src"), *[F.col(c).alias(f"_s_{c}") for c in coords])
-        out = out.join(src, [*batch, "src"])
+        out = join_rows(out, src, [*batch, "src"], "inner")
         out = out.withColumns({f"d{c}": F.col(f"_n_{c}") - F.col(f"_s_{c}") for c in coords})
         out = out.drop(*[f"_{t}_{c}" for t in "ns" for c in coords])
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.operators.ordering import join_rows
 from cloudloom.operators.project import conform_fields
 from cloudloom.schemas import VLR, require
 
@@ -24,8 +25,12 @@ def write_points(points: DataFrame, path: str, mode="overwrite") -> None:
     df.repartitionByRange("file_id", "point_id").write.mode(mode).partitionBy("file_id").parquet(path)
 
 
-def file_metadata(points: DataFrame, num_segments: DataFrame | None = None, header: dict | None = None, parameters: dict | None = None) -> DataFrame:
-    """One row per file: counts, box, field list, label histogram, parameters, header and records."""
+def file_metadata(points: DataFrame, num_segments: DataFrame | None = None, header: dict | None = None, parameters: dict | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """One row per file: counts, box, field list, label histogram, parameters, header and records.
+
+    `headers` has one row per file, file_id and header fields, `vlrs` among them: its values come before those of
+    `header`, which hold for every file without its own.
+    """
     per_label = points.groupBy("file_id", "classification").agg(
         F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{c}_{e}") for c in "xyz" for e, f in (("min", F.min), ("max", F.max))],
@@ -38,19 +43,27 @@ def file_metadata(points: DataFrame, num_segments: DataFrame | None = None, head
     given = {"version": "1.2", "point_format": 3, "system_identifier": "", "generating_software": "", "creation_date": "", "crs": None}
     given.update({f"{c}_scale": 0.001 for c in "xyz"})
     given.update(header or {})
-    cols = [F.lit(v).cast("string" if v is None else _kind(v)).alias(k) for k, v in given.items() if k != "vlrs"]
+    own = [c for c in headers.columns if c != "file_id"] if headers is not None else []
+    if own:
+        out = join_rows(out, headers.select("file_id", *[F.col(c).alias(f"_h_{c}") for c in own]), ["file_id"])
+
+    def of_file(name, value):
+        return F.coalesce(F.col(f"_h_{name}"), value) if name in own else value
+
+    cols = [of_file(k, F.lit(v).cast("string" if v is None else _kind(v))).alias(k) for k, v in given.items() if k != "vlrs"]
+    cols += [F.col(f"_h_{k}").alias(k) for k in own if k not in given and k != "vlrs" and not k.endswith("_offset")]
     box = [F.col(f"{c}_{e}") for c in "xyz" for e in ("min", "max")]
     # without a header the offset of the stored integers is the minimum
-    offsets = [F.col(f"{c}_min").alias(f"{c}_offset") for c in "xyz" if f"{c}_offset" not in given]
+    offsets = [of_file(f"{c}_offset", F.col(f"{c}_min")).alias(f"{c}_offset") for c in "xyz" if f"{c}_offset" not in given]
     out = out.withColumn("header", F.struct(*cols, *offsets, F.col("num_points").alias("point_count"), *box))
     records = [(v["user_id"], v["record_id"], v["description"], bytes(v["record_data"])) for v in given.get("vlrs") or []]
     vlrs = F.array(*[F.struct(F.lit(a), F.lit(b), F.lit(c), F.lit(d)) for a, b, c, d in records]) if records else F.array()
-    out = out.withColumn("vlrs", vlrs.cast(VLR)).withColumn("fields", F.array(*[F.lit(c) for c in points.columns]))
+    out = out.withColumn("vlrs", of_file("vlrs", vlrs.cast(VLR))).withColumn("fields", F.array(*[F.lit(c) for c in points.columns]))
     for k, v in (parameters or {}).items():
         out = out.withColumn(k, F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v))
     if num_segments is not None:
         out = out.join(num_segments, "file_id", "left")
-    return out.drop(*[f"{c}_{e}" for c in "xyz" for e in ("min", "max")])
+    return out.drop(*[f"{c}_{e}" for c in "xyz" for e in ("min", "max")], *[f"_h_{c}" for c in own])
 
 
 def _kind(v):

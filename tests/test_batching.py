@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cloudloom.operators.batching import pack_batches
+from cloudloom.operators.batching import _walk, pack_batches
 
 
 def next_fit(sizes, limit):
@@ -15,6 +15,32 @@ def next_fit(sizes, limit):
     return out
 
 
+def test_runs_without_points_and_a_very_large_sample(spark):
+    sizes = [3, 0, 0, 60, *[0] * 200, 10**9, 0, 0, 64, 0, 1, *[0] * 50, 63, 64, 65, 0]
+    pdf = pd.DataFrame({"o": range(len(sizes)), "n": sizes})
+    for block in (20, 100_000):
+        got = pack_batches(spark.createDataFrame(pdf), "o", "n", 64, block=block).toPandas().sort_values("o")
+        assert got["batch_id"].tolist() == next_fit(sizes, 64)
+
+
+def test_a_million_samples_without_points():
+    sizes = np.zeros(1_000_000, np.int64)
+    sizes[::1000] = 30
+    batch = _walk(sizes, 64)
+    assert batch[-1] == 499 and (np.bincount(batch, weights=sizes) == 60).all()
+    ones = _walk(np.ones(200_000, np.int64), 7)
+    assert (ones == np.arange(200_000) // 7).all()
+
+
+def test_null_shards_and_sizes_stay(spark):
+    rows = [(i, None if i % 5 == 1 else 10, None if i % 2 else "a") for i in range(40)]
+    got = pack_batches(spark.createDataFrame(rows, "o long, n long, s string"), "o", "n", 35, ["s"]).toPandas()
+    assert len(got) == 40
+    for null in (True, False):
+        mine = got[got["s"].isna() == null].sort_values("o")
+        assert mine["batch_id"].tolist() == next_fit(mine["n"].fillna(0).tolist(), 35)
+
+
 @pytest.mark.parametrize("shard", [[], ["s"]])
 @pytest.mark.parametrize("block", [7, 100_000])
 def test_packing_equals_the_sequential_walk(spark, shard, block):

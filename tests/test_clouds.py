@@ -122,3 +122,38 @@ def test_split_keeps_every_row(spark):
         assert got.groupBy(*TILE_PART).count().agg(F.max("count")).first()[0] <= 60
     key = lambda d: sorted(map(str, d.filter("point_id IS NOT NULL").select("point_id", "part").collect()))
     assert key(a) == key(b)
+
+
+def test_rows_with_nulls_come_back(spark):
+    """43 points in, 43 points out, whatever lacks an id, a tile or a coordinate."""
+    from cloudloom.operators import augment, neighbors, normalize, pooling
+
+    rows = spark.range(43).select(
+        F.lit(0).alias("file_id"), F.when(F.col("id") != 5, F.col("id")).alias("point_id"), F.lit(0).alias("pass_id"),
+        F.when(F.col("id") != 6, F.lit(0).cast("long")).alias("xb"), F.lit(0).cast("long").alias("yb"),
+        F.when(F.col("id") != 7, F.col("id") % 7 * 1.0).alias("x"), (F.col("id") % 5 * 1.0).alias("y"), (F.col("id") / 10).alias("z"),
+        (F.col("id") % 3 == 0).alias("is_ground"), (F.col("id") * 1.0).alias("v"),
+    )
+    tile = ["file_id", "pass_id", "xb", "yb"]
+    assert augment.aug_elastic(rows, ((1.0, 1.0),), p=1).count() == 43
+    for method in ("lowest", "nearest", "raster"):
+        got = normalize.height_above_ground(rows, method=method)
+        assert got.count() == 43 and got.filter("h_norm IS NULL AND x IS NOT NULL AND point_id IS NOT NULL").count() == 0
+    edges = neighbors.knn_self(rows, 3, tile)
+    assert edges.filter("xb IS NULL").count() == 1  # alone in its tile, and its own neighbour
+    assert edges.select("src").distinct().count() == 42  # all but the point without a place; null is one id
+    fine = pooling.unpool_interp(rows, rows.filter("is_ground"), tile, "v", "point_id")
+    assert fine.count() == 43 and fine.filter("unpooled IS NULL AND x IS NOT NULL AND point_id IS NOT NULL").count() == 0
+    cells = pooling.pool_cells(rows, 2.0, tile)
+    assert pooling.unpool_map(cells, pooling.grid_pool(rows, 2.0, tile, ["v"]), tile, ["v"]).count() == 43
+
+
+def test_draws_differ_by_file_and_fraction(spark):
+    from cloudloom.functions.seeded import hash_int
+
+    ids = spark.range(200).withColumn("vx", F.col("id") % 20).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("file_id"), F.col("id").alias("point_id"), "vx")
+    ids = ids.select("*", *[F.lit(0).cast("long").alias(c) for c in ("pass_id", "xb", "yb", "vy", "vz")])
+    picked = sampling.sample_voxel_random(ids, seed=1).toPandas().pivot(index="vx", columns="file_id", values="point_id")
+    assert (picked[0] != picked[1]).any()
+    got = spark.createDataFrame([(0.2,), (0.7,), (2.0,)], "k double").select(hash_int(1, "k"), hash_int(1, F.col("k").cast("long"))).collect()
+    assert got[0][0] != got[1][0] and got[2][0] == got[2][1]

@@ -118,3 +118,16 @@ def test_a_scan_reads_the_files_and_columns_asked_for(spark, cloud, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<x:double>" in plan and "PartitionFilters: [isnotnull(file_id" in plan
     assert got.count() == cloud.filter("file_id = 1").count() > 0
+
+
+def test_headers_per_file(spark, cloud):
+    from cloudloom.sources.points import file_metadata
+
+    vlr = "array<struct<user_id: string, record_id: int, description: string, record_data: binary>>"
+    headers = spark.createDataFrame([(0, "1.4", "EPSG:25832", [("u", 7, "d", bytearray(b"x"))], 5.0), (9, "1.0", None, None, None)], f"file_id long, version string, crs string, vlrs {vlr}, x_offset double")
+    got = {r["file_id"]: r for r in file_metadata(cloud, header={"generating_software": "s"}, headers=headers).collect()}
+    assert set(got) == {0, 1}  # one row per file that has points
+    a, b = got[0], got[1]
+    assert (a["header"]["version"], a["header"]["crs"], a["header"]["x_offset"], a["vlrs"][0][1]) == ("1.4", "EPSG:25832", 5.0, 7)
+    assert (b["header"]["version"], b["header"]["crs"], b["vlrs"]) == ("1.2", None, []) and b["header"]["x_offset"] == b["header"]["x_min"]
+    assert a["header"]["generating_software"] == b["header"]["generating_software"] == "s"
