@@ -86,9 +86,9 @@ def _prune(pairs, batch, dims, k):
 LEAF = 6  # depths up to this one are rolled up from one table of cells
 
 
-def _roll_up(leaf, batch, dims, depth, tag):
-    """Cells at `depth` from those at LEAF: counts add up, boxes span."""
-    at = [F.shiftright(F.col(f"{tag}{i}"), LEAF - depth).alias(f"{tag}{i}") for i in range(dims)]
+def _roll_up(leaf, batch, dims, above, tag):
+    """Cells `above` depths over the given ones: counts add up, boxes span."""
+    at = [F.shiftright(F.col(f"{tag}{i}"), above).alias(f"{tag}{i}") for i in range(dims)]
     box = []
     for i in range(dims):
         box += [F.min(f"{tag}lo{i}").alias(f"{tag}lo{i}"), F.max(f"{tag}hi{i}").alias(f"{tag}hi{i}")]
@@ -217,10 +217,11 @@ def _knn_join(
     q = cut_lineage(q)
 
     qa, ra = [f"q{i}" for i in range(dims)], [f"r{i}" for i in range(dims)]
-    leaves = {"q": cut_lineage(_cells(q, batch, coords, LEAF, "q")), "r": cut_lineage(_cells(r, batch, coords, LEAF, "r"))}
+    deep = min(LEAF, DEPTH)
+    leaves = {"q": cut_lineage(_cells(q, batch, coords, deep, "q")), "r": cut_lineage(_cells(r, batch, coords, deep, "r"))}
 
     def cells(df, depth, tag):
-        return _roll_up(leaves[tag], batch, dims, depth, tag) if depth <= LEAF else _cells(df, batch, coords, depth, tag)
+        return _roll_up(leaves[tag], batch, dims, deep - depth, tag) if depth <= deep else _cells(df, batch, coords, depth, tag)
 
     pairs = cells(q, 0, "q").join(cells(r, 0, "r"), batch)
     settled, depth, distances = [], 0, 0
