@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cloudloom.operators.voting import POINT, logit_sums, mean_of_sums
 from cloudloom.session import new_table_path
+from cloudloom.streaming.runs import FANOUT, VERSION, RunLog, newest
 
 ALPHA = 0.05  # fixed value: weight of a new duration in the running mean
 
@@ -34,14 +35,14 @@ def stream_predictions(predictions: DataFrame, path: str, checkpoint: str | None
 def stream_confusion(predictions: DataFrame, path: str, keys=("epoch",), ignore_index=-1, checkpoint: str | None = None):
     """Running confusion counts per epoch. State and result hold classes^2 rows per epoch.
 
-    Every micro-batch writes the whole counts to a folder of its own, so that one which fails leaves the last good ones;
-    `read_confusion` takes the newest."""
+    Every micro-batch publishes the whole counts as a version (see `runs`), so that one which fails leaves the last good ones;
+    `read_confusion` takes the newest, and old ones are removed."""
     keys = list(keys)
     df = predictions.filter(F.col("target") != ignore_index)
     counts = df.groupBy(*keys, "target", "pred").agg(F.count(F.lit(1)).alias("n"))
     return (
         counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda rows, version: rows.write.mode("overwrite").parquet(f"{path}/version={version}"))
+        .foreachBatch(lambda rows, version: RunLog(rows.sparkSession, path).add(rows, version))
         .option("checkpointLocation", _place(predictions, "confusion", checkpoint))
         .trigger(availableNow=True)
         .start()
@@ -49,27 +50,23 @@ def stream_confusion(predictions: DataFrame, path: str, keys=("epoch",), ignore_
 
 
 def read_confusion(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col("version") == F.lit(rows.agg(F.max("version")).first()[0])).drop("version")
+    return RunLog(spark, path).read().drop(VERSION)
 
 
-def stream_votes(predictions: DataFrame, path: str, num_classes: int, checkpoint: str | None = None, arrival: str | None = None, late: str | None = None):
-    """Running logit sums per point. A micro-batch adds the new state of the points it touched;
-    `read_votes` keeps the newest. With `arrival` and `late`, sums are kept per point and arrival, and a watermark drops
-    the state of arrivals that are over; `read_votes` adds them up."""
+def stream_votes(
+    predictions: DataFrame, path: str, num_classes: int, checkpoint: str | None = None, arrival: str | None = None, late: str | None = None, fanout: int = FANOUT
+):
+    """Running logit sums per point. A micro-batch adds a run with the new state of the points it touched, and full levels
+    of runs are merged (see `runs`); `read_votes` keeps the newest. With `arrival` and `late`, sums are kept per point and arrival, and a
+    watermark drops the state of arrivals that are over; `read_votes` adds them up."""
     keys = list(POINT)
     if arrival:
         predictions = predictions.withWatermark(arrival, late)
         keys.append(arrival)
     sums = logit_sums(predictions, num_classes, keys)
-
-    def store(rows, version):
-        # one folder per version: a repeated micro-batch replaces its own output
-        rows.write.mode("overwrite").parquet(f"{path}/version={version}")
-
     return (
         sums.writeStream.outputMode("update")
-        .foreachBatch(store)
+        .foreachBatch(lambda rows, version: RunLog(rows.sparkSession, path, fanout).add(rows, version, newest(keys)))
         .option("checkpointLocation", _place(predictions, "votes", checkpoint))
         .trigger(availableNow=True)
         .start()
@@ -78,12 +75,12 @@ def stream_votes(predictions: DataFrame, path: str, num_classes: int, checkpoint
 
 def read_votes(spark, path: str, num_classes: int) -> DataFrame:
     cols = ["votes", *[f"s{c}" for c in range(num_classes)]]
-    rows = spark.read.parquet(path)
-    state = [c for c in rows.columns if c not in (*cols, "version")]  # the point, and the arrival where one was named
-    newest = rows.groupBy(*state).agg(F.max_by(F.struct(*cols), "version").alias("_s")).select(*POINT, "_s.*")
+    rows = RunLog(spark, path).read()
+    state = [c for c in rows.columns if c not in (*cols, VERSION)]  # the point, and the arrival where one was named
+    last = rows.groupBy(*state).agg(F.max_by(F.struct(*cols), VERSION).alias("_s")).select(*POINT, "_s.*")
     if len(state) > len(POINT):
-        newest = newest.groupBy(*POINT).agg(*[F.sum(c).alias(c) for c in cols])
-    return mean_of_sums(newest, num_classes)
+        last = last.groupBy(*POINT).agg(*[F.sum(c).alias(c) for c in cols])
+    return mean_of_sums(last, num_classes)
 
 
 class Detector:
@@ -138,27 +135,74 @@ def slow_batches(telemetry: DataFrame, keys: list[str], **limits) -> DataFrame:
     return laid.mapInPandas(follow, _schema(telemetry, keys))
 
 
-def stream_slow_batches(telemetry: DataFrame, path: str, keys: list[str], checkpoint: str | None = None, **limits):
-    """Streaming detector; the state of a key is its running mean. Rows of a micro-batch are sorted
-    by `i` first because a shuffle does not keep their order."""
+def _settle(rows: DataFrame, keys: list[str], wait: bool, limits: dict) -> DataFrame:
+    """Decides on the steps of a micro-batch. `rows` (keys…, i, duration, mean, next) also hold the state of every key, with a null `i`.
+    Returns decided steps (kind 0), steps that wait (1) and the new state (2)."""
+    cols = [*keys, "i", "duration", "mean", "next", "reason", "kind"]
+    laid = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("i").asc_nulls_first())
 
-    def follow(key, pdfs, state):
-        mean = state.get[0] if state.exists else 0.0
-        detector = Detector(**limits, mean=mean)
-        rows = pd.concat(list(pdfs)).sort_values("i")
-        out = _run(rows, detector)
-        state.update((detector.mean,))
-        yield out[[*keys, "i", "duration", "reason", "mean"]]
+    def state_row(key, detector, after):
+        return dict(zip(keys, key), i=None, duration=None, mean=detector.mean, next=after, reason=None, kind=2)
+
+    def follow(batches):
+        here, detector, after = None, None, 0
+        for pdf in batches:  # one Arrow batch at a time; a key goes on in the next one
+            parts = []
+            for key, group in pdf.groupby(keys, sort=False, dropna=False):
+                names = tuple(None if pd.isna(k) else k for k in key)
+                if names != here:
+                    if here is not None:
+                        parts.append(pd.DataFrame([state_row(here, detector, after)], columns=cols))
+                    here, detector, after = names, Detector(**limits), 0
+                held = group[group["i"].isna()]
+                if len(held):
+                    detector.mean, after = float(held["mean"].iloc[0]), int(held["next"].iloc[0])
+                group = group[group["i"].notna()]
+                if wait:  # steps before the first gap are decided
+                    number = group["i"].to_numpy("int64")
+                    ready = number <= after + np.arange(len(number))
+                    n = len(number) if ready.all() else int(ready.argmin())
+                    parts.append(group.iloc[n:].assign(reason=None, kind=1))
+                    group = group.iloc[:n]
+                if len(group):
+                    after = int(group["i"].iloc[-1]) + 1
+                    parts.append(_run(group, detector).assign(kind=0))
+            if parts:
+                yield pd.concat(parts)[cols]
+        if here is not None:
+            yield pd.DataFrame([state_row(here, detector, after)], columns=cols)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i bigint, duration double, mean double, next bigint, reason string, kind int"
+    return laid.mapInPandas(follow, schema)
+
+
+def stream_slow_batches(telemetry: DataFrame, path: str, keys: list[str], checkpoint: str | None = None, wait: bool = False, **limits):
+    """Streaming detector. Decided steps (keys…, i, duration, reason, mean) go to `path`, one folder per micro-batch.
+
+    Spark sorts a micro-batch by key and step, spilling as it needs to, and a task follows it one Arrow batch at a time: the
+    memory of a task does not grow with the steps of a key. The state, a running mean per key, is a table of its own (see `runs`).
+    With `wait`, steps are numbered 0, 1, 2, … per key and a step waits, in the state, until all before it have come, so the
+    order of arrival does not matter; what still misses a predecessor stays undecided. Without it, steps are decided by number within a
+    micro-batch. Steps without a number are left out.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in telemetry.schema}
+    slim = telemetry.select(*keys, F.col("i").cast("long").alias("i"), F.col("duration").cast("double").alias("duration")).filter("i IS NOT NULL")
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i bigint, duration double, mean double, next bigint"
+
+    def store(rows, version):
+        spark = rows.sparkSession
+        log = RunLog(spark, f"{path}/_state")
+        fresh = rows.withColumns({"mean": F.lit(None).cast("double"), "next": F.lit(None).cast("long")})
+        before = [v for v in log.versions() if v < version]
+        held = log.rows_of(before[-1]).filter("kind > 0").select(*fresh.columns) if before else spark.createDataFrame([], schema)
+        log.add(_settle(held.unionByName(fresh), keys, wait, limits), version)
+        done = log.read().filter("kind = 0").select(*keys, "i", "duration", "reason", "mean")
+        done.write.mode("overwrite").parquet(f"{path}/version={version}")
 
-    slim = telemetry.select(*keys, F.col("i").cast("long").alias("i"), "duration")
-    flagged = slim.groupBy(*keys).applyInPandasWithState(
-        follow, _schema(telemetry, keys), "mean double", "append", GroupStateTimeout.NoTimeout
-    )
     return (
-        flagged.writeStream.format("parquet")
-        .option("path", path)
+        slim.writeStream.foreachBatch(store)
         .option("checkpointLocation", _place(telemetry, "slow", checkpoint))
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -11,6 +11,7 @@ from cloudloom.session import new_table_path
 from cloudloom.sources.points import scan_points
 from cloudloom.sources.records import RecordSource, scan_records, write_records
 from cloudloom.streaming import predictions as streams
+from cloudloom.streaming.runs import RunLog, newest
 
 
 def test_records_written_by_hand(spark, tmp_path):
@@ -111,6 +112,65 @@ def test_detector_stream_equals_batch(spark):
     assert {r[0] for r in want.select("reason").distinct().collect()} == {"", "periodic", "slowdown", "absolute"}
 
 
+def test_steps_out_of_order_wait_for_those_before(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(i), float(d)) for k in ("train", None) for i, d in enumerate(rng.exponential(1.0, 90))]
+    src, path, ck = (new_table_path(spark, n) for n in ("steps", "flags", "steps-ck"))
+    df = spark.createDataFrame(rows, "stage string, i bigint, duration double")
+    limits = {"slowdown": 2.5, "absolute": 1.5}
+    want = streams.slow_batches(df.fillna("-"), ["stage"], **limits).select("stage", "i", "reason", "mean")
+    df.filter("i % 3 <> 1 AND i < 60").coalesce(1).write.parquet(src)  # step 1 is missing: only step 0 can be decided
+    flow = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    finish(streams.stream_slow_batches(flow, path, ["stage"], ck, wait=True, **limits))
+    assert spark.read.parquet(path).select("i").distinct().collect() == [(0,)]
+    df.filter("i % 3 = 1 AND i < 60").coalesce(1).write.mode("append").parquet(src)
+    finish(streams.stream_slow_batches(flow, path, ["stage"], ck, wait=True, **limits))
+    assert spark.read.parquet(path).count() == 120
+    df.filter("i >= 60").coalesce(1).write.mode("append").parquet(src)
+    finish(streams.stream_slow_batches(flow, path, ["stage"], ck, wait=True, **limits))
+    got = spark.read.parquet(path).fillna("-", ["stage"]).select("stage", "i", "reason", "mean")
+    assert got.exceptAll(want).isEmpty() and got.count() == 180
+
+
+def test_one_key_of_many_steps_passes_in_batches(spark):
+    src, path = new_table_path(spark, "steps"), new_table_path(spark, "flags")
+    df = spark.range(60_000, numPartitions=4).select(F.lit("a").alias("stage"), (59_999 - F.col("id")).alias("i"), (F.col("id") % 7 / 2).alias("duration"))
+    df.write.parquet(src)
+    finish(streams.stream_slow_batches(spark.readStream.schema(df.schema).parquet(src), path, ["stage"], slowdown=1.5))
+    want = streams.slow_batches(df, ["stage"], slowdown=1.5).select("stage", "i", "reason", "mean")
+    got = spark.read.parquet(path).select("stage", "i", "reason", "mean")
+    assert got.exceptAll(want).isEmpty() and got.count() == 60_000
+
+
+def test_log_of_runs(spark):
+    path = new_table_path(spark, "log")
+    log, merge, want = RunLog(spark, path, fanout=3), newest(["k"]), {}
+
+    def add(version, keys):
+        rows = [(k, 100 * version) for k in keys]
+        want.update(rows)
+        log.add(spark.createDataFrame(rows, "k long, x long"), version, merge)
+
+    def state():
+        return {r["k"]: r["x"] for r in merge(log.read()).collect()}
+
+    with pytest.raises(FileNotFoundError):
+        log.read()
+    for v in range(14):
+        add(v, {v % 4, v % 5, None})
+    assert state() == want and len(want) == 6
+    assert [r["level"] for r in log.runs(13)] == [2, 1, 0, 0]  # 14 = 9 + 3 + 1 + 1
+    spark.createDataFrame([(1, -1, 99)], "k long, x long, _v int").write.parquet(f"{path}/runs/99-0-half")  # a run that no manifest names
+    assert state() == want
+    add(13, {1, 7})  # the micro-batch comes again, with other rows: the first ones go
+    for k in (13 % 4, 13 % 5, None):
+        want[k] = 1300 if k == 1 else max(100 * v for v in range(13) if k in {v % 4, v % 5, None})
+    assert state() == want
+    assert len(log._names("runs")) <= 6 and log.versions() == [12, 13]
+    with pytest.raises(ValueError, match="another stream"):
+        add(3, {1})
+
+
 def test_a_scan_reads_the_files_and_columns_asked_for(spark, cloud, tmp_path):
     path = str(tmp_path / "points")
     cloud.write.partitionBy("file_id").parquet(path)
