@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -22,7 +24,7 @@ from cloudloom.llm.language_id import fit_dictionaries, identify
 from cloudloom.llm import lm_score
 from cloudloom.llm.lm_score import score_texts
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
-from cloudloom.llm.secret_scan import Field, base_spans, scan_secrets, spans_of, train
+from cloudloom.llm.secret_scan import Field, Tokens, _renamed, _values, all_spans, base_spans, fit, scan_secrets, spans_of, tell, train
 from cloudloom.llm.sentencepiece_codec import Codec, Decoder, Vocabulary, encode_decode
 from cloudloom.llm.substring_dedup import difference_cover, substring_dedup
 from cloudloom.llm.suffix_dedup import suffix_dedup
@@ -309,6 +311,100 @@ def test_field_decodes_the_likeliest_tags():
         assert tuple(field.decode(feats)) == best[1]
 
 
+def test_field_skips_only_what_is_outside_on_every_best_path():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        field = Field(rng.normal(size=(50, 3)) + [1.0, 0, 0], rng.normal(size=(3, 3)))
+        text = np.sort(rng.integers(0, 4, size=60))
+        index = rng.integers(0, 50, size=(60, 2))
+        want = np.concatenate([field.decode(index[text == t]) for t in np.unique(text)])
+        assert (field.tags(Tokens(text, text, text, index)) == want).all()
+
+
+def test_field_gradient():
+    rng = np.random.default_rng(14)
+    emit, tags = rng.normal(size=(3, 5, 3)), rng.integers(0, 3, size=(3, 5))
+    mask = np.arange(5) < np.array([5, 3, 1])[:, None]
+    tags[~mask] = 0
+    field = Field(np.zeros((1, 3)), rng.normal(size=(3, 3)))
+
+    def value():  # log-likelihood
+        total = field.gradients(emit, mask, tags)[2]
+        paths = []
+        for e, t, n in zip(emit, tags, mask.sum(1)):
+            way = [0, *t[:n], 0]
+            paths.append(sum(e[i, t[i]] for i in range(n)) + sum(field.moves[a, b] for a, b in zip(way, way[1:])))
+        return (np.array(paths) - total).sum()
+
+    towards, step, _ = field.gradients(emit, mask, tags)
+    for grad, of in ((towards, emit), (step, field.moves)):
+        for at in np.ndindex(*of.shape):
+            keep = of[at]
+            of[at] = keep + 1e-5
+            up = value()
+            of[at] = keep - 1e-5
+            down, of[at] = value(), keep
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_tokens_of_a_text():
+    texts = ["", 'key="a+b/c!d!!" (x)...', "\ud800 \u3000é", " \n"]
+    tokens = tell(texts, np.zeros((192, 192)))
+    got = [[texts[k][a:b] for t, a, b in zip(tokens.text, tokens.start, tokens.end) if t == k] for k in range(4)]
+    assert got == [[], ["key", "=", '"', "a+b/c!d", "!", "!", '"', "(", "x", ")", ".", ".", "."], ["\ud800", "é"], []]
+    alone = np.concatenate([tell([t], np.zeros((192, 192))).index for t in texts if t.strip()])
+    assert (alone == tokens.index).all()  # a text has the same features beside others
+
+
+@pytest.fixture(scope="module")
+def prose_field():
+    rng = random.Random(20)
+    words = ["".join(rng.choice(["ka", "to", "mi", "ren", "sol", "du", "ve"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+
+    def prose(n=40):
+        return " ".join(rng.choice(words) if rng.random() < 0.95 else str(rng.randrange(10**6)) for _ in range(n))
+
+    texts = [f"{prose()} token = \"{rng.getrandbits(160):040x}\" {prose()}" if i % 5 == 0 else prose(80) for i in range(600)]
+    return prose, fit(texts)
+
+
+@pytest.mark.parametrize("signs, n", [("0123456789abcdef", 20), (string.ascii_letters + string.digits, 24), (string.ascii_letters, 24), (string.ascii_letters + string.digits + "!$%", 16)])
+def test_secrets_behind_unknown_names(prose_field, signs, n):
+    prose, field = prose_field
+    rng = random.Random(n)
+    found = 0
+    for i in range(100):
+        value = "".join(rng.choices(signs, k=n))
+        head = f"{prose()} {('passphrase', 'credential', 'signing_key')[i % 3]} = \""
+        spans = spans_of(f'{head}{value}" {prose()}', field)
+        found += any(a < len(head) + n and b > len(head) for a, _, b, _ in spans)
+    assert found >= 90, found
+
+
+def test_clean_texts_have_no_secrets(prose_field):
+    prose, field = prose_field
+    assert sum(map(len, all_spans([f"{prose()} size = {i} name: karen {prose()}" for i in range(300)], field))) <= 3
+
+
+def test_secrets_of_a_very_long_text(prose_field):
+    prose, field = prose_field
+    line = f'{prose()} passphrase = "9f8e7d6c5b4a39281706" token = "{"0123456789abcdef" * 2}" '
+    long = line * (4_000_000 // len(line))
+    begun = time.perf_counter()
+    spans = spans_of(long, field)
+    assert time.perf_counter() - begun < 60  # linear: seconds
+    n = 4_000_000 // len(line)
+    assert [k for _, k, _, _ in spans].count(0) == n and [k for _, k, _, _ in spans].count(3) >= n * 0.9
+    assert spans == sorted(spans) and spans_of("x" * 3_000_000, field) == []
+
+
+def test_renamed_samples_tell_where_values_are():
+    rng, text = np.random.default_rng(3), 'say token = "0123456789abcdef0123" and\nmore words here'
+    for _ in range(50):
+        new, spans = _renamed(text, _values(text), ["ab", "cd"], rng, 2)
+        assert len(spans) == 3 and all(b - a >= 8 and not any(c.isspace() for c in new[a:b]) for a, b in spans) and "token" not in new
+
+
 def test_gru_gradient_and_total():
     model, rng = Model(42), np.random.default_rng(0)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
