@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.tables import bucket_count, joined, lean, thin
+from cloudloom.llm.tables import bucket_count, joined, lean, lean_group, thin
 from cloudloom.llm.words import mix, slices, split_words
 from cloudloom.session import cut_lineage
 
 MIN_COUNT, TOP, COVER = 10, 2000, 50
-FLUSH, MERGE = 1 << 19, 1 << 18  # windows counted at once in a task, and in a bucket
+FLUSH, MERGE = 1 << 19, 1 << 17  # windows counted at once in a task, and in a bucket
 BUCKET_BYTES = 8 << 20  # text behind one bucket
 SAMPLE, HOT_KEEP, HOT_SHARE = 2000, 1024, 1000  # texts that pick hot pairs, pairs kept, one window in so many makes a pair hot
 NO_LANG = "und"
@@ -103,7 +103,7 @@ def pack_counts(number: np.ndarray, sums: np.ndarray, names: np.ndarray) -> byte
     return b"".join([head.tobytes(), names[used].tobytes(), small.reshape(3, -1).astype(width).tobytes(), sums.astype(np.int64).tobytes()])
 
 
-def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_counts(data) -> tuple[np.ndarray, np.ndarray]:
     n_names, n, width = np.frombuffer(data, np.int64, 3).tolist()
     at = 24 + 8 * n_names
     names = np.frombuffer(data, np.uint64, n_names, 24)
@@ -116,10 +116,11 @@ def pack_words(codes: np.ndarray, words: list[bytes]) -> bytes:
     return b"".join([np.array([len(codes)], np.int64).tobytes(), codes.tobytes(), size.tobytes(), *words])
 
 
-def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def unpack_words(data) -> tuple[np.ndarray, list[bytes]]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
+    memory = memoryview(data)
     ends = np.cumsum(np.frombuffer(data, np.uint32, n, 8 + 8 * n).astype(np.int64)) + 8 + 12 * n
-    return np.frombuffer(data, np.uint64, n, 8), [data[a:b] for a, b in zip([8 + 12 * n, *ends[:-1].tolist()], ends.tolist())]
+    return np.frombuffer(data, np.uint64, n, 8), [bytes(memory[a:b]) for a, b in zip([8 + 12 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
 def hot_pairs(texts: DataFrame) -> np.ndarray:
@@ -227,7 +228,7 @@ def _merge(hot: np.ndarray, min_count: int):
 
     def fn(table: pa.Table) -> pa.Table:
         out, words, by_lang = [], {}, {}
-        for lang, data in zip(table["lang"].to_pylist(), table["data"].to_pylist()):
+        for lang, data in zip(table["lang"].to_pylist(), (d.as_buffer() for d in table["data"])):  # read in place
             if lang is None:
                 words.update(zip(*(x if isinstance(x, list) else x.tolist() for x in unpack_words(data))))
             else:
@@ -260,7 +261,7 @@ def phrase_counts(texts: DataFrame, n_buckets: int, min_count: int) -> tuple[Dat
     level 0 of all words of a language; and (code, word)."""
     hot = hot_pairs(texts)
     sent = texts.mapInArrow(lean(_send(hot, n_buckets)), "bucket int, lang string, data binary")
-    tops = cut_lineage(sent.groupBy("bucket").applyInArrow(_merge(hot, min_count), _TOPS))
+    tops = cut_lineage(sent.groupBy("bucket").applyInArrow(lean_group(_merge(hot, min_count)), _TOPS))
     words = tops.filter("word IS NOT NULL").select(F.col("w1").alias("code"), "word")
     # buckets of one task meet here first, so that the rollup sees each window once
     whole = tops.filter("word IS NULL").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
