@@ -142,7 +142,7 @@ def _settle(rows: DataFrame, keys: list[str], wait: bool, limits: dict) -> DataF
     laid = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("i").asc_nulls_first())
 
     def state_row(key, detector, after):
-        return dict(zip(keys, key), i=None, duration=None, mean=detector.mean, next=after, reason=None, kind=2)
+        return pd.DataFrame([(*key, None, None, detector.mean, after, None, 2)], columns=cols)
 
     def follow(batches):
         here, detector, after = None, None, 0
@@ -152,7 +152,7 @@ def _settle(rows: DataFrame, keys: list[str], wait: bool, limits: dict) -> DataF
                 names = tuple(None if pd.isna(k) else k for k in key)
                 if names != here:
                     if here is not None:
-                        parts.append(pd.DataFrame([state_row(here, detector, after)], columns=cols))
+                        parts.append(state_row(here, detector, after))
                     here, detector, after = names, Detector(**limits), 0
                 held = group[group["i"].isna()]
                 if len(held):
@@ -168,9 +168,9 @@ def _settle(rows: DataFrame, keys: list[str], wait: bool, limits: dict) -> DataF
                     after = int(group["i"].iloc[-1]) + 1
                     parts.append(_run(group, detector).assign(kind=0))
             if parts:
-                yield pd.concat(parts)[cols]
+                yield pd.concat([p[cols].astype(object) for p in parts])
         if here is not None:
-            yield pd.DataFrame([state_row(here, detector, after)], columns=cols)
+            yield state_row(here, detector, after)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i bigint, duration double, mean double, next bigint, reason string, kind int"
