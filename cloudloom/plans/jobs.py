@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,33 +68,64 @@ def tile_cloud(points: DataFrame, window=(50.0, 50.0), factor=1, grid: float | N
     return tiled, tiles, index
 
 
-def predict_tiles(points: DataFrame, model: Callable[[pd.DataFrame], object], batch: list[str], keys: list[str], postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs the user's model on each packed batch; `model` takes the batch as pandas rows and
-    returns one list of logits per row. Packing bounds the batch, so the group fits a task."""
-    keep = [*batch, *[k for k in keys if k not in batch]]
+def _logits(made) -> pa.ListArray:
+    """Rows of logits as one Arrow list per row, without a Python object per row."""
+    made = np.ascontiguousarray(made, dtype=np.float64)
+    rows, classes = made.shape if made.ndim == 2 else (len(made), 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(made.ravel()))
 
-    def run(pdf):
-        out = pdf[keep].copy()
-        out["logits"] = list(np.asarray(model(pdf), dtype=np.float64))
-        return out
 
+def _predictor(points: DataFrame, model, keep: list[str]):
+    """A function that adds the model's logits to the columns kept of one Arrow table, and its Spark schema."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", logits array<double>"
-    out = points.groupBy(*batch).applyInPandas(run, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.select(keep).append_column("logits", _logits(model(table.to_pandas())))
+
+    return run, schema
+
+
+def predict_tiles(
+    points: DataFrame, model: Callable[[pd.DataFrame], object], batch: list[str], keys: list[str],
+    postprocess: Callable[[DataFrame], DataFrame] | None = None, max_rows: int | None = None, parts: bool = False,
+) -> DataFrame:
+    """Runs the user's model on each packed batch; `model` takes the batch as pandas rows and returns one list of logits per row.
+
+    A task reads a batch as a stream of Arrow batches. A model that may see a packed batch in parts (`parts`) gets them one by one, so
+    memory does not grow with the batch. Any other model needs the whole batch: one of more than `max_rows` rows is refused
+    by its key as soon as the limit is passed, before the rest is read.
+    """
+    keep = [*batch, *[k for k in keys if k not in batch]]
+    run, schema = _predictor(points, model, keep)
+
+    def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from run(pa.Table.from_batches([b])).to_batches()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if max_rows is not None and n > max_rows:
+                name = ", ".join(f"{k} = {b.column(k)[0].as_py()}" for k in batch)
+                raise ValueError(f"batch {name} has more than {max_rows} rows; pack smaller ones, or allow parts")
+        yield from run(pa.Table.from_batches(held)).to_batches()
+
+    out = points.groupBy(*batch).applyInArrow(in_parts if parts else whole, schema)
     return postprocess(out) if postprocess else out
 
 
 def predict_points(points: DataFrame, model: Callable[[pd.DataFrame], object], keys: list[str]) -> DataFrame:
     """The same for a model that looks at one point at a time: no grouping, no shuffle."""
-    def run(batches):
-        for pdf in batches:
-            out = pdf[keys].copy()
-            out["logits"] = list(np.asarray(model(pdf), dtype=np.float64))
-            yield out
+    run, schema = _predictor(points, model, list(keys))
 
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", logits array<double>"
-    return points.mapInPandas(run, schema)
+    def each(batches):
+        for b in batches:
+            yield from run(pa.Table.from_batches([b])).to_batches()
+
+    return points.mapInArrow(each, schema)
 
 
 def vote_and_restore(points: DataFrame, predictions: DataFrame, num_classes: int, mapping=None) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.operators.batching import _walk, pack_batches
 
@@ -55,3 +56,27 @@ def test_packing_equals_the_sequential_walk(spark, shard, block):
         assert rows["batch_id"].tolist() == next_fit(rows["n"].tolist(), 64)
         total = rows.groupby("batch_id")["n"].agg(["sum", "size"])
         assert ((total["sum"] <= 64) | (total["size"] == 1) | (rows.groupby("batch_id")["n"].max() > 64)).all()
+
+
+def test_a_large_batch_passes_in_parts_or_is_refused_by_name(spark):
+    from cloudloom.plans.jobs import predict_points, predict_tiles
+
+    points = spark.range(50_000).select(F.when(F.col("id") < 40_000, 1).otherwise(2).alias("batch_id"), F.col("id").alias("point_id"), (F.col("id") % 3).cast("double").alias("z"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
+    try:
+        def model(pdf):
+            assert len(pdf) <= 4000  # never the whole batch
+            return np.stack([pdf["z"], -pdf["z"]], 1)
+
+        want = points.select("batch_id", "point_id", F.array("z", -F.col("z")).alias("logits"))
+        got = predict_tiles(points, model, ["batch_id"], ["point_id"], max_rows=4000, parts=True)
+        assert got.exceptAll(want).isEmpty() and got.count() == 50_000
+        assert predict_points(points, model, ["batch_id", "point_id"]).exceptAll(want).isEmpty()
+        with pytest.raises(Exception, match="batch batch_id = 1 has more than 10000 rows"):
+            predict_tiles(points, lambda pdf: np.zeros((len(pdf), 2)), ["batch_id"], ["point_id"], max_rows=10_000).count()
+        whole = predict_tiles(points, lambda pdf: np.full((len(pdf), 1), float(len(pdf))), ["batch_id"], ["point_id"], max_rows=40_000)
+        sizes = whole.select("batch_id", F.col("logits")[0].alias("n")).distinct()
+        assert {tuple(r) for r in sizes.collect()} == {(1, 40_000.0), (2, 10_000.0)}
+        assert predict_tiles(points.limit(0), model, ["batch_id"], ["point_id"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
