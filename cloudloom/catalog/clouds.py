@@ -70,8 +70,8 @@ query(
 
 @query("class_mapping", sql(PTS, "SELECT classification AS raw_label, classification - 1 AS train_label, count(*) AS n FROM pts WHERE classification BETWEEN 1 AND 8 GROUP BY 1, 2", "raw_label train_label n"))
 def _(t):
-    table = project.ClassMapping(MAPPING).table(t.spark)
-    return table.join(t.points().select(F.col("classification").alias("raw_label")), "raw_label").groupBy("raw_label", "train_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.points().groupBy(F.col("classification").alias("raw_label")).agg(F.count(F.lit(1)).alias("n"))
+    return project.ClassMapping(MAPPING).table(t.spark).join(counts, "raw_label").select("raw_label", "train_label", "n")
 
 
 @query("class_names", sql(PTS, f"SELECT *, CASE WHEN {MAPPED} < 0 THEN 'Class -1' ELSE concat('Class ', classification) END AS name FROM pts", "file_id point_id name"))

@@ -157,3 +157,10 @@ def test_draws_differ_by_file_and_fraction(spark):
     assert (picked[0] != picked[1]).any()
     got = spark.createDataFrame([(0.2,), (0.7,), (2.0,)], "k double").select(hash_int(1, "k"), hash_int(1, F.col("k").cast("long"))).collect()
     assert got[0][0] != got[1][0] and got[2][0] == got[2][1]
+
+
+def test_class_mapping_counts_before_it_joins(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["class_mapping"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # points are counted below the join, not moved by their few labels
