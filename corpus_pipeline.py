@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm.decontaminate import find_leaks
 from cloudloom.llm.exact_dedup import exact_dedup
-from cloudloom.llm.language_id import fit_dictionaries, identify
+from cloudloom.llm.language_id import MIN_MARGIN, fit_dictionaries, identify
 from cloudloom.llm.ngram_join import ngram_jaccard_groups
 from cloudloom.llm.sentencepiece_codec import encode_decode
 from cloudloom.llm.tables import attach
@@ -20,12 +20,10 @@ from cloudloom.session import new_table_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "piece_bpe_32k.model"
-#: A lead so narrow tells no language: in practice a tie. Clean documents, short ones too, lead by more.
-MIN_MARGIN = 1e-9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told. Those without a letter, or with a tie between languages, go."""
+    """Documents whose language is told. Those without a letter, or with a lead below the operator's own margin, go."""
     judged = identify(docs, fit_dictionaries(docs), min_margin=MIN_MARGIN)
     return judged.filter(~F.col("rejected")).select(COLUMNS)
 

@@ -152,3 +152,15 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_stage_drops_narrow_leads(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judge = Compressors(fit_dictionaries(docs)).judge
+    en, de = (" ".join(r.text for r in docs.filter(f"lang = '{lang}'").orderBy("doc_id").limit(20).collect())[:3000] for lang in ("en", "de"))
+    mixes = [en[:a] + " " + de[:b] for a in (400, 1200, 2000) for b in range(60, 600, 4)]
+    narrow = {t for t in mixes if 1e-9 < judge(t)[1] < 0.005}
+    assert narrow
+    mixed = spark.createDataFrame([(10**6 + i, t, None, None, None) for i, t in enumerate(sorted(narrow)[:5])], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(mixed), SF)
+    assert kept.filter(f"doc_id >= {10**6}").count() == 0 and kept.count() > 0
