@@ -12,7 +12,8 @@ How the search is spread over the cluster:
    together with their surviving reference cells, and step 2 runs one depth further. A crowded
    region therefore goes deeper while an empty one stops early.
 4. Settled cells become blocks: bounded sets of query rows beside the reference rows they need.
-   One block is one small matrix computation.
+   Inside a block, queries are halved at medians and references cut to those within reach, until
+   small matrices are left.
 
 Copies of one position cannot be split by depth, so reference rows are first cut to the k with the
 smallest ids per position; ties are broken by id, which makes the rest unreachable as neighbours.
@@ -27,23 +28,31 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.operators.ordering import join_rows
+from cloudloom.operators.ordering import SMALL_ROWS, join_rows
 from cloudloom.session import cut_lineage
 
 DEPTH = 20  # a cell at full depth is 2^-20 of the batch's extent
-BLOCK_REFS = 6000  # reference rows a settled query cell may need; above the usual tile limit of 5000
-BLOCK_QUERIES = 4096
-PART_DISTANCES = 20_000_000  # distances that a partition computes, about
+BLOCK_REFS = 24_000  # reference rows a settled query cell may need
+BLOCK_QUERIES = 32_768
+BLOCK_UP = 2  # a block is the cell this many depths above its settled cells
+PART_DISTANCES = 200_000_000  # pairs of a query and a reference in reach of its cell that a partition gets, about
 CELLS = ("_c0", "_c1", "_c2")
 
 
+def _join_cells(df, cells, keys):
+    """Rows beside their cells. A short table of cells goes to every task: by a few keys, rows would pile up in a few tasks."""
+    few = cells.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return df.join(F.broadcast(cells) if few else cells, keys)
+
+
 def _address(df, frame, batch, coords):
-    df = df.join(frame, batch)
+    df = _join_cells(df, frame, batch)
     cells = {}
     for c, axis in zip(CELLS, coords):
         step = F.floor((F.col(axis) - F.col(f"_o_{axis}")) / F.col("_side") * F.lit(float(1 << DEPTH)))
@@ -103,54 +112,93 @@ def _children(df, cells, batch, dims, tag, depth):
     return kids.join(parents.distinct(), [*batch, *[f"_p{i}" for i in range(dims)]], "left_semi")
 
 
-def _nearest_in_block(k, dims, with_self):
-    def run(key, q, r):
-        cols = ["_src", "_rank", "_dst", "_d2"]
-        if len(q) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        r = r.sort_values("_id", kind="stable")
-        rid = r["_id"].to_numpy()
-        rx = r[[f"_x{i}" for i in range(dims)]].to_numpy(dtype=float)
-        qid = q["_id"].to_numpy()
-        qx = q[[f"_x{i}" for i in range(dims)]].to_numpy(dtype=float)
-        want = k - 1 if with_self else k
-        found = []
-        rows = max(1, 1_000_000 // max(1, len(rid)))
-        for start in range(0, len(qid), rows):
-            ids = qid[start : start + rows]
-            d2 = np.zeros((len(ids), len(rid)))
-            for i in range(dims):
-                diff = np.subtract.outer(qx[start : start + rows, i], rx[:, i])
+LEAF_QUERIES = 32  # queries of a block that are compared with the same references
+AT_ONCE = 1_000_000  # distances held at a time
+
+
+def _within_reach(low, high, rx, near_k):
+    """References (a mask, or None for all) that can be among the nearest of some query in the box low..high.
+
+    The sums run over the axes in the order of the distances themselves, so rounding never puts a bound on the wrong side.
+    """
+    if len(rx) <= near_k:
+        return None
+    near, far = np.zeros(len(rx)), np.zeros(len(rx))
+    for i in range(rx.shape[1]):
+        below, above = low[i] - rx[:, i], rx[:, i] - high[i]
+        gap = np.maximum(np.maximum(below, above), 0.0)
+        near += gap * gap
+        reach = np.maximum(high[i] - rx[:, i], rx[:, i] - low[i])
+        far += reach * reach
+    return near <= np.partition(far, near_k - 1)[near_k - 1]
+
+
+def _nearest(qx, mine, rx, want):
+    """(query, rank from 0, reference, squared distance) arrays: the `want` nearest references of each query, ties by position.
+
+    `mine` is the position of a query's own reference, which does not count, or -1. Queries are halved at medians until a few
+    are left, and every half keeps the references that are within reach of its box.
+    """
+    near_k = want + bool((mine >= 0).any())
+    todo, found = [(np.nonzero(np.isfinite(qx).all(axis=1))[0], np.nonzero(np.isfinite(rx).all(axis=1))[0])], []
+    while todo:
+        rows, refs = todo.pop()
+        if not len(rows) or not len(refs):
+            continue
+        x = qx[rows]
+        low, high = x.min(axis=0), x.max(axis=0)
+        inside = _within_reach(low, high, rx[refs], near_k)
+        refs = refs if inside is None else refs[inside]
+        axis = int(np.argmax(high - low))
+        if len(rows) > LEAF_QUERIES and len(refs) > 4 * near_k and high[axis] > low[axis]:
+            half = len(rows) // 2
+            order = np.argpartition(x[:, axis], half)
+            todo += [(rows[order[:half]], refs), (rows[order[half:]], refs)]
+            continue
+        r, step = rx[refs], max(1, AT_ONCE // len(refs))
+        for start in range(0, len(rows), step):
+            some = rows[start : start + step]
+            d2 = np.zeros((len(some), len(refs)))
+            for i in range(qx.shape[1]):
+                diff = np.subtract.outer(qx[some, i], r[:, i])
                 diff *= diff
                 d2 += diff
-            if with_self:
-                if len(rid):
-                    at = np.minimum(np.searchsorted(rid, ids), len(rid) - 1)
-                    here = np.nonzero(rid[at] == ids)[0]
-                    d2[here, at[here]] = np.inf
-                found.append((ids, np.ones(len(ids), int), ids, np.zeros(len(ids))))
-            if want and len(rid):
-                kth = (
-                    np.partition(d2, want - 1, axis=1)[:, want - 1]
-                    if len(rid) > want
-                    else np.full(len(ids), np.finfo(float).max)
-                )
-                at_q, at_r = np.nonzero(d2 <= np.minimum(kth, np.finfo(float).max)[:, None])
-                order = np.lexsort((at_r, d2[at_q, at_r], at_q))
-                at_q, at_r = at_q[order], at_r[order]
-                first = np.searchsorted(at_q, np.arange(len(ids)))
-                rank = np.arange(len(at_q)) - first[at_q]
-                ok = rank < want
-                at_q, at_r, rank = at_q[ok], at_r[ok], rank[ok]
-                found.append((ids[at_q], rank + (2 if with_self else 1), rid[at_r], d2[at_q, at_r]))
-        joined = [np.concatenate(p) for p in zip(*found)] if found else [[]] * 4
-        out = pd.DataFrame(dict(zip(cols, joined)))
-        for name, value in zip(block_keys, key):
-            out[name] = value
-        return out
-
-    block_keys = []
-    return run, block_keys
+            at = np.minimum(np.searchsorted(refs, mine[some]), len(refs) - 1)
+            here = np.nonzero(refs[at] == mine[some])[0]
+            d2[here, at[here]] = np.inf
+            kth = np.partition(d2, want - 1, axis=1)[:, want - 1] if len(refs) > want else np.full(len(some), np.finfo(float).max)
+            at_q, at_r = np.nonzero(d2 <= np.minimum(kth, np.finfo(float).max)[:, None])
+            value = d2[at_q, at_r]
+            order = np.lexsort((at_r, value, at_q))
+            at_q, at_r, value = at_q[order], at_r[order], value[order]
+            rank = np.arange(len(at_q)) - np.searchsorted(at_q, np.arange(len(some)))[at_q]
+            ok = rank < want
+            found.append((some[at_q[ok]], rank[ok], refs[at_r[ok]], value[ok]))
+    return [np.concatenate(p) for p in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+
+
+def _nearest_in_block(k, dims, with_self, block):
+    def run(key, q, r):
+        r = r.take(pc.sort_indices(r["_id"]))  # ties go by id
+        q_ids, r_ids = (t["_id"].combine_chunks() for t in (q, r))
+        qx, rx = (np.column_stack([t[f"_x{i}"].to_numpy() for i in range(dims)]) for t in (q, r))
+        mine = np.full(len(q_ids), -1)
+        if with_self and len(r_ids):
+            both = pa.chunked_array([q_ids, r_ids]).combine_chunks().dictionary_encode("encode")
+            code = both.indices.to_numpy()
+            at = np.full(len(both.dictionary), -1)
+            at[code[len(q_ids) :][::-1]] = np.arange(len(r_ids))[::-1]  # the first of equal ids
+            mine = at[code[: len(q_ids)]]
+        want = k - 1 if with_self else k
+        src, rank, dst, d2 = _nearest(qx, mine, rx, want) if want else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        ids, ranks, others, far = q_ids.take(pa.array(src)), rank + (2 if with_self else 1), r_ids.take(pa.array(dst)), d2
+        if with_self:
+            ids, others = pa.concat_arrays([q_ids, ids]), pa.concat_arrays([q_ids, others.cast(q_ids.type)])
+            ranks, far = np.concatenate([np.ones(len(q_ids), np.int64), ranks]), np.concatenate([np.zeros(len(q_ids)), far])
+        cols = {"_src": ids, "_rank": pa.array(ranks, pa.int32()), "_dst": others, "_d2": pa.array(far, pa.float64())}
+        return pa.table(cols | {name: pa.repeat(value, len(ids)) for name, value in zip(block, key)})
+
+    return run
 
 
 NULLS = "_nulls"
@@ -249,12 +297,12 @@ def _knn_join(
             todo = todo.join(kids.drop(*[f"_p{i}" for i in range(dims)]), [*batch, *up])
         pairs = todo.drop(*[f"_u{t}{i}" for t in "qr" for i in range(dims)])
 
-    # A block is the parent of settled cells: siblings share most of the reference rows they need.
+    # A block lies above settled cells, which share most of the reference rows they need.
     blk = [f"_b{i}" for i in range(dims)]
     block = [*batch, "_depth", *blk, "_part", "_chunk"]
     q_side, r_side = [], []
     for d, pairs in settled:
-        up = [F.shiftright(F.col(f"q{i}"), 1 if d else 0).alias(f"_b{i}") for i in range(dims)]
+        up = [F.shiftright(F.col(f"q{i}"), min(BLOCK_UP, d)).alias(f"_b{i}") for i in range(dims)]
         pairs = pairs.withColumn("_depth", F.lit(d)).select("*", *up)
         cell = [*batch, *qa]
         load = pairs.select(*cell, "_depth", *blk, "qn").distinct()
@@ -270,33 +318,31 @@ def _knn_join(
         load = load.drop("qn").join(parts, [*batch, "_depth", *blk])
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"q{i}") for i in range(dims)]
         mine = q.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
-        mine = mine.join(load, cell).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+        mine = _join_cells(mine, load, cell).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
         mine = mine.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
         q_side.append(mine.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
         need = need.drop("rn").join(parts, [*batch, "_depth", *blk])
         need = need.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"r{i}") for i in range(dims)]
         theirs = r.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
-        theirs = theirs.join(need, [*batch, *ra])
+        theirs = _join_cells(theirs, need, [*batch, *ra])
         theirs = theirs.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
         r_side.append(theirs.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    run, names = _nearest_in_block(k, dims, with_self)
-    names.extend(block)
     q_blocks, r_blocks = union(q_side), union(r_side)
     r_block = [f"_ref{b}" for b in block]
     r_blocks = r_blocks.toDF(*r_block, *r_blocks.columns[len(block) :])
     fields = [T.StructField("_src", q.schema["_id"].dataType), T.StructField("_rank", T.IntegerType())]
     fields += [T.StructField("_dst", r.schema["_id"].dataType), T.StructField("_d2", T.DoubleType())]
     fields += [q_blocks.schema[b] for b in block]
-    # as many partitions as the distances ask for: adaptive execution would merge them by bytes, but a
+    # as many partitions as the pairs in reach ask for: adaptive execution would merge them by bytes, but a
     # block costs far more time than its bytes suggest
     n = max(1, math.ceil(distances / PART_DISTANCES))
     q_blocks, r_blocks = q_blocks.repartition(n, *block), r_blocks.repartition(n, *r_block)
     edges = (
         q_blocks.groupBy(*block)
         .cogroup(r_blocks.groupBy(*r_block))
-        .applyInPandas(run, T.StructType(fields))
+        .applyInArrow(_nearest_in_block(k, dims, with_self, block), T.StructType(fields))
     )
     if crowded:
         best = Window.partitionBy(*batch, "_src").orderBy((F.col("_src") != F.col("_dst")) if with_self else F.lit(0), "_d2", "_dst")

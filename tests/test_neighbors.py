@@ -57,3 +57,43 @@ def test_cells_that_stay_crowded_at_full_depth(spark, crowded, with_self, monkey
     df = spark.createDataFrame(crowded)
     got = knn_join(df, df, 5, ["b"], with_self=with_self, block_refs=40, block_queries=30).collect()
     assert sorted(map(tuple, got)) == brute(crowded, crowded, 5, with_self, "xyz")
+
+
+def test_block_search_compares_few_pairs(monkeypatch):
+    from cloudloom.operators import neighbors
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 40, size=(3000, 3)) / 8.0  # many ties and copies
+    x[7], x[8, 1] = np.nan, np.inf
+    mine = np.where(np.arange(len(x)) % 3 == 0, np.arange(len(x)), -1)
+    pairs, outer = [], np.subtract.outer
+    counted = type("ufunc", (), {"outer": staticmethod(lambda a, b: pairs.append(len(a) * len(b)) or outer(a, b)), "__call__": lambda self, *a: np.add(a[0], -a[1])})
+    monkeypatch.setattr(neighbors.np, "subtract", counted())
+    src, rank, dst, d2 = neighbors._nearest(x, mine, x, 6)
+    monkeypatch.undo()
+    assert sum(pairs) < 3 * len(x) ** 2 / 4  # three axes
+    got = {}
+    for q, n, r, d in sorted(zip(src.tolist(), rank.tolist(), dst.tolist(), d2.tolist())):
+        got.setdefault(q, []).append((r, d))
+    placed = np.isfinite(x).all(axis=1)
+    assert sorted(got) == np.nonzero(placed)[0].tolist()
+    for q in got:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[~placed] = np.inf
+        if mine[q] == q:
+            d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:6]
+        assert got[q] == [(j, d[j]) for j in best.tolist()]
+
+
+def test_few_cells_are_sent_to_every_task(spark):
+    from cloudloom.operators.neighbors import _join_cells
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.range(3).selectExpr("id AS b", "id AS v")
+        plan = _join_cells(spark.range(100).selectExpr("id % 3 AS b"), cells, ["b"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
