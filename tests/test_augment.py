@@ -102,3 +102,11 @@ def test_colour_space_round_trip(spark):
     for r in df.select("*", *[c.alias(f"o{i}") for i, c in enumerate(back)]).collect():
         assert np.allclose((r.h, r.s, r.v), colorsys.rgb_to_hsv(r.r, r.g, r.b))
         assert np.allclose((r.o0, r.o1, r.o2), (r.r, r.g, r.b))
+
+
+def test_elastic_moves_points_with_one_id_each_by_itself(spark, tiled):
+    one = tiled.filter("file_id = 0 AND xb = 0 AND yb = 0")
+    twice = one.unionByName(one.withColumn("point_id", F.lit(-7).cast("long")))
+    got = augment.aug_elastic(twice, ((20.0, 3.0),), p=1)
+    alone, same = (got.filter(c).select("x", "y", "z", "intensity").toPandas().sort_values(["intensity", "x", "y", "z"]).to_numpy() for c in ("point_id >= 0", "point_id = -7"))
+    assert len(alone) == len(same) > 0 and np.allclose(alone, same)
