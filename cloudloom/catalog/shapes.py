@@ -394,7 +394,7 @@ REL = cte(
 
 
 def rel(t):
-    return neighbors.gather_neighbours(knn(t), tiled(t), TILE, ["intensity"], ("x", "y", "z"))
+    return neighbors.knn_gather(tiled(t), KNN_K, TILE, ["intensity"], offsets=True)
 
 
 query("gather_neighbours", sql(REL, "SELECT * FROM rel", f"{EDGE} intensity", "dx dy dz"))(
@@ -406,7 +406,7 @@ query(
     sql(REL, "SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS e3, " + f"sin(dx * {P2[0]!r}) AS e4, cos(dy * {P2[0]!r}) AS e7, sin(dy * {P2[1]!r}) AS e9, sin(dz * {P2[0]!r}) AS e12, cos(dz * {P2[1]!r}) AS e15 FROM rel", EDGE, "e3 e4 e7 e9 e12 e15"),
 )(lambda t: out(neighbors.fourier_features(rel(t), 2).select(*TILE, "src", "rank", "dst", *[F.get("encoding", F.lit(i)).alias(f"e{i}") for i in (3, 4, 7, 9, 12, 15)])))
 query("neighbour_max_pool", sql(REL, f"SELECT {T}, src, max(intensity) AS intensity FROM rel GROUP BY {T}, src", f"{TC} src intensity"))(
-    lambda t: pooling.neighbour_max_pool(knn(t), tiled(t), TILE, ["intensity"])
+    lambda t: pooling.knn_max_pool(tiled(t), KNN_K, TILE, ["intensity"])
 )
 IDW = cte(
     TP, "gr AS (SELECT * FROM tp WHERE classification = 2)",

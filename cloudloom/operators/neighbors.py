@@ -20,6 +20,9 @@ smallest ids per position; ties are broken by id, which makes the rest unreachab
 Query rows of a crowded cell are spread over several blocks. A cell that needs too many reference
 rows even at full depth (very many rows at nearly one distance) gets them in several chunks, whose
 answers are merged.
+
+What edges need of their rows (attributes, relative positions) travels in the blocks with the rows: a
+join of the edges, k times as many as the points, back to the points would sort and shuffle them all.
 """
 
 from __future__ import annotations
@@ -177,7 +180,9 @@ def _nearest(qx, mine, rx, want):
     return [np.concatenate(p) for p in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
 
 
-def _nearest_in_block(k, dims, with_self, block):
+def _nearest_in_block(k, dims, with_self, block, brought, offsets):
+    """`brought`: (name on the edge, end of the edge, column of the blocks); `offsets`: names of the relative positions."""
+
     def run(key, q, r):
         r = r.take(pc.sort_indices(r["_id"]))  # ties go by id
         q_ids, r_ids = (t["_id"].combine_chunks() for t in (q, r))
@@ -191,12 +196,22 @@ def _nearest_in_block(k, dims, with_self, block):
             mine = at[code[: len(q_ids)]]
         want = k - 1 if with_self else k
         src, rank, dst, d2 = _nearest(qx, mine, rx, want) if want else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        ids, ranks, others, far = q_ids.take(pa.array(src)), rank + (2 if with_self else 1), r_ids.take(pa.array(dst)), d2
-        if with_self:
-            ids, others = pa.concat_arrays([q_ids, ids]), pa.concat_arrays([q_ids, others.cast(q_ids.type)])
+        ranks, far = rank + (2 if with_self else 1), d2
+        if with_self:  # a row's own edge comes first; its own reference may be cut, so both ends are the query
+            own = np.arange(len(q_ids))
+            src, dst = np.concatenate([own, src]), np.concatenate([own, dst + len(q_ids)])
             ranks, far = np.concatenate([np.ones(len(q_ids), np.int64), ranks]), np.concatenate([np.zeros(len(q_ids)), far])
-        cols = {"_src": ids, "_rank": pa.array(ranks, pa.int32()), "_dst": others, "_d2": pa.array(far, pa.float64())}
-        return pa.table(cols | {name: pa.repeat(value, len(ids)) for name, value in zip(block, key)})
+        at = {"src": pa.array(src), "dst": pa.array(dst)}
+
+        def end(side, column):
+            parts = [q[column]] if side == "src" else [q[column], r[column]] if with_self else [r[column]]
+            return pa.chunked_array([c for p in parts for c in p.cast(parts[-1].type).chunks], parts[-1].type).combine_chunks().take(at[side])
+
+        cols = {"_src": end("src", "_id"), "_rank": pa.array(ranks, pa.int32()), "_dst": end("dst", "_id"), "_d2": pa.array(far, pa.float64())}
+        cols |= {name: end(side, column) for name, side, column in brought}
+        x = np.concatenate([qx, rx]) if with_self else rx
+        cols |= {name: pa.array(x[dst, i] - qx[src, i], pa.float64()) for i, name in enumerate(offsets)}
+        return pa.table(cols | {name: pa.repeat(value, len(src)) for name, value in zip(block, key)})
 
     return run
 
@@ -223,16 +238,22 @@ def knn_join(
     with_self: bool = False,
     block_refs: int = BLOCK_REFS,
     block_queries: int = BLOCK_QUERIES,
+    src_attrs: dict[str, str] | None = None,
+    dst_attrs: dict[str, str] | None = None,
+    offsets: list[str] = (),
 ) -> DataFrame:
     """Edges `(batch…, src, rank, dst, dist2)`: for each query row its k nearest reference rows of
     the same batch, ties by reference id. A batch with fewer than k rows yields fewer edges.
 
     A null batch key is a batch like another. Rows with a null coordinate are nobody's neighbours and have none.
     `with_self`: queries and references are the same rows, and each row is its own rank 1.
+    `src_attrs`, `dst_attrs`: columns of the query and of the reference row that its edges bring along, as name on the
+    edge -> column. `offsets`: names for the position of the reference relative to the query, one per coordinate.
     """
     batch, placed = list(batch), reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
     q, r = (_without_nulls(df.filter(placed), batch) for df in (queries, refs))
-    found = _knn_join(q, r, k, [*batch, NULLS], coords, query_id, ref_id, with_self, block_refs, block_queries)
+    bring = (src_attrs or {}, dst_attrs or {}, list(offsets))
+    found = _knn_join(q, r, k, [*batch, NULLS], coords, query_id, ref_id, with_self, block_refs, block_queries, *bring)
     null = {b: F.when(F.col(NULLS).bitwiseAND(F.lit(1 << i)) == 0, F.col(b)) for i, b in enumerate(batch)}
     return found.withColumns(null).drop(NULLS)
 
@@ -248,10 +269,18 @@ def _knn_join(
     with_self: bool = False,
     block_refs: int = BLOCK_REFS,
     block_queries: int = BLOCK_QUERIES,
+    src_attrs: dict[str, str] = {},
+    dst_attrs: dict[str, str] = {},
+    offsets: list[str] = (),
 ) -> DataFrame:
     coords, dims = list(coords), len(coords)
-    q = queries.select(*batch, F.col(query_id).alias("_id"), *[F.col(c).cast("double") for c in coords])
-    r = refs.select(*batch, F.col(ref_id).alias("_id"), *[F.col(c).cast("double") for c in coords])
+    q_cols = sorted({*src_attrs.values(), *(dst_attrs.values() if with_self else ())})
+    r_cols = sorted(set(dst_attrs.values()))
+    brought = [(n, "src", f"_a_{c}") for n, c in src_attrs.items()] + [(n, "dst", f"_a_{c}") for n, c in dst_attrs.items()]
+    q_cols, r_cols = ([F.col(c).alias(f"_a_{c}") for c in cols] for cols in (q_cols, r_cols))
+    q = queries.select(*batch, F.col(query_id).alias("_id"), *[F.col(c).cast("double") for c in coords], *q_cols)
+    r = refs.select(*batch, F.col(ref_id).alias("_id"), *[F.col(c).cast("double") for c in coords], *r_cols)
+    q_cols, r_cols = ([c for c in df.columns if c.startswith("_a_")] for df in (q, r))
     same_place = Window.partitionBy(*batch, *coords).orderBy("_id")
     everywhere = q if with_self else q.select(*batch, *coords).unionByName(r.select(*batch, *coords))
     frame = everywhere.groupBy(*batch).agg(
@@ -317,24 +346,27 @@ def _knn_join(
             parts = parts.withColumn("_chunks", F.lit(1))
         load = load.drop("qn").join(parts, [*batch, "_depth", *blk])
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"q{i}") for i in range(dims)]
-        mine = q.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
+        mine = q.select(*batch, "_id", *q_cols, *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
         mine = _join_cells(mine, load, cell).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
         mine = mine.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        q_side.append(mine.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
+        q_side.append(mine.select(*block, "_id", *[f"_x{i}" for i in range(dims)], *q_cols))
         need = need.drop("rn").join(parts, [*batch, "_depth", *blk])
         need = need.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         at = [F.shiftright(F.col(CELLS[i]), DEPTH - d).alias(f"r{i}") for i in range(dims)]
-        theirs = r.select(*batch, "_id", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
+        theirs = r.select(*batch, "_id", *r_cols, *[F.col(c).alias(f"_x{i}") for i, c in enumerate(coords)], *at)
         theirs = _join_cells(theirs, need, [*batch, *ra])
         theirs = theirs.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
-        r_side.append(theirs.select(*block, "_id", *[f"_x{i}" for i in range(dims)]))
+        r_side.append(theirs.select(*block, "_id", *[f"_x{i}" for i in range(dims)], *r_cols))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     q_blocks, r_blocks = union(q_side), union(r_side)
     r_block = [f"_ref{b}" for b in block]
     r_blocks = r_blocks.toDF(*r_block, *r_blocks.columns[len(block) :])
     fields = [T.StructField("_src", q.schema["_id"].dataType), T.StructField("_rank", T.IntegerType())]
     fields += [T.StructField("_dst", r.schema["_id"].dataType), T.StructField("_d2", T.DoubleType())]
+    fields += [T.StructField(n, (q if side == "src" else r).schema[c].dataType) for n, side, c in brought]
+    fields += [T.StructField(n, T.DoubleType()) for n in offsets]
     fields += [q_blocks.schema[b] for b in block]
+    extra = [*[n for n, _, _ in brought], *offsets]
     # as many partitions as the pairs in reach ask for: adaptive execution would merge them by bytes, but a
     # block costs far more time than its bytes suggest
     n = max(1, math.ceil(distances / PART_DISTANCES))
@@ -342,11 +374,11 @@ def _knn_join(
     edges = (
         q_blocks.groupBy(*block)
         .cogroup(r_blocks.groupBy(*r_block))
-        .applyInArrow(_nearest_in_block(k, dims, with_self, block), T.StructType(fields))
+        .applyInArrow(_nearest_in_block(k, dims, with_self, block, brought, offsets), T.StructType(fields))
     )
     if crowded:
         best = Window.partitionBy(*batch, "_src").orderBy((F.col("_src") != F.col("_dst")) if with_self else F.lit(0), "_d2", "_dst")
-        edges = edges.select(*batch, "_src", "_dst", "_d2").distinct()
+        edges = edges.select(*batch, "_src", "_dst", "_d2", *extra).dropDuplicates([*batch, "_src", "_dst", "_d2"])
         edges = edges.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
     return edges.select(
         *batch,
@@ -354,6 +386,7 @@ def _knn_join(
         F.col("_rank").alias("rank"),
         F.col("_dst").alias("dst"),
         F.col("_d2").alias("dist2"),
+        *extra,
     )
 
 
@@ -365,18 +398,18 @@ def knn_self(points, k, batch, coords=("x", "y", "z"), id_col="point_id", **kw)
 def inverse_distance(edges: DataFrame, values: DataFrame, batch, value: str, ref_id="point_id", out="value"):
     """Mean of the neighbours' values weighted by 1/(distance + 1e-8)."""
     v = values.select(*batch, F.col(ref_id).alias("dst"), F.col(value).alias("_v"))
+    return _inverse_distance(join_rows(edges, v, [*batch, "dst"], "inner"), batch, out)
+
+
+def _inverse_distance(valued, batch, out):
     w = F.lit(1.0) / (F.sqrt("dist2") + F.lit(1e-8))
-    return (
-        join_rows(edges, v, [*batch, "dst"], "inner")
-        .groupBy(*batch, "src")
-        .agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(out))
-    )
+    return valued.groupBy(*batch, "src").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(out))
 
 
 def knn_idw(queries, refs, value, batch, coords=("x", "y"), k=3, query_id="point_id", ref_id="point_id", out="value", **kw):
     """Interpolates `value` of the reference rows at the query rows."""
-    edges = knn_join(queries, refs, k, batch, coords, query_id, ref_id, **kw)
-    return inverse_distance(edges, refs, batch, value, ref_id, out)
+    valued = knn_join(queries, refs, k, batch, coords, query_id, ref_id, dst_attrs={"_v": value}, **kw)
+    return _inverse_distance(valued, batch, out)
 
 
 def gather_neighbours(edges, points, batch, attrs, coords=None, id_col="point_id") -> DataFrame:
@@ -394,6 +427,15 @@ def gather_neighbours(edges, points, batch, attrs, coords=None, id_col="point_id
     return out
 
 
+def knn_gather(points, k, batch, attrs=(), coords=("x", "y", "z"), id_col="point_id", offsets=False, **kw) -> DataFrame:
+    """The edges of `knn_self` with attributes of the neighbour, and with `offsets` its position relative to src as d{coord}.
+
+    What `gather_neighbours` gives on these edges, without a join of the edges to the points.
+    """
+    near = [f"d{c}" for c in coords] if offsets else []
+    return knn_self(points, k, batch, coords, id_col, dst_attrs={a: a for a in attrs}, offsets=near, **kw)
+
+
 def topk_neighbours(edges: DataFrame, batch, k: int) -> DataFrame:
     """First k edges of each source by distance, ties by id; the window limit runs before the shuffle."""
     w = Window.partitionBy(*batch, "src").orderBy("dist2", "dst")

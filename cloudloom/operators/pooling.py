@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.operators.neighbors import gather_neighbours, inverse_distance, knn_join
+from cloudloom.operators.neighbors import gather_neighbours, inverse_distance, knn_gather, knn_join
 from cloudloom.operators.ordering import join_rows, with_group_stats
 from cloudloom.operators.voxels import VOXEL
 
@@ -41,6 +41,12 @@ def neighbour_max_pool(edges: DataFrame, points: DataFrame, batch: list[str], fe
     return got.groupBy(*batch, "src").agg(*[F.max(f).alias(f) for f in features])
 
 
+def knn_max_pool(points: DataFrame, k: int, batch: list[str], features: list[str], coords=COORDS, id_col="point_id", **knn) -> DataFrame:
+    """`neighbour_max_pool` over the k nearest rows, whose features come with the edges."""
+    got = knn_gather(points, k, batch, features, coords, id_col, **knn)
+    return got.groupBy(*batch, "src").agg(*[F.max(f).alias(f) for f in features])
+
+
 def unpool_map(cells: DataFrame, pooled: DataFrame, batch: list[str], features: list[str]) -> DataFrame:
     """The pooled value on each member point of the cell; null where the cell is not pooled."""
     right = pooled.select(*batch, *VOXEL, *[F.col(f).alias(f"{f}_pooled") for f in features])

@@ -1,8 +1,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from cloudloom.operators.neighbors import knn_join, knn_self
+from cloudloom.operators.neighbors import gather_neighbours, knn_gather, knn_join, knn_self
 
 
 def brute(q, r, k, with_self, coords):
@@ -97,3 +98,33 @@ def test_few_cells_are_sent_to_every_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("depth", [20, 2])  # at depth 2 cells stay crowded, and their references come in chunks
+def test_edges_bring_attributes_without_a_join(spark, crowded, depth, monkeypatch):
+    from cloudloom.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "DEPTH", depth)
+    pdf = crowded.assign(v=np.arange(len(crowded)).astype("int32"), w=[[float(i), None] if i % 7 else None for i in range(len(crowded))])
+    df = spark.createDataFrame(pdf, "b long, point_id long, x double, y double, z double, v int, w array<double>")
+    df = df.withColumn("b", F.when(F.col("b") > 0, F.col("b")))  # a null batch is a batch like another
+    kw = dict(block_refs=40, block_queries=30)
+    want = gather_neighbours(knn_self(df, 5, ["b"], **kw), df, ["b"], ["v", "w"], ("x", "y", "z"))
+    got = knn_gather(df, 5, ["b"], ["v", "w"], offsets=True, **kw)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    above = lambda d: d._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "Join" in above(want) and "Join" not in above(got)
+    both = knn_self(df, 5, ["b"], src_attrs={"mine": "v"}, dst_attrs={"theirs": "v"}, **kw).collect()
+    v = dict(zip(pdf.point_id, pdf.v))
+    assert len(both) == 5 * len(pdf) and all((e.mine, e.theirs) == (v[e.src], v[e.dst]) for e in both)
+
+
+def test_values_of_a_second_table_come_with_the_edges(spark, crowded):
+    q, r = (spark.createDataFrame(crowded[crowded.point_id % 3 == m]) for m in (1, 0))
+    got = knn_join(q, r, 3, ["b"], ("x", "y"), block_refs=40, src_attrs={"h": "z"}, dst_attrs={"g": "z"}, offsets=["ox", "oy"]).collect()
+    at = crowded.set_index("point_id")
+    assert len(got) == 3 * q.count()
+    for e in got:
+        s, d = at.loc[e.src], at.loc[e.dst]
+        assert (e.h, e.g, e.ox, e.oy) == (s.z, d.z, d.x - s.x, d.y - s.y)
