@@ -461,7 +461,7 @@ LCS = cte(
 @query("eval_label_consistency", sql(LCS, "SELECT coalesce(sum(d), 0) / greatest(count(*), 1) AS label_consistency FROM dd", "", "label_consistency"))
 def _(t):
     p = tiled(t).withColumns({"logits": F.expr("array(" + ", ".join(LOG0) + ")"), "label": F.expr(TGT)})
-    return out(losses.eval_label_consistency(knn(t, 4), p, TILE, CLASSES))
+    return out(losses.knn_label_consistency(p, 4, TILE, CLASSES))
 
 
 BCS = cte(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.vectors import dot, l2_normalise
-from cloudloom.operators.neighbors import gather_neighbours
+from cloudloom.operators.neighbors import gather_neighbours, knn_self
 from cloudloom.operators.ordering import GROUP_ROWS, ordered_prefix, with_group_stats
 from cloudloom.operators.project import drop_ignored
 
@@ -185,10 +185,27 @@ def _labelled_edges(edges, points, batch, feature, label, id_col):
 
 def eval_label_consistency(edges, points, batch, num_classes, ignore_index=-1, logits="logits", label="label", id_col="point_id", loss_weight=1.0):
     """Mean squared distance of class probabilities over neighbour pairs of equal, valid label."""
+    prob = _probabilities(points, num_classes, [*batch, id_col, label], logits)
+    return _label_consistency(_labelled_edges(edges, prob, batch, logits, label, id_col), num_classes, ignore_index, loss_weight)
+
+
+def knn_label_consistency(
+    points, k, batch, num_classes, ignore_index=-1, logits="logits", label="label", id_col="point_id", loss_weight=1.0, coords=("x", "y", "z"), **knn
+):
+    """`eval_label_consistency` over the k nearest rows, whose probabilities and labels come with the edges."""
+    prob = _probabilities(points, num_classes, [*batch, id_col, label, *coords], logits)
+    src, dst = ({f"f_{end}": logits, f"l_{end}": label} for end in ("src", "dst"))
+    e = knn_self(prob, k, batch, coords, id_col, src_attrs=src, dst_attrs=dst, **knn)
+    return _label_consistency(e, num_classes, ignore_index, loss_weight)
+
+
+def _probabilities(points, num_classes, keep, logits):
+    prob = class_scores(points, num_classes, keep, logits)
+    return prob.select(*keep, F.array(*[F.col(f"p{c}") for c in range(num_classes)]).alias(logits))
+
+
+def _label_consistency(e, num_classes, ignore_index, loss_weight):
     classes = range(num_classes)
-    prob = class_scores(points, num_classes, [*batch, id_col, label], logits)
-    prob = prob.select(*batch, id_col, label, F.array(*[F.col(f"p{c}") for c in classes]).alias(logits))
-    e = _labelled_edges(edges, prob, batch, logits, label, id_col)
     e = e.filter((F.col("l_src") == F.col("l_dst")) & (F.col("l_src") != ignore_index))
     gap = [F.get("f_src", F.lit(c)) - F.get("f_dst", F.lit(c)) for c in classes]
     total = F.coalesce(F.sum(sum((g * g for g in gap), F.lit(0.0))), F.lit(0.0))

@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cloudloom.operators import losses, metrics
+from cloudloom.operators.neighbors import knn_self
 
 
 def lovasz(err, fg):
@@ -82,3 +84,14 @@ def test_statistics_without_keys(spark):
     jac = 1 - (g.sum() - g.cumsum()) / (g.sum() + (1 - g).cumsum())
     want = float((np.maximum(err[order], 0) * np.diff(jac, prepend=0)).sum())
     assert abs(losses.eval_lovasz_hinge(flat).first()[0] - want) < 1e-9
+
+
+def test_label_consistency_without_a_join_of_the_edges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, i, *map(float, rng.integers(0, 9, 3)), [float(v) for v in rng.integers(0, 5, 3)], int(rng.integers(-1, 3))) for i in range(80)]
+    df = spark.createDataFrame(rows, "b long, point_id long, x double, y double, z double, logits array<double>, label int")
+    want = losses.eval_label_consistency(knn_self(df, 4, ["b"]), df, ["b"], 3, loss_weight=2.0)
+    got = losses.knn_label_consistency(df, 4, ["b"], 3, loss_weight=2.0)
+    above = lambda d: d._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "Join" in above(want) and "Join" not in above(got)
+    assert got.first()[0] == pytest.approx(want.first()[0], abs=1e-12) and got.first()[0] > 0
